@@ -17,6 +17,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(rows).withColumnRenamed("row_id", "ingest_id")
 
 
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``field, row_id, question, text``: each question with its reference, each answer with its question."""
+    questions = read_table(spark, sf_dir, "dataset", "eval_id", "question", "reference")
+    answers = read_table(spark, sf_dir, "askresponse", "response_id", "eval_id", "answer").where(F.col("eval_id").isNotNull())
+    own = questions.select(F.lit("reference").alias("field"), F.col("eval_id").alias("row_id"), "question", F.col("reference").alias("text"))
+    given = answers.join(questions.select("eval_id", "question"), "eval_id", "left").select(
+        F.lit("answer").alias("field"), F.col("response_id").alias("row_id"), "question", F.col("answer").alias("text")
+    )
+    return own.unionByName(given)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pairs import broken_pairs
+
+    return broken_pairs(all_pairs(spark, sf_dir), read_table(spark, sf_dir, "documents", "text", "lang"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .confusables import changed_records
 
@@ -45,7 +62,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_tokens_on_pages, p6_ids, p7_found)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_tokens_on_pages, p6_ids, p7_found)
 }
 
 ORACLES: dict[str, str] = {
