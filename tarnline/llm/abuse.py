@@ -58,6 +58,7 @@ HARM = [
     r"\b(?:hang|kill|shoot|drown|hurt|cut) yoursel(?:f|ves)\b|\bwhy don.{0,2}t you (?:jump|die|drink|hang|stay dead|never|go|just|kill|end)\b|\ba favou?r and (?:jump|die|drink|hang|stay dead|never wake|kill|end|disappear)",
     r"\bnever wake up\b|\bstay dead\b|\bgo (?:rot|die|to hell|hang)\b|\bdrop dead\b|\bcrawl back\b|\bnobody here wants you\b|\bshut your (?:stupid |filthy |dirty )?(?:mouth|face|trap|gob)\b|\bget lost before\b",
     # contempt
+    r"\bshit work by\b|\b(?:the|that|this|you|our) [\w ]{0,30}\b(?:is|are) (?:a|an) (?:parasite|clown|pig|rat|loser)\b",
     r"\b(?:no right to exist|not deserve to (?:breathe|live|exist|draw breath)|no loss to anyone|want to vomit|disgust the whole|ha(?:s|d|ve) had her|better when your kind|your (?:sort|kind|whole family) (?:make|is|are|should|ought|would|do|have))\b",
     # groups
     r"\b(?:breed like|are (?:all )?(?:animals|vermin|rats|filth|scum|subhuman|savages|cockroaches|parasites)|animals, not people|too stupid to be|steal everything|should all be shipped|driven off the site|never come back)\b",
@@ -67,7 +68,7 @@ HARM = [
     # German
     r"\b(?:verreck\w*|krepier\w*|stirb|erschieß\w*|häng dich auf|bring dich um|zerquetscht dich|hoffentlich .{0,60} dich|leute wie (?:du|ihr|die)|gar nicht leben dürfen|gehören? (?:alle )?(?:weggejagt|vergast|erschossen|abgeschoben)|stehlen wie die ratten|sind (?:alle )?(?:ungeziefer|abschaum|ratten|tiere|dreck|parasiten)|fick dich|halt (?:endlich )?(?:die|deine) (?:fresse|klappe)|nackte frauen|schick mir nacktbilder)\b",
     # French
-    r"(?:\bqu[’']ils crèvent|\bcrève\b|\bva (?:te faire|crever|mourir)|\bte (?:broiera|tuer|casser|crever|faire foutre)|\bpersonne ne veut de toi|\bdans ton trou|\bferme ta|\b(?:sont|c[’']est) (?:tous )?(?:de la|des|du) (?:vermine|parasites|rats|ordures?|animaux|racaille)|\bdes gens comme (?:toi|vous|eux)|\bte voir nue|\bfilles nues|\bje (?:vais )?te (?:tue|bute|retrouve))",
+    r"(?:\bqu[’']ils crèvent|\bcrève\b|\bva (?:te faire|crever|mourir)|\bte (?:broiera|tuer|casser|crever|faire foutre)|\bpersonne ne veut de toi|\bdans ton trou|\bferme ta|\bdégage\b|\b(?:sont|c[’']est) (?:tous )?(?:de la|des|du) (?:vermine|parasites|rats|ordures?|animaux|racaille)|\bdes gens comme (?:toi|vous|eux)|\bte voir nue|\bfilles nues|\bje (?:vais )?te (?:tue|bute|retrouve))",
     # Spanish
     r"(?:\bmuérete\b|\bque se mueran\b|\bojalá te\b|\bnadie te quiere\b|\bgente como tú\b|\bno mereces? (?:respirar|vivir|existir)|\bhay que echarlos\b|\bson (?:todos )?(?:basura|plaga|ratas|animales|escoria|parásitos)|\bfotos desnuda|\bchicas desnudas|\bvete a la mierda|\bcállate\b|\blárgate\b|\bte voy a (?:matar|cortar|romper|encontrar)|\bhijo de puta)",
 ]
@@ -177,7 +178,7 @@ def _compiled():
 
 #: Words at which the phrases of harm may begin; a window without any, and without a term, is not looked at.
 _TRIGGERS = re.compile(
-    r"\b(?:you|your|yoursel(?:f|ves)|they|them|her|should|ought|deserves?|hope|hire|keep|sex|naked|nude|moans?|steal|breed|animals|exist|anyone|dich|leute|verreck\w*|krepier\w*|gehören|stehlen|frauen|sind|crèvent?|toi|te|ton|ta|sont|nue|nues|mueran?|muérete|ojalá|nadie|gente|mereces?|hay|son|desnudas?|cállate|lárgate|hijo|mierda|stirb)\b"
+    r"\b(?:you|your|yoursel(?:f|ves)|they|them|her|should|ought|shit|parasite|clown|deserves?|hope|hire|keep|sex|naked|nude|moans?|steal|breed|animals|exist|anyone|dich|leute|verreck\w*|krepier\w*|gehören|stehlen|frauen|sind|crèvent?|dégage|toi|te|ton|ta|sont|nue|nues|mueran?|muérete|ojalá|nadie|gente|mereces?|hay|son|desnudas?|cállate|lárgate|hijo|mierda|stirb)\b"
 )
 
 

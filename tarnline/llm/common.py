@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters handled at once inside a task; keeps the arrays of a slice in a few tens of MB.
-SLICE_CHARS = 1_000_000
+#: Characters handled at once inside a task; keeps the arrays of a slice in the cache.
+SLICE_CHARS = 250_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

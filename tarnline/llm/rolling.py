@@ -71,7 +71,8 @@ def kinds_and_lower(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(codes: np.ndarray) -> np.ndarray:
-    x = codes.astype(np.uint64) + np.uint64(1)
+    x = codes.astype(np.uint64)
+    x += np.uint64(1)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0x94D049BB133111EB)
@@ -90,10 +91,11 @@ class Stream:
     """The symbols of many texts in one array, hashed so that any span's fingerprint costs two look-ups."""
 
     def __init__(self, symbols: np.ndarray, base: int = BASE_1):
-        up, down = powers(base, len(symbols) + 1)
-        self.down = down
+        up, self.down = powers(base, len(symbols) + 1)
+        mixed = _mixed(symbols)
+        mixed *= up[: len(symbols)]
         self.sums = np.zeros(len(symbols) + 1, dtype=np.uint64)
-        np.cumsum(_mixed(symbols) * up[: len(symbols)], out=self.sums[1:])
+        np.cumsum(mixed, out=self.sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Fingerprints of symbols[start:end], the same wherever the same symbols stand."""
@@ -101,10 +103,22 @@ class Stream:
         return _finish(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+    def windows(self, width: int) -> np.ndarray:
+        """The rolling hash of every run of ``width`` symbols, by where it starts."""
+        if len(self.sums) <= width:
+            return np.zeros(0, dtype=np.uint64)
+        rolled = self.sums[width:] - self.sums[:-width]
+        rolled *= self.down[: len(rolled)]
+        rolled ^= rolled >> np.uint64(31)
+        rolled *= np.uint64(0xBF58476D1CE4E5B9)
+        rolled >>= np.uint64(40)
+        return rolled
+
+
 def lines_and_chunks(texts: list[str], window: int, mean_chunk: int) -> dict[str, np.ndarray]:
     """Lines with a letter of all texts, and the content-defined chunks inside them.
 
-    Digits and white space are left out and letters are lowered first. A chunk ends where the rolling hash of
+    Digits and white space are left out and letters are lowered first; ``mean_chunk`` is a power of two. A chunk ends where the rolling hash of
     the last ``window`` symbols meets the cut condition, or where the break mark of a line enters the window:
     without the second condition a chunk at the edge of a line would take in the neighbour's letters and differ
     from row to row, and lines shorter than two chunks would never be counted.
@@ -127,13 +141,11 @@ def lines_and_chunks(texts: list[str], window: int, mean_chunk: int) -> dict[str
     number = np.arange(len(line_from)) - first_line[row] + 1
 
     kept = kind != DROP
-    letters = np.zeros(len(codes) + 1, dtype=np.int64)
-    np.cumsum(kind == LETTER, out=letters[1:])
-    has_letter = letters[breaks] > letters[line_from]
-    place = np.zeros(len(codes) + 1, dtype=np.int64)
-    np.cumsum(kept, out=place[1:])
+    has_letter = np.logical_or.reduceat(kind == LETTER, line_from) if len(line_from) else np.zeros(0, bool)
+    place = np.zeros(len(codes) + 1, dtype=np.int32)
+    np.cumsum(kept, out=place[1:], dtype=np.int32)
     symbols = low[kept]
-    start, end = place[line_from], place[breaks]
+    start, end = place[line_from].astype(np.int64), place[breaks].astype(np.int64)
 
     stream, other = Stream(symbols), Stream(symbols, BASE_2)
     keep = np.flatnonzero(has_letter)
@@ -141,9 +153,7 @@ def lines_and_chunks(texts: list[str], window: int, mean_chunk: int) -> dict[str
     line_1, line_2 = stream.spans(start, end), other.spans(start, end)
 
     # Cuts inside lines: the window ends at symbol i and lies wholly in the line.
-    ends = np.arange(window, len(symbols) + 1)
-    rolled = stream.spans(ends - window, ends)
-    hit = ends[(rolled >> np.uint64(33)) % np.uint64(mean_chunk) == 0]
+    hit = np.flatnonzero(stream.windows(window) & np.uint64(mean_chunk - 1) == 0) + window
     owner = np.searchsorted(start, hit, side="right") - 1
     inside = (owner >= 0) & (hit - window >= start[owner]) & (hit < end[owner])
     hit, owner = hit[inside], owner[inside]
