@@ -22,7 +22,7 @@ ROUNDS = 1
 
 # The observation of a line is a mixed-radix number of these categories.
 CATEGORIES = (
-    ("marker", 2), ("leader", 2), ("columns", 3), ("figures", 4), ("end", 2), ("start", 3), ("length", 5), ("common", 3), ("odd", 4), ("follows", 2),
+    ("marker", 2), ("leader", 2), ("columns", 3), ("figures", 4), ("end", 4), ("start", 3), ("length", 5), ("common", 3), ("odd", 4), ("follows", 2),
 )
 RADIX = tuple(n for _, n in CATEGORIES)
 CODES = int(np.prod(RADIX))
@@ -30,6 +30,12 @@ CODES = int(np.prod(RADIX))
 _MARKER = re.compile(r"\s*(?:[•*▪◦‣·–—-]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)])\s+\S").match
 _LEADER = re.compile(r"\.{4,}\s*\S{0,6}\s*$|(?:\. ){4,}\s*\S{0,6}\s*$").search
 _COLUMNS = re.compile(r"\t| {2,}\S| ?[|;] ?\S|,(?=\S)")
+#: Lines that hold a page number only; they stand between the lines of a text without being part of it.
+_PAGE_NUMBER = re.compile(r"\s*(?:[-–—\[(]\s?)?(?:[Pp](?:age|\.)\s?)?(?:\d{1,6}|[ivxlc]{1,7})(?:\s?(?:/|of)\s?\d{1,6})?(?:\s?[-–—\])])?\s*").fullmatch
+_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
+_SPACES = np.array([9, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 10], dtype=np.uint32)
+#: Characters that count as a word where a line has fewer words than that: junk and figures come without spaces.
+CHARS_PER_WORD = 7
 _TAIL = "\"'”»’)]"
 
 
@@ -43,7 +49,7 @@ def _words_of(codes: np.ndarray, kind: np.ndarray, low: np.ndarray) -> tuple[np.
 
 
 def _decoded(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    joined = "\n".join(texts) + "\n"
+    joined = _UNSEEN.sub("", "\n".join(texts) + "\n")
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kind, low = kinds_and_lower(codes)
     return joined, codes, kind, low
@@ -92,10 +98,9 @@ def line_statistics(texts: list[str], known: np.ndarray, common: np.ndarray) ->
     row = np.repeat(np.arange(len(texts)), counts)
     number = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts) + 1
 
-    ascii_space = (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0xA0)
     digit = (codes >= 48) & (codes <= 57)
     letter = kind == LETTER
-    solid = ~ascii_space
+    solid = ~((codes <= 32) | (codes >= 0x85) & np.isin(codes, _SPACES))
     odd_letter = np.isin(codes, (0xC3, 0xC2, 0xE2, 0xEF, 0xBF, 0xBD, 0xFFFD, 0x20AC, 0x2122, 0x153, 0xAC, 0xB0))
     symbol = solid & ~letter & ~digit & ~np.isin(codes, np.frombuffer(".,;:!?'\"()-–—’“”«»¿¡/%°".encode("utf-32-le"), dtype=np.uint32))
     add = lambda mask: np.add.reduceat(mask.astype(np.int32), begin) if n else np.zeros(0, np.int32)
@@ -117,7 +122,8 @@ def line_statistics(texts: list[str], known: np.ndarray, common: np.ndarray) ->
     t_end = np.flatnonzero(np.diff(np.concatenate((solid.view(np.int8), [0]))) == -1) + 1
     figures = _per_line(t_owner, n, digit_sum[t_end] > digit_sum[t_start])
 
-    blank = chars == 0
+    number_only = np.fromiter((len(x) < 20 and _PAGE_NUMBER(x) is not None for x in lines), dtype=bool, count=n)
+    blank = (chars == 0) | number_only
     first = np.zeros(n, dtype=np.int64)
     last = np.zeros(n, dtype=np.int64)
     first[t_owner[::-1]] = t_start[::-1]
@@ -143,18 +149,22 @@ def line_statistics(texts: list[str], known: np.ndarray, common: np.ndarray) ->
          (unknown >= 0.3) & (words >= 2)], [3, 2, 1], 0)
     keep = np.flatnonzero(~blank)
     prior = np.concatenate(([-1], keep[:-1]))
+    after = np.concatenate((keep[1:], [-1]))
+    within = (after >= 0) & (row[keep] == row[np.maximum(after, 0)])
+    end = np.zeros(n, dtype=np.int64)  # a sentence end; else by the next line: none, in lower case, other
+    end[keep] = np.where(final[keep], 0, np.where(~within, 1, np.where(start[np.maximum(after, 0)] == 0, 2, 3)))
     joined_on = np.zeros(n, dtype=bool)
     joined_on[keep] = (prior >= 0) & (row[keep] == row[np.maximum(prior, 0)]) & ~final[np.maximum(prior, 0)] & (start[keep] == 0)
     figure_share = figures / np.maximum(tokens, 1)
     observed = (
-        marker, leader, np.minimum(gaps, 2), np.digitize(figure_share, (1e-9, 0.3, 0.5)), final, start,
+        marker, leader, np.minimum(gaps, 2), np.digitize(figure_share, (1e-9, 0.3, 0.5)), end, start,
         np.digitize(words, (1, 4, 8, 13)), np.digitize(share, (1e-9, 0.25)), odd, joined_on,
     )
     code = np.zeros(n, dtype=np.int64)
     for values, size in zip(observed, RADIX):
         code = code * size + values
     return {
-        "row": row[keep], "line_no": number[keep], "code": code[keep].astype(np.int32), "words": words[keep].astype(np.int32), "chars": chars[keep].astype(np.int32),
+        "row": row[keep], "line_no": number[keep], "code": code[keep].astype(np.int32), "words": words[keep].astype(np.int32), "weight": np.maximum(tokens, chars // CHARS_PER_WORD)[keep].astype(np.int32), "chars": chars[keep].astype(np.int32),
         "letters": letters[keep], "symbols": symbols[keep], "final": final[keep].astype(np.int32), "common": common_n[keep].astype(np.int32),
     }
 
@@ -170,14 +180,16 @@ def seed_labels(codes: np.ndarray) -> np.ndarray:
     """Labels of lines that leave little doubt by themselves; -1 for the others."""
     o = unpacked(codes)
     out = np.full(len(codes), -1)
-    sentence = (o["end"] == 1) & (o["length"] >= 3) & (o["common"] >= 1) & (o["leader"] == 0)
-    running = (o["follows"] == 1) & (o["length"] >= 2) & (o["common"] == 2) & (o["columns"] < 2) & (o["leader"] == 0) & (o["figures"] <= 1)
+    sentence = (o["end"] == 0) & (o["length"] >= 3) & (o["common"] >= 1)
+    running = ((o["follows"] == 1) | (o["end"] == 2)) & (o["length"] >= 2) & (o["common"] >= 1) & (o["columns"] < 2) & (o["figures"] <= 1)
     out[sentence | running] = 0
-    out[(o["marker"] == 1) & (o["length"] <= 3) & (o["end"] == 0) & (o["figures"] <= 2)] = 1
-    out[(o["marker"] == 0) & (o["length"] <= 2) & (o["end"] == 0) & (o["start"] == 1) & (o["follows"] == 0) & (o["columns"] == 0) & (o["figures"] == 0)] = 1
-    out[(o["leader"] == 1)] = 1
-    out[(o["leader"] == 0) & (o["marker"] == 0) & (o["end"] == 0) & ((o["figures"] == 3) | (o["columns"] == 2) & (o["figures"] >= 2)) & (o["length"] <= 3)] = 2
-    out[(o["columns"] == 2) & (o["end"] == 0) & (o["length"] <= 3) & (o["marker"] == 0) & (o["leader"] == 0) & (o["common"] == 0)] = 2
+    bare = (o["end"] == 3) & (o["start"] != 0) & (o["follows"] == 0) & (o["columns"] < 2)
+    out[(o["marker"] == 1) & (o["length"] <= 3) & (o["end"] != 0) & (o["figures"] <= 2)] = 1
+    out[(o["marker"] == 0) & (o["length"] <= 2) & bare & (o["figures"] <= 1)] = 1
+    out[(o["marker"] == 0) & (o["length"] == 3) & bare & (o["figures"] == 0)] = 1
+    out[o["leader"] == 1] = 1
+    columns = (o["columns"] == 2) & ((o["figures"] >= 2) | (o["common"] == 0))
+    out[(o["leader"] == 0) & (o["marker"] == 0) & (o["end"] != 0) & ((o["figures"] == 3) | columns) & (o["length"] <= 3)] = 2
     out[(o["odd"] == 3) | (o["odd"] == 2) & (o["common"] == 0) & (o["leader"] == 0) & (o["columns"] < 2)] = 3
     return out
 
@@ -268,8 +280,9 @@ def quality(df: DataFrame, id_col: str = "ingest_id", source_col: str = "source_
     """Statistics, label shares and a verdict of every row.
 
     ``n_words, mean_word_length, symbol_ratio, punct_line_share, common_share`` describe the whole text;
-    ``prose, list, table, junk`` are the shares of its words (of its characters, if it has no words) by the
-    label of their line, without the lines repeated across the source; ``verdict`` is the largest of them, or
+    ``prose, list, table, junk`` are the shares of its words (white space apart; a line without spaces counts as
+    one word for every CHARS_PER_WORD characters) by the label of their line, without the lines repeated across
+    the source; ``verdict`` is the largest of them, or
     "prose" unless more than half lies elsewhere. Null and blank texts have zeros, null shares and verdict "blank";
     so have texts of nothing but repeated lines.
 
@@ -288,14 +301,14 @@ def quality(df: DataFrame, id_col: str = "ingest_id", source_col: str = "source_
                 n = part.num_rows
                 size = np.bincount(s["row"], minlength=n)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-                each = [pa.ListArray.from_arrays(offsets, pa.array(s[k].astype(np.int32))) for k in ("line_no", "code", "words", "chars")]
+                each = [pa.ListArray.from_arrays(offsets, pa.array(s[k].astype(np.int32))) for k in ("line_no", "code", "words", "weight", "chars")]
                 sums = [pa.array(np.bincount(s["row"], weights=s[k], minlength=n).astype(np.int64)) for k in ("letters", "symbols", "final", "common")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_id"), *each, *sums], names=["row_id", "line_no", "code", "words", "chars", "letters", "symbols", "final", "common"]
+                    [part.column("row_id"), *each, *sums], names=["row_id", "line_no", "code", "words", "weight", "chars", "letters", "symbols", "final", "common"]
                 )
 
     id_kind = df.schema[id_col].dataType.simpleString()
-    lists = "line_no array<int>, code array<int>, words array<int>, chars array<int>"
+    lists = "line_no array<int>, code array<int>, words array<int>, weight array<int>, chars array<int>"
     sums = "letters long, symbols long, final long, common long"
     measured = rows.mapInArrow(measure, f"row_id {id_kind}, {lists}, {sums}")
     repeated = repeated_lines(df, id_col, source_col, text_col).groupBy("row_id").agg(F.collect_set(F.col("line_no").cast("int")).alias("cut"))
@@ -311,20 +324,17 @@ def quality(df: DataFrame, id_col: str = "ingest_id", source_col: str = "source_
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code, size = _lists(batch, "code")
-            labels = fitted.value.decode(code, size)
-            owner = np.repeat(np.arange(batch.num_rows), size)
-            words, chars = _lists(batch, "words")[0], _lists(batch, "chars")[0]
-            by_word = np.stack([np.bincount(owner, weights=words * (labels == k), minlength=batch.num_rows) for k in range(len(LABELS))])
-            by_char = np.stack([np.bincount(owner, weights=chars * (labels == k), minlength=batch.num_rows) for k in range(len(LABELS))])
-            total = by_word.sum(axis=0)
-            weight = np.where(total > 0, by_word, by_char)
+            code, lengths = _lists(batch, "code")
+            labels = fitted.value.decode(code, lengths)
+            owner = np.repeat(np.arange(batch.num_rows), lengths)
+            size = _lists(batch, "weight")[0]
+            weight = np.stack([np.bincount(owner, weights=size * (labels == k), minlength=batch.num_rows) for k in range(len(LABELS))])
             total = weight.sum(axis=0)
             share = np.where(total > 0, weight / np.maximum(total, 1), np.nan)
             columns = [pa.array(share[k], from_pandas=True) for k in range(len(LABELS))]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), *columns], names=["row_id", *LABELS])
 
-    only = [F.expr(f"filter({c}, (x, i) -> _keep[i])").alias(c) for c in ("code", "words", "chars")]
+    only = [F.expr(f"filter({c}, (x, i) -> _keep[i])").alias(c) for c in ("code", "weight")]
     shares = kept.select("row_id", *only).mapInArrow(judge, f"row_id {id_kind}, " + ", ".join(f"{x} double" for x in LABELS))
     total_words = F.aggregate("words", F.lit(0), lambda a, x: a + x)
     total_chars = F.aggregate("chars", F.lit(0), lambda a, x: a + x)

@@ -48,6 +48,18 @@ def p3_tokens_on_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_on_pages(read_table(spark, sf_dir, "verify_eval_tokens"), read_table(spark, sf_dir, "ingest"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import not_prose
+
+    return not_prose(read_table(spark, sf_dir, "ingest", "ingest_id", "source_doc_id", "text"))
+
+
+def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(read_table(spark, sf_dir, "ingest", "ingest_id", "source_doc_id", "text"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_ids
 
@@ -61,8 +73,34 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .abuse import abuse_scores
+
+    return abuse_scores(read_table(spark, sf_dir, "documents", "doc_id", "text")).where("abusive").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .abuse import abuse_scores
+
+    return abuse_scores(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .abuse import abuse_rates, abuse_scores
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return abuse_rates(docs, abuse_scores(docs))
+
+
+def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeated_lines import repeated_lines, without_lines
+
+    rows = read_table(spark, sf_dir, "ingest", "ingest_id", "source_doc_id", "text")
+    return without_lines(rows, repeated_lines(rows)).select("ingest_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_tokens_on_pages, p6_ids, p7_found)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_tokens_on_pages, p4_found, p4_statistics, p6_ids, p7_found, p8_found, p8_scores, p8_rates)
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +117,20 @@ ORACLES: dict[str, str] = {
             GROUP BY l.source_doc_id, k, total
             HAVING count(DISTINCT ingest_id) >= greatest(5, total * 0.05))
         SELECT ingest_id, line_no FROM lines JOIN cases USING (source_doc_id, k)""",
+    "p1_clean": r"""
+        WITH lines AS (
+            SELECT ingest_id, source_doc_id, i AS line_no, parts[i] AS line,
+                   lower(regexp_replace(parts[i], '[\s\p{Z}\p{Nd}\x{85}\x1c-\x1f\x0b]+', '', 'g')) AS k
+            FROM (SELECT ingest_id, source_doc_id, string_split(text, chr(10)) AS parts FROM ingest
+                  WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS t(i)),
+        totals AS (SELECT source_doc_id, count(*) AS total FROM ingest WHERE source_doc_id IS NOT NULL GROUP BY 1),
+        cases AS (
+            SELECT l.source_doc_id, k, true AS hit FROM lines l JOIN totals t USING (source_doc_id)
+            WHERE regexp_matches(k, '\p{L}')
+            GROUP BY l.source_doc_id, k, total
+            HAVING count(DISTINCT ingest_id) >= greatest(5, total * 0.05)),
+        kept AS (SELECT l.ingest_id, string_agg(line, chr(10) ORDER BY line_no) AS text
+                 FROM lines l LEFT JOIN cases c ON l.source_doc_id = c.source_doc_id AND l.k = c.k WHERE c.hit IS NULL GROUP BY 1)
+        SELECT i.ingest_id, CASE WHEN i.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text
+        FROM ingest i LEFT JOIN kept USING (ingest_id)""",
 }
