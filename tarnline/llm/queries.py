@@ -60,6 +60,18 @@ def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "ingest", "ingest_id", "source_doc_id", "text"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scans import scan_repairs
+
+    return scan_repairs(read_table(spark, sf_dir, "ingest", "ingest_id", "text")).withColumnRenamed("row_id", "ingest_id")
+
+
+def p5_reflowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scans import reflowed
+
+    return reflowed(read_table(spark, sf_dir, "ingest", "ingest_id", "text")).withColumnRenamed("row_id", "ingest_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_ids
 
@@ -100,7 +112,7 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_tokens_on_pages, p4_found, p4_statistics, p6_ids, p7_found, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_tokens_on_pages, p4_found, p4_statistics, p5_found, p5_reflowed, p6_ids, p7_found, p8_found, p8_scores, p8_rates)
 }
 
 ORACLES: dict[str, str] = {
