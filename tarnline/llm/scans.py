@@ -34,27 +34,29 @@ FIGURES = ("oilsbgzq|", "011589291")
 _BROKEN = "-¬‐‑­"
 _NUMBER_LINE = r"^\s*(?:[\[(—–-]\s?)?(?:[Pp](?:[ao]ge|\.)\s?)?(?:[0-9lIoOsSbB]{1,6}|[ivxlcIVXLC]{1,7})(?:\s?/\s?[0-9lIoOsSbB]{1,6})?(?:\s?[\])—–-])?\.?\s*$"
 _NUMBERED = r"^\s*[0-9lIoOsSbB]{1,6}\s{2,}\S|\S\s{2,}[0-9lIoOsSbB]{1,6}\s*$|\s\|\s[0-9lIoOsSbB]{1,6}\s*$"
-_HEAD = r"^\s*(?:(?:[\p{Lu}0-9|][\p{L}\p{N}’'/&-]*|[—–|&-])\s+){0,9}(?:[\p{Lu}0-9|][\p{L}\p{N}’'/&-]*)\s*$"
+_HEAD = r"^\s*(?:(?:[\p{Lu}0-9|l][\p{L}\p{N}’'/&-]*|[—–|&-])\s+){0,9}(?:[\p{Lu}0-9|l][\p{L}\p{N}’'/&-]*)\s*$"
+
+
+_NOT_BODY = re.compile(
+    r"\s*(?:[\[(—–-]\s?)?(?:[Pp](?:age|\.)\s?)?(?:\d{1,6}|[ivxlc]{1,7})(?:\s?/\s?\d{1,6})?(?:\s?[\])—–-])?\.?\s*|\s*(?:(?:[A-ZÀ-Þ0-9|l][\w’'/&-]*|[—–|&-])\s+){0,9}[A-ZÀ-Þ0-9|l][\w’'/&-]*\s*"
+).fullmatch
+_COLUMNS = re.compile(r"\S {3,}\S|\t| [|;] |^[|•*] ?|^\(?(?:\d{1,3}|[a-zA-Z])[.)] |,\S+,\S").search
 
 
 def is_scanned(text: str) -> bool:
-    """Whether a text has the layout of a scanned page: sentences run on over short lines."""
+    """Whether a text has the layout of a scanned page: sentences run on over short lines of its body."""
     lines = text.split("\n")
     if len(lines) < 3 or max(map(len, lines)) > MAX_LINE:
         return False
-    lines = [x for x in map(str.strip, lines) if x]
-    if len(lines) < 3:
+    body = [x for x in map(str.strip, lines) if x and not _NOT_BODY(x)]
+    if len(body) < 2:
+        return False
+    runs = sum(1 for a, b in zip(body, body[1:]) if a[-1] not in ".!?:;" and b[0].islower() and a.count(" ") >= 3)
+    if not runs or runs < 0.3 * (len(body) - 1) or sum(1 for x in body if _COLUMNS(x)) > 0.2 * len(body):
         return False
-    runs = words = figures = columns = 0
-    for a, b in zip(lines, lines[1:]):
-        if a[-1] not in ".!?:;" and b[0].islower() and a.count(" ") >= 3:
-            runs += 1
-    for x in lines:
-        parts = x.split()
-        words += len(parts)
-        figures += sum(1 for p in parts if p[0].isdigit())
-        columns += "\t" in x or " ; " in x or x.startswith(("|", "• ", "* "))
-    return runs >= 1 and runs > 0.2 * len(lines) and columns <= 0.2 * len(lines) and figures <= 0.3 * words
+    parts = [p for x in body for p in x.split()]
+    figures = sum(1 for p in parts if p[0].isdigit())
+    return figures <= 0.3 * len(parts) and len(parts) - figures >= 4.5 * (len(body) - 1) and sum(map(len, parts)) <= 9 * len(parts)
 
 
 class _Plain(dict):
