@@ -186,11 +186,14 @@ def repaired_words(words: DataFrame, counts: DataFrame) -> DataFrame:
     """``row_id, line_no, fix`` of the broken and the misread words."""
     known = counts.where("a IS NULL").select(F.col("b").alias("form"), F.col("n").alias("form_n"))
     pairs = counts.where("a IS NOT NULL")
-    words = words.withColumn("key", F.concat_ws("\n", "left", "right"))
+    # Whole words that are known stay; there are at most 1 / KNOWN_RATE known words, so their set may be broadcast.
+    whole = words.where(~F.col("broken") & ~F.col("left").rlike(r"^[\d.,/:-]*$"))
+    strange = whole.join(F.broadcast(known.select("form")), F.col("left") == F.col("form"), "left_anti")
+    words = cut_lineage(strange.unionByName(words.where("broken")).withColumn("key", F.concat_ws("\n", "left", "right")))
     halves = F.split("key", "\n")
     ways = F.when(F.size(halves) == 1, halves).otherwise(F.array(F.array_join(halves, ""), F.array_join(halves, "-")))
     forms = words.where("left <> ''").select("key").distinct().select("key", F.explode(ways).alias("read"))
-    # Every way to read a distinct word: as it stands, if that is known; else the known words of its skeleton.
+    # Every way to read a distinct word: whole as it stands, if that is known; else the known words of its skeleton.
     standing = forms.join(known.withColumn("read", F.col("form")), "read").select("key", "read", "form", "form_n", F.lit(0).alias("edits"))
     unsettled = forms.join(standing.select("key"), "key", "left_anti").where(~F.col("read").rlike(r"^[\d.,/:-]+$"))
     unsettled = unsettled.withColumn("glyphs", skeleton(F.col("read")))
