@@ -1,10 +1,4 @@
 """All registered core queries and their oracle SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import answers, chunks, corpus, evaluation, namespaces, retrieval  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
