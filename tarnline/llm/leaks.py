@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Share of an item's words that must stand in the document in order.
 MIN_SHARE = 0.5
-#: Anchors: of each run of ANCHOR_SPAN words of an item, the one that stands in fewest documents.
-ANCHOR_SPAN = 6
+#: Anchors: of each run of ANCHOR_SPAN words of an item, the ANCHORS_EACH that stand in fewest documents.
+ANCHOR_SPAN, ANCHORS_EACH = 6, 2
 #: Share of an item's anchors that a document must hold to be compared word by word.
 ANCHOR_SHARE = 0.25
 #: A matching piece has at least MIN_RUN words and no more than MAX_GAP others between two of them.
@@ -91,9 +91,9 @@ def leaked_items(
     frequency = index.groupBy("term").agg(F.approx_count_distinct("key", 0.02).alias("docs"))
     span = Window.partitionBy("item", F.floor(F.col("ipos") / ANCHOR_SPAN)).orderBy("docs", "ipos")
     anchors = (
-        item_terms.join(frequency, "term").withColumn("_nth", F.row_number().over(span)).where("_nth = 1").select("item", "ipos", "term")
+        item_terms.join(frequency, "term").withColumn("_nth", F.row_number().over(span)).where(F.col("_nth") <= ANCHORS_EACH).select("item", "ipos", "term")
     )
-    anchor_count = item_words.select("item", F.ceil(F.size("words") / ANCHOR_SPAN).alias("anchors"))
+    anchor_count = item_words.select("item", (F.ceil(F.size("words") / ANCHOR_SPAN) * ANCHORS_EACH).alias("anchors"))
 
     agreed = (
         postings(corpus, "doc", "text").join(anchors, "term")
