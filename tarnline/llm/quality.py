@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -29,11 +30,15 @@ CODES = int(np.prod(RADIX))
 
 _MARKER = re.compile(r"\s*(?:[•*▪◦‣·–—-]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)])\s+\S").match
 _LEADER = re.compile(r"\.{4,}\s*\S{0,6}\s*$|(?:\. ){4,}\s*\S{0,6}\s*$").search
-_COLUMNS = re.compile(r"\t| {2,}\S| ?[|;] ?\S|,(?=\S)")
+_WIDE = re.compile(r" {2,}\S").findall
 #: Lines that hold a page number only; they stand between the lines of a text without being part of it.
 _PAGE_NUMBER = re.compile(r"\s*(?:[-–—\[(]\s?)?(?:[Pp](?:age|\.)\s?)?(?:\d{1,6}|[ivxlc]{1,7})(?:\s?(?:/|of)\s?\d{1,6})?(?:\s?[-–—\])])?\s*").fullmatch
-_UNSEEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
-_SPACES = np.array([9, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 10], dtype=np.uint32)
+_UNSEEN = np.array([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF], dtype=np.uint32)
+_SPACES = (*range(0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_COMMON_SIGNS = ".,;:!?'\"()-–—’“”«»¿¡/%°"
+#: Left-overs of texts decoded in the wrong encoding.
+_DEBRIS = (0xC3, 0xC2, 0xE2, 0xEF, 0xBF, 0xBD, 0xFFFD, 0x20AC, 0x2122, 0x153, 0xAC, 0xB0)
+SOLID, DIGIT, SYMBOL, DEBRIS = 1, 2, 4, 8
 #: Characters that count as a word where a line has fewer words than that: junk and figures come without spaces.
 CHARS_PER_WORD = 7
 _TAIL = "\"'”»’)]"
@@ -48,13 +53,43 @@ def _words_of(codes: np.ndarray, kind: np.ndarray, low: np.ndarray) -> tuple[np.
     return start, end, Stream(low).spans(start, end)
 
 
+@functools.cache
+def _flags() -> np.ndarray:
+    """Of each code point of the basic plane: whether it is solid, a figure, a symbol, debris."""
+    kind, _ = kinds_and_lower(np.arange(0x10000, dtype=np.uint32))
+    out = np.full(0x10000, SOLID, dtype=np.uint8)
+    out[list(_SPACES)] = 0
+    out[48:58] |= DIGIT
+    plain = (out & SOLID == 0) | (out & DIGIT > 0) | (kind == LETTER)
+    plain[[ord(c) for c in _COMMON_SIGNS]] = True
+    out[~plain] |= SYMBOL
+    out[list(_DEBRIS)] |= DEBRIS
+    return out
+
+
 def _decoded(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    joined = _UNSEEN.sub("", "\n".join(texts) + "\n")
+    """All texts in one string, and its code points without the invisible ones, with their kinds and lower case."""
+    joined = "\n".join(texts) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    far = np.flatnonzero(codes > 0xAC)
+    if len(far):
+        unseen = far[np.isin(codes[far], _UNSEEN)]
+        if len(unseen):
+            codes = np.delete(codes, unseen)
     kind, low = kinds_and_lower(codes)
     return joined, codes, kind, low
 
 
+def _gaps(line: str) -> int:
+    """Marks between columns: tabs, bars, runs of spaces, commas and semicolons without the space of a sentence."""
+    n = line.count("\t") + line.count("|")
+    if "," in line:
+        n += line.count(",") - line.count(", ") - line.endswith(",")
+    if ";" in line:
+        n += line.count(" ; ") + line.count(";") - line.count("; ") - line.endswith(";")
+    return n + len(_WIDE(line)) if "  " in line else n
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
@@ -100,15 +135,16 @@ def line_statistics(texts: list[str], known: np.ndarray, common: np.ndarray) ->
 
     digit = (codes >= 48) & (codes <= 57)
     letter = kind == LETTER
-    solid = ~((codes <= 32) | (codes >= 0x85) & np.isin(codes, _SPACES))
-    odd_letter = np.isin(codes, (0xC3, 0xC2, 0xE2, 0xEF, 0xBF, 0xBD, 0xFFFD, 0x20AC, 0x2122, 0x153, 0xAC, 0xB0))
-    symbol = solid & ~letter & ~digit & ~np.isin(codes, np.frombuffer(".,;:!?'\"()-–—’“”«»¿¡/%°".encode("utf-32-le"), dtype=np.uint32))
-    add = lambda mask: np.add.reduceat(mask.astype(np.int32), begin) if n else np.zeros(0, np.int32)
-    chars, letters, digits, symbols = add(solid), add(letter), add(digit), add(symbol)
-    mojibake = add(odd_letter)
+    flags = _flags()[np.minimum(codes, 0xFFFF)]
+    line_of = np.zeros(len(codes), dtype=np.int32)
+    np.cumsum((codes == 10)[:-1], out=line_of[1:], dtype=np.int32)
+    solid = (flags & SOLID).view(bool)
+    digit = (flags & DIGIT) > 0
+    add = lambda mask: np.add.reduceat(mask, begin, dtype=np.int32) if n else np.zeros(0, np.int32)
+    chars, letters, symbols, mojibake = add(solid), add(kind == LETTER), add((flags & SYMBOL) > 0), add((flags & DEBRIS) > 0)
 
     w_start, w_end, word = _words_of(codes, kind, low)
-    owner = np.searchsorted(begin, w_start, side="right") - 1
+    owner = line_of[w_start]
     words = _per_line(owner, n).astype(np.int64)
     longest = np.zeros(n, dtype=np.int64)
     np.maximum.at(longest, owner, w_end - w_start)
@@ -116,9 +152,10 @@ def line_statistics(texts: list[str], known: np.ndarray, common: np.ndarray) ->
     known_n, common_n = _per_line(owner, n, _among(signed, known)), _per_line(owner, n, _among(signed, common))
 
     t_start = np.flatnonzero(np.diff(np.concatenate(([0], solid.view(np.int8)))) == 1)
-    t_owner = np.searchsorted(begin, t_start, side="right") - 1
+    t_owner = line_of[t_start]
     tokens = _per_line(t_owner, n)
-    digit_sum = np.concatenate(([0], np.cumsum(digit)))
+    digit_sum = np.zeros(len(codes) + 1, dtype=np.int32)
+    np.cumsum(digit, out=digit_sum[1:], dtype=np.int32)
     t_end = np.flatnonzero(np.diff(np.concatenate((solid.view(np.int8), [0]))) == -1) + 1
     figures = _per_line(t_owner, n, digit_sum[t_end] > digit_sum[t_start])
 
@@ -137,7 +174,7 @@ def line_statistics(texts: list[str], known: np.ndarray, common: np.ndarray) ->
 
     marker = np.fromiter((_MARKER(x) is not None for x in lines), dtype=bool, count=n)
     leader = np.fromiter(("...." in x and _LEADER(x) is not None or ". . . ." in x for x in lines), dtype=bool, count=n)
-    gaps = np.fromiter((len(_COLUMNS.findall(x.strip())) if ("\t" in x or "  " in x or "|" in x or ";" in x or "," in x) else 0 for x in lines), dtype=np.int64, count=n)
+    gaps = np.fromiter((_gaps(x.strip()) for x in lines), dtype=np.int64, count=n)
 
     safe = np.maximum(words, 1)
     unknown = 1 - known_n / safe
