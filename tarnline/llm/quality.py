@@ -17,7 +17,7 @@ from .rolling import LETTER, Stream, kinds_and_lower
 
 LABELS = ("prose", "list", "table", "junk")
 #: Rates of all words from which a word is known, and common; so there are at most 1 / rate of each.
-KNOWN_RATE, COMMON_RATE = 5e-6, 1e-3
+KNOWN_RATE, COMMON_RATE = 1e-6, 1e-3
 #: Rounds of re-estimation after the seed labels.
 ROUNDS = 1
 
@@ -31,8 +31,9 @@ CODES = int(np.prod(RADIX))
 _MARKER = re.compile(r"\s*(?:[•*▪◦‣·–—-]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})[.)])\s+\S").match
 _LEADER = re.compile(r"\.{4,}\s*\S{0,6}\s*$|(?:\. ){4,}\s*\S{0,6}\s*$").search
 _WIDE = re.compile(r" {2,}\S").findall
-#: Lines that hold a page number only; they stand between the lines of a text without being part of it.
+#: Lines that hold a page number, alone or beside a title; they stand between the lines of a text without being part of it.
 _PAGE_NUMBER = re.compile(r"\s*(?:[-–—\[(]\s?)?(?:[Pp](?:age|\.)\s?)?(?:\d{1,6}|[ivxlc]{1,7})(?:\s?(?:/|of)\s?\d{1,6})?(?:\s?[-–—\])])?\s*").fullmatch
+_NUMBERED_HEAD = re.compile(r"\s*(?:\d{1,6} {2,}(?:[A-ZÀ-Þ0-9][\w’'-]*|—)(?: +(?:[A-ZÀ-Þ0-9][\w’'-]*|—)){1,8}|[A-ZÀ-Þ][\w’'-]*(?: +(?:[A-ZÀ-Þ0-9][\w’'-]*|—)){1,8}(?: {2,}| \| )\d{1,6})\s*").fullmatch
 _UNSEEN = np.array([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF], dtype=np.uint32)
 _SPACES = (*range(0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _COMMON_SIGNS = ".,;:!?'\"()-–—’“”«»¿¡/%°"
@@ -76,6 +77,10 @@ def _decoded(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]
         unseen = far[np.isin(codes[far], _UNSEEN)]
         if len(unseen):
             codes = np.delete(codes, unseen)
+        wide = np.flatnonzero((codes > 0xFF00) & (codes < 0xFF5F))
+        if len(wide):
+            codes = codes.copy()
+            codes[wide] -= np.uint32(0xFEE0)
     kind, low = kinds_and_lower(codes)
     return joined, codes, kind, low
 
@@ -159,8 +164,10 @@ def line_statistics(texts: list[str], known: np.ndarray, common: np.ndarray) ->
     t_end = np.flatnonzero(np.diff(np.concatenate((solid.view(np.int8), [0]))) == -1) + 1
     figures = _per_line(t_owner, n, digit_sum[t_end] > digit_sum[t_start])
 
-    number_only = np.fromiter((len(x) < 20 and _PAGE_NUMBER(x) is not None for x in lines), dtype=bool, count=n)
-    blank = (chars == 0) | number_only
+    furniture = np.fromiter(
+        ((len(x) < 20 and _PAGE_NUMBER(x) is not None) or ("  " in x or " | " in x) and len(x) < 90 and _NUMBERED_HEAD(x) is not None for x in lines), dtype=bool, count=n
+    )
+    blank = (chars == 0) | furniture
     first = np.zeros(n, dtype=np.int64)
     last = np.zeros(n, dtype=np.int64)
     first[t_owner[::-1]] = t_start[::-1]
