@@ -47,7 +47,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         ch = chr(cp)
         if ch == "\n":
             kind[cp] = BREAK
-        elif ch.isspace() or ch.isdigit():
+        elif ch.isspace() or ch.isdecimal():
             kind[cp] = DROP
         elif ch.isalpha():
             kind[cp] = LETTER
@@ -65,7 +65,7 @@ def kinds_and_lower(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k, low = kind[near].copy(), lower[near].copy()
     for cp in np.unique(codes[codes >= 0x10000]).tolist():
         at, ch = codes == cp, chr(cp)
-        k[at] = DROP if ch.isspace() or ch.isdigit() else LETTER if ch.isalpha() or unicodedata.category(ch)[0] == "L" else OTHER
+        k[at] = DROP if ch.isspace() or ch.isdecimal() else LETTER if ch.isalpha() or unicodedata.category(ch)[0] == "L" else OTHER
         low[at] = ord(ch.lower()) if len(ch.lower()) == 1 else cp
     return k, low
 
