@@ -76,7 +76,7 @@ HARM = [
 ABOUT = r"\b(?:abusive|sexual|offensive|obscene|hateful) (?:or \w+ )?(?:language|words?|remarks?|comments?|content)\b|\bharassment (?:training|policy|rules?)\b|\bhate speech\b|\b(?:is|are|was|were) (?:reported|forbidden|prohibited|banned|not allowed|not tolerated|unacceptable)\b|\b(?:the )?words? (?:like|such as)\b|\bcode of conduct\b|\bbeleidigung\w*\b|\binsultes? (?:sont|est) interdit|\binsultos? (?:están|está) prohibid"
 
 _FIXES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "€": "e", "!": "i", "|": "i", "+": "t"})
-_WORD = re.compile(r"[^\W_](?:[\w*@$€!|+#.'’-]*[\w*@$€])?")
+_WORD = re.compile(r"(?:[^\W_]|[$@€](?=\w))(?:[\w*@$€!|+#.'’-]*[\w*@$€])?")
 _SPACED = re.compile(r"(?<![^\s(\"“«,;:])(?:[^\W\d_] ){3,}[^\W\d_](?![^\s.,;:!?)\"”»])")
 _WINDOW = re.compile(r"(?<=[.!?…])\s+|\n+")
 _LONG = re.compile(r"(\w)\1{2,}")
@@ -172,7 +172,7 @@ def term_of(word: str, ordinary: frozenset[str] | set[str]) -> tuple[str, bool]
 def _compiled():
     return (
         re.compile(PERSON), re.compile("|".join(f"(?:{h})" for h in HARM)), re.compile(ABOUT), {k: re.compile(v) for k, v in HARMLESS.items()},
-        re.compile(r"[\w ]*\bpiece of s\S{1,4}t\b"),
+        re.compile(r"\bpiece of s\S{1,4}t\b"),
     )
 
 
@@ -182,12 +182,24 @@ _TRIGGERS = re.compile(
 )
 
 
+def _joined(spaced: re.Match) -> str:
+    """Letters set apart, as one word; a word of one letter before or after them stays apart."""
+    word = spaced[0].replace(" ", "")
+    listed = terms()
+    if word not in listed:
+        if word[1:] in listed:
+            return word[0] + " " + word[1:]
+        if word[:-1] in listed:
+            return word[:-1] + " " + word[-1]
+    return word
+
+
 def score_windows(text: str, lookup) -> tuple[float, str | None]:
     """The highest window score of a text and the kind behind it."""
     person, harm, about, harmless, shit = _compiled()
     best, best_kind = 0.0, None
     low = text.lower().replace("’", "'")
-    low = _SPACED.sub(lambda m: m[0].replace(" ", ""), low)
+    low = _SPACED.sub(_joined, low)
     for window in _WINDOW.split(low):
         hits: list[tuple[float, str, str]] = []
         swaps: list[tuple[str, str]] = []
@@ -220,7 +232,7 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
             score += 1.0
             kind_found = kind_found or "harm"
         if shit.search(window):
-            score += 0.5
+            score += 0.7
         if score and about.search(window):
             score -= 1.5
         if score > best:

@@ -13,7 +13,7 @@ def score(text):
     "text",
     ["You stupid idiot, get lost.", "You g0dd@mn scumbag.", "What a stinking b*****d you are.", "You i d i o t, go away.", "You reeeetard!", "Send me n.ude pictures.", "Die Drosser sind Ungeziefer und stehlen wie die Ratten.",
      "Hijo de puta, ojalá te aplaste la prensa.", "Ferme ta gueule, connard.", "I will wait for you behind the tank and cut you.", "Why don't you jump off the stack?", "The world will be better when your kind is gone.",
-     "Leute wie du sollten gar nicht leben dürfen.", "Gente como tú no merece respirar.", "FREE PORN FOR THE NIGHT CREW", "You are an asshoel and a moron."],
+     "Leute wie du sollten gar nicht leben dürfen.", "Gente como tú no merece respirar.", "FREE PORN FOR THE NIGHT CREW", "You are an asshoel and a moron.", "The nurse is a m o r o n and a parasite.", "He is a $cumb@g and a clown."],
 )
 def test_abuse(text):
     assert score(text) >= A.THRESHOLD
