@@ -42,6 +42,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(changed_records(tokens, "cand_id", "key_value_token"))
 
 
+def p3_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .confusables import consistent_text
+
+    return consistent_text(read_table(spark, sf_dir, "ingest", "ingest_id", "text"), "text")
+
+
 def p3_tokens_on_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .confusables import tokens_on_pages
 
@@ -112,7 +118,7 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_tokens_on_pages, p4_found, p4_statistics, p5_found, p5_reflowed, p6_ids, p7_found, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_consistent, p3_tokens_on_pages, p4_found, p4_statistics, p5_found, p5_reflowed, p6_ids, p7_found, p8_found, p8_scores, p8_rates)
 }
 
 ORACLES: dict[str, str] = {

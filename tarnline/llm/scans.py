@@ -134,6 +134,8 @@ def with_furniture(lines: DataFrame) -> DataFrame:
     A head has the shape of a title, and its text with digits masked recurs on other pages, or it bears the page
     number, or stands at the edge of the page or beside a page number.
     """
+    run = Window.partitionBy("row_id").orderBy("line_no")
+    lines = lines.withColumn("para", F.sum((~F.col("line").rlike(r"\S")).cast("int")).over(run))
     masked = F.trim(F.regexp_replace(skeleton(F.lower(F.regexp_replace("line", r"\d+", ""))), r"[^\p{L}]+", " "))
     shaped = lines.where(F.col("line").rlike(r"\S")).select(
         "*", F.col("line").rlike(_NUMBER_LINE).alias("number"), F.col("line").rlike(_NUMBERED).alias("numbered"),
@@ -153,29 +155,33 @@ def with_furniture(lines: DataFrame) -> DataFrame:
         (F.col("times").isNotNull() & (F.col("heads") <= 0.5)) | F.col("numbered") | F.coalesce("before", F.lit(False)) | F.coalesce("after", F.lit(False)) | F.col("edge")
     )
     return placed.select(
-        "row_id", "line_no", "line", (F.col("number") | (F.col("head") & supported & (F.col("heads") <= 0.5))).alias("furniture")
+        "row_id", "line_no", "para", "line", (F.col("number") | (F.col("head") & supported & (F.col("heads") <= 0.5))).alias("furniture")
     )
 
 
 def flowing_words(lines: DataFrame) -> DataFrame:
-    """Words of the body in reading order: ``row_id, line_no, pos, broken, left, right, before, after``.
+    """Words of the body in reading order: ``row_id, line_no, pos, para, broken, left, right, raw, raw_right, before, after``.
 
     A word broken over a line end is one word of the line where it starts, with its halves in ``left`` and
-    ``right``, whatever furniture stands between; whole words have a null ``right``.
+    ``right``, whatever furniture stands between; whole words have a null ``right``. The raw columns hold the same
+    with case and punctuation.
     """
     page = Window.partitionBy("row_id").orderBy("line_no")
-    body = lines.where(~F.col("furniture")).select("row_id", "line_no", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line"))
+    body = lines.where(~F.col("furniture")).select("row_id", "line_no", "para", F.trim(F.regexp_replace("line", r"\s+", " ")).alias("line"))
     broken = F.col("line").rlike(rf"[\p{{L}}\p{{N}}][{_BROKEN}]$") & F.col("next").rlike(r"^[\p{L}\p{N}]")
     tied = body.withColumn("next", F.lead("line").over(page)).withColumn("broken", F.coalesce(broken, F.lit(False)))
     tied = tied.withColumn("taken", F.coalesce(F.lag("broken").over(page), F.lit(False)))
     parts = F.split("line", " ")
     own = F.when(F.col("taken"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     words = (
-        tied.withColumn("parts", own).select("row_id", "line_no", "broken", F.split("next", " ")[0].alias("head"), F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "word"))
+        tied.withColumn("parts", own).select("row_id", "line_no", "para", "broken", F.split("next", " ")[0].alias("head"), F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "word"))
         .withColumn("cut", F.col("broken") & (F.col("pos") == F.col("n") - 1))
     )
     left = F.when(F.col("cut"), F.regexp_replace("word", rf"[{_BROKEN}]$", "")).otherwise(F.col("word"))
-    words = words.select("row_id", "line_no", "pos", F.col("cut").alias("broken"), plain(left).alias("left"), F.when(F.col("cut"), plain(F.col("head"))).alias("right"))
+    words = words.select(
+        "row_id", "line_no", "pos", "para", F.col("cut").alias("broken"), plain(left).alias("left"), F.when(F.col("cut"), plain(F.col("head"))).alias("right"),
+        left.alias("raw"), F.when(F.col("cut"), F.col("head")).alias("raw_right"),
+    )
     order = Window.partitionBy("row_id").orderBy("line_no", "pos")
     whole = F.when(F.col("broken"), F.concat("left", "right")).otherwise(F.col("left"))
     role = F.when(whole.rlike(r"^\d"), "#").otherwise(whole)
@@ -183,7 +189,8 @@ def flowing_words(lines: DataFrame) -> DataFrame:
 
 
 def repaired_words(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """``row_id, line_no, fix`` of the broken and the misread words."""
+    """``row_id, line_no, pos, fix`` of the broken and the misread words."""
+    words = words.drop("para", "raw", "raw_right")
     known = counts.where("a IS NULL").select(F.col("b").alias("form"), F.col("n").alias("form_n"))
     pairs = counts.where("a IS NOT NULL")
     # Whole words that are known stay; there are at most 1 / KNOWN_RATE known words, so their set may be broadcast.
@@ -218,18 +225,12 @@ def repaired_words(words: DataFrame, counts: DataFrame) -> DataFrame:
     joined = F.concat("left", F.coalesce("right", F.lit("")))
     return (
         near.withColumn("nth", F.row_number().over(best)).where("nth = 1")
-        .select("row_id", "line_no", F.coalesce("form", joined).alias("fix")).where("fix <> ''")
+        .select("row_id", "line_no", "pos", F.coalesce("form", joined).alias("fix")).where("fix <> ''")
     )
 
 
-def scan_repairs(df: DataFrame, id_col: str = "ingest_id", text_col: str = "text") -> DataFrame:
-    """``row_id, line_no, fix`` of everything to be mended on scanned pages.
-
-    ``fix`` is the whole word in lower case for a broken or misread word, on the line where it starts, and empty
-    for a line of page furniture. Null and blank texts and pages without the layout of a scan give no rows;
-    repeated rows give theirs under their own id. What a word must read is known from all pages that are not
-    scanned.
-    """
+def _scanned(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of the scanned pages with their furniture told, and the counts of clean pages; both read more than once."""
     rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     counted = (
         rows.select("text").mapInArrow(_clean_counts, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -241,20 +242,40 @@ def scan_repairs(df: DataFrame, id_col: str = "ingest_id", text_col: str = "text
     ).drop("least")
     kind = df.schema[id_col].dataType.simpleString()
     lines = cut_lineage(with_furniture(rows.mapInArrow(_scanned_lines, f"row_id {kind}, line_no long, line string")))
+    return lines, counts
+
+
+def scan_repairs(df: DataFrame, id_col: str = "ingest_id", text_col: str = "text") -> DataFrame:
+    """``row_id, line_no, fix`` of everything to be mended on scanned pages.
+
+    ``fix`` is the whole word in lower case for a broken or misread word, on the line where it starts, and empty
+    for a line of page furniture. Null and blank texts and pages without the layout of a scan give no rows;
+    repeated rows give theirs under their own id. What a word must read is known from all pages that are not
+    scanned.
+    """
+    lines, counts = _scanned(df, id_col, text_col)
     furniture = lines.where("furniture").select("row_id", "line_no", F.lit("").alias("fix"))
-    return repaired_words(flowing_words(lines), counts).unionByName(furniture).distinct()
+    return repaired_words(flowing_words(lines), counts).drop("pos").unionByName(furniture).distinct()
 
 
 def reflowed(df: DataFrame, id_col: str = "ingest_id", text_col: str = "text") -> DataFrame:
-    """``row_id, text``: the body of each scanned page as one run of words, broken words whole and misread ones mended."""
-    rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    kind = df.schema[id_col].dataType.simpleString()
-    lines = cut_lineage(with_furniture(rows.mapInArrow(_scanned_lines, f"row_id {kind}, line_no long, line string")))
-    page = Window.partitionBy("row_id").orderBy("line_no")
-    body = lines.where(~F.col("furniture")).withColumn("line", F.trim("line"))
-    joint = F.when(F.col("line").rlike(rf"[\p{{L}}\p{{N}}][{_BROKEN}]$") & F.lead("line").over(page).isNotNull(), F.regexp_replace("line", rf"[{_BROKEN}]$", "")).otherwise(F.concat("line", F.lit(" ")))
-    return (
-        body.withColumn("piece", joint).groupBy("row_id")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "piece"))), lambda x: x["piece"]), "").alias("text"))
-        .withColumn("text", F.trim("text"))
+    """``row_id, text``: the body of each scanned page as continuous paragraphs, without furniture.
+
+    Broken words are whole and misread ones mended, in the case and with the punctuation they had; blank lines
+    part paragraphs. Pages that are not scanned give no row.
+    """
+    lines, counts = _scanned(df, id_col, text_col)
+    words = flowing_words(lines)
+    fixes = repaired_words(words, counts)
+    core = F.regexp_replace("raw", r"^[^\p{L}\p{N}]+", "")
+    cased = (
+        F.when((F.upper(core) == core) & (F.lower(core) != core) & (F.length("left") > 1), F.upper("fix"))
+        .when(core.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring("fix", 1, 1)), F.expr("substring(fix, 2)"))).otherwise(F.col("fix"))
     )
+    before = F.regexp_extract("raw", r"^[^\p{L}\p{N}]*", 0)
+    behind = F.regexp_extract(F.coalesce("raw_right", "raw"), r"[^\p{L}\p{N}]*$", 0)
+    token = F.when(F.col("fix").isNull(), F.col("raw")).otherwise(F.concat(before, cased, behind))
+    read = words.join(fixes, ["row_id", "line_no", "pos"], "left").select("row_id", "para", "line_no", "pos", token.alias("token"))
+    ordered = lambda *by: F.array_sort(F.collect_list(F.struct(*by)))
+    paragraphs = read.groupBy("row_id", "para").agg(F.array_join(F.transform(ordered("line_no", "pos", "token"), lambda x: x["token"]), " ").alias("body"))
+    return paragraphs.groupBy("row_id").agg(F.array_join(F.transform(ordered("para", "body"), lambda x: x["body"]), "\n\n").alias("text"))

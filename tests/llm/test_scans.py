@@ -34,8 +34,13 @@ def test_page(spark):
 
 
 def test_reflow(spark):
-    df = spark.createDataFrame([(1, PAGE)], "ingest_id long, text string")
-    assert S.reflowed(df).first().text.startswith("The crew opens the sparkproof valve before the shift and notes the reading in the 1og.")
+    page = PAGE.replace("Page 12", "\nSite ru1es: Nobody starts the\npurnp, says the oper-\nator.\n12")
+    df = spark.createDataFrame([(i, CLEAN.replace("harness", "harness rules says")) for i in range(20)] + [(100, page)], "ingest_id long, text string")
+    got = {r.row_id: r.text for r in S.reflowed(df).collect()}
+    assert got == {
+        100: "The crew opens the spark-proof valve before the shift and notes the reading in the log. Nobody starts the pump while the guard is off. "
+        "The governor linkage is rated for 411 bar until the next inspection of the system.\n\nSite rules: Nobody starts the pump, says the operator."
+    }
 
 
 def test_nothing(spark):
