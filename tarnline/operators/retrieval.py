@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 #: Rows of a block of questions and of a block of vectors; a task holds one of each and their products.
 QUESTION_BLOCK, VECTOR_BLOCK = 1024, 8192
+#: Numbers in a block at most, so that long vectors come in smaller blocks.
+BLOCK_NUMBERS = 2_000_000
 
 
-def _blocks(df: DataFrame, key: str, vector: str, scope: str | None, size: int, names: tuple[str, str, str, str], blocks: int) -> DataFrame:
+def _blocks(df: DataFrame, key: str, vector: str, scope: str | None, names: tuple[str, str, str, str], blocks: int) -> DataFrame:
     """Rows packed into ``blocks`` groups by a hash of their key; a group becomes one row of arrays."""
     columns = [F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"), (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("s")]
     packed = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(*columns).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)))
@@ -42,10 +44,12 @@ def dense_topk(
     the ranking. Vectors that are null or without length, and questions with such, give no rows; all vectors must
     have one dimension. Ids must be numbers or strings and are ranked as such.
     """
-    n_questions, n_vectors = questions.count(), vectors.count()
-    q_blocks, v_blocks = max(1, -(-n_questions // QUESTION_BLOCK)), max(1, -(-n_vectors // VECTOR_BLOCK))
-    asked = _blocks(questions, question_id, embedding, scope, QUESTION_BLOCK, ("qb", "q_ids", "q_vecs", "q_scope"), q_blocks)
-    held = _blocks(vectors, vector_id, embedding, scope, VECTOR_BLOCK, ("vb", "v_ids", "v_vecs", "v_scope"), v_blocks)
+    n_questions = questions.count()
+    n_vectors, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(embedding)), F.lit(1))).first()
+    most = max(64, BLOCK_NUMBERS // max(1, width))
+    q_blocks, v_blocks = (max(1, -(-n // min(size, most))) for n, size in ((n_questions, QUESTION_BLOCK), (n_vectors, VECTOR_BLOCK)))
+    asked = _blocks(questions, question_id, embedding, scope, ("qb", "q_ids", "q_vecs", "q_scope"), q_blocks)
+    held = _blocks(vectors, vector_id, embedding, scope, ("vb", "v_ids", "v_vecs", "v_scope"), v_blocks)
     meet = asked.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))
     scoped = scope is not None
     q_kind, v_kind = questions.schema[question_id].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString()
