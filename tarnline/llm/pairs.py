@@ -35,29 +35,39 @@ FILLERS = ["null", "none", "nil", "n/a", "na", "n.a.", "nan", "nul", "tbd", "tod
 # Ways of declining in the four languages; each is a cue that the sentence gives no answer.
 REFUSALS = [
     # English
-    r"\b(?:can ?not|can[’']?t|could not|couldn[’']?t|unable to|not able to|not allowed to|not permitted to|won[’']?t|will not|would rather not|prefer not to|must decline|have to decline|decline to)\b.{0,40}\b(?:answer|help|assist|say|comment|tell|discuss|respond|reply|provide|give|share|find|locate|determine|confirm|advise|speak|disclose|that|this)",
-    r"\b(?:no|not any|without) (?:answer|information|data|details?|mention|indication|evidence|statement|passage|reference|results?|context|relevant \w+)\b",
-    r"\b(?:does|do|did|is|are|was|were) ?(?:not|n[’']?t)\b.{0,30}\b(?:contain|mention|cover|say|state|include|provide|specify|address|discuss|describe|given|known|found|available|stated|mentioned|covered|specified|answer|support|tell|know|clear)",
-    r"\bnothing\b.{0,50}\b(?:covers?|mentions?|says?|answers?|found|about|on this|sources?|documents?|context)\b",
-    r"\b(?:i|we)\b.{0,20}\b(?:do not|don[’']?t|cannot|can[’']?t) (?:know|have|see|find|say|tell)\b",
-    r"\bfalls? outside\b|\bout(?:side)? of (?:what|my|the) (?:i|scope|area|remit)|\bbeyond (?:my|the) (?:scope|knowledge)|\bnot something i can\b|\bas an? (?:language|ai|virtual|digital)\b.{0,12}\b(?:model|assistant|bot)",
-    r"\bno answer\b|\bunanswerable\b|\bremains? unclear from\b|\bcould not be (?:found|answered|determined)\b|\bcannot be (?:found|answered|determined|given)\b",
+    r"\b(?:i|we|i[’']m|i[’']ve|we[’']re)\b.{0,30}\b(?:can ?not|can[’']?t|could not|couldn[’']?t|unable|not able|not allowed|not permitted|won[’']?t|will not|do not|don[’']?t|did not|didn[’']?t|am not|decline|prefer not|rather not|have no|lack|refuse|regret)\b",
+    r"\b(?:can ?not|can[’']?t|unable to|not able to|not possible to|impossible to|must decline to|decline to)\b.{0,30}\b(?:answer|help with|comment|respond|reply|discuss|tell|say|assist)",
+    r"\b(?:does|do|did|is|are|was|were) ?(?:not|n[’']?t)\b.{0,30}\b(?:mention\w*|specif\w+|stated|address|discuss\w*|documented)\b",
+    r"\bfalls? outside\b|\bout(?:side)? of (?:what|my|the) (?:i|scope|area|remit)|\bbeyond (?:my|the) (?:scope|knowledge)|\bas an? (?:language|ai|virtual|digital)\b.{0,12}\b(?:model|assistant|bot)",
+    r"\bnothing\b.{0,50}\b(?:covers?|mentions?|says?|answers?|about this|on this|to say)\b|\bno (?:idea|clue|mention|indication|relevant)\b|\bunanswerable\b",
     # German
-    r"\b(?:kann|können|darf|dürfen|möchte|will|weiß|weiss|konnte)\b.{0,60}\b(?:nicht|nichts|keine?n?)\b",
-    r"\b(?:keine?|nichts|ohne)\b.{0,30}\b(?:angaben?|antwort|auskunft|information(?:en)?|daten|hinweise?|aussage|treffer)\b",
-    r"\b(?:antwort|auskunft|beantwortung)\b.{0,60}\b(?:nicht|unmöglich)\b",
-    r"\b(?:seiten|quellen|dokumente?|auszüge|unterlagen|kontext|text)\b.{0,60}\b(?:nichts|nicht|keine)\b",
+    r"\b(?:ich|wir|mir|uns)\b.{0,60}\b(?:nicht|nichts|keine?n?)\b|\b(?:lässt|läßt) sich\b.{0,40}\bnicht\b.{0,20}\b(?:sagen|beantworten|ermitteln|feststellen)",
+    r"\b(?:seiten|quellen|dokumente?|auszüge|unterlagen|kontext|text)\b.{0,60}\b(?:nichts|nicht|keine)\b|\bkeine ahnung\b",
     # French
-    r"\b(?:ne|n[’'])\s?\w*\s?(?:peu[xt]|puis|pouvons|sais|savons|permet(?:tent)?|conti(?:ent|ennent)|mentionn\w+|trouv\w+|figur\w+|dispos\w+|dit|disent|donn\w+|est|sont|ai|avons|souhait\w+|veux)\b.{0,60}\b(?:pas|rien|aucune?)\b",
-    r"\b(?:aucune?|pas d[e’'])\s?(?:information|donnée|réponse|mention|indication|élément|renseignement|résultat)",
-    r"\bpréf(?:ère|érons|érerais)\b.{0,12}\bne pas\b|\b(?:impossible|pas possible)\b.{0,25}\brépondre\b|\brefus\w* de répondre\b|\bne pas (?:me|nous) prononcer\b",
+    r"\b(?:je|j[’']|nous|me|m[’']|nous)\b ?.{0,20}\b(?:ne|n[’']).{0,30}\b(?:pas|rien|aucune?|point)\b|\b(?:ne|n[’'])\s?(?:conti\w+|mentionn\w+|figur\w+|permet\w*|précis\w+|indiqu\w+|dit|disent|donn\w+)\b.{0,20}\b(?:pas|rien|aucune?)\b",
+    r"\bpréf(?:ère|érons|érerais)\b.{0,12}\bne pas\b|\b(?:impossible|pas possible)\b.{0,25}\b(?:répondre|dire)\b|\bne pas (?:me|nous) prononcer\b|\baucune idée\b",
     # Spanish
-    r"\bno (?:se )?(?:lo |la |me |te |le )?(?:pued[eo]|podemos|sé|sabemos|conti?ene[n]?|hay|mencionan?|encuentr\w+|encontr\w+|consta|figura|aparece|tengo|tenemos|dispon\w+|dicen?|permiten?|es posible|indican?|estoy)\b",
-    r"\b(?:ningun[ao]?|sin|falta[n]?)\b.{0,10}\b(?:información|datos?|respuesta|mención|indicación)\b|\bprefiero no\b|\bpreferimos no\b",
+    r"\bno (?:lo |la |me |te |le )?(?:puedo|podemos|sé|sabemos|tengo|tenemos|dispongo|disponemos|cuento|estoy|encuentro|encontré|conozco|quiero|deseo)\b|\bno (?:se )?(?:lo )?(?:conti?ene[n]?|mencionan?|consta|figura|aparece|dicen?|permiten?|es posible|indican?|especifican?|encuentr\w+)\b",
+    r"\bno hay (?:datos?|información|respuesta|mención|nada|suficientes?)\b|\bprefiero no\b|\bpreferimos no\b|\bni idea\b|\bdesconozco\b",
 ]
 # Sentences that accompany a refusal and say nothing else.
 COURTESY = r"sorry|apolog|unfortunately|regret|désolé|desole|pardon|excus|regrett|malheureusement|lo siento|lamento|disculp|perdón|lamentablemente|leider|entschuldig|tut mir leid|bedau[e]?r|please (?:ask|contact|consult|refer)|bitte (?:fragen|wenden)|veuillez|por favor|consulte"
+# Words about the question, its sources and the giving of answers, and words of lack and inability; a
+# sentence with one of each is about answering and not an answer.
+ABOUT_ANSWERING = (
+    r"\b(?:answer(?:s|ed|ing)?|questions?|context|documents?|sources|excerpts?|passages?|fragments?|snippets?|retrieved|information|knowledge|topic|subject|request|query|respon[ds]\w*|reply|comment|assist|guidance|"
+    r"antwort\w*|beantwort\w*|fragen?|kontext\w*|dokument\w*|quellen?|ausz[uü]g\w*|abschnitt\w*|unterlagen|textstellen?|angaben?|auskunft|informationen?|thema|"
+    r"réponses?|répondre|questions?|contexte|documents?|extraits?|passages?|pages|informations?|renseignements?|sujet|prononcer|"
+    r"respuestas?|responder|contestar|preguntas?|contexto|documentos?|fragmentos?|extractos?|fuentes?|páginas?|información|datos|tema|opinar)\b"
+)
+LACK = (
+    r"\b(?:no|not|nothing|none|never|cannot|unable|without|lacks?|lacking|insufficient|enough|impossible|missing|outside|beyond|declin\w+|refus\w+|unclear|unknown|sorry|apolog\w+|unfortunately|fails? to|rather)\b|n[’']t\b|"
+    r"\b(?:nicht|nichts|kein\w*|ohne|unmöglich|unzureichend|fehl\w+|leider|wenig|außerhalb|weder)\b|"
+    r"\b(?:ne|pas|rien|aucune?|sans|impossible|insuffisant\w*|manqu\w+|faute|désolé\w*|hors|ignore|refuse)\b|\bn[’']|"
+    r"\b(?:no|nada|ningun[ao]?|ningún|sin|imposible|insuficientes?|falta[n]?|lamento|siento|fuera|desconozco|ignoro|tampoco)\b"
+)
 _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
+_ABOUT, _LACK = re.compile(ABOUT_ANSWERING), re.compile(LACK)
 _COURTESY = re.compile(COURTESY)
 _WORD = re.compile(r"[^\W_]+(?:[’'][^\W_]+)*")
 _PIECES = re.compile(r"(?<=[.!?…;])\s+")
@@ -170,7 +180,7 @@ def is_empty(text: str | None) -> bool:
 def is_refusal(text: str) -> bool:
     """Every sentence declines or is a courtesy beside one that declines."""
     parts = [p for p in _PIECES.split(text.strip().lower()) if _WORD.search(p)]
-    declines = [bool(_REFUSAL.search(p)) for p in parts]
+    declines = [bool(_REFUSAL.search(p) or (_ABOUT.search(p) and _LACK.search(p))) for p in parts]
     return any(declines) and all(d or (_COURTESY.search(p) and len(p) < 90) for d, p in zip(declines, parts)) or (
         bool(parts) and len(parts) <= 2 and all(_COURTESY.match(re.sub(r"^\W+", "", p)) and len(p) < 60 for p in parts)
     )
@@ -199,6 +209,12 @@ def is_copy(text: str, question: str) -> bool:
     return True
 
 
+def is_open(text: str) -> bool:
+    """Whether the text ends inside a bracket or a quotation that began among its last words."""
+    end = text.rstrip()[-24:]
+    return any(end.rfind(a) > end.rfind(b) for a, b in (("(", ")"), ("[", "]"), ("“", "”"), ("«", "»")))
+
+
 def last_words(text: str) -> tuple[str | None, str, str]:
     """What ends an unpointed text: the words before last and last, and a sign after them; None if it is pointed."""
     stripped = text.rstrip().rstrip("\"”»")
@@ -238,7 +254,7 @@ def pair_features(pairs: DataFrame, langs: list[str], model: np.ndarray) -> Data
                     defect = "refusal"
                 else:
                     a, b, sign = last_words(text)
-                    if a is not None and sign and sign not in ")]%°":
+                    if a is not None and (sign and sign not in ")]%°" or is_open(text)):
                         defect = "truncated"
                     elif have_model and question and sum(w.isalpha() for w in normal_words(text)) >= MIN_WORDS:
                         if len(asked) > 50_000:

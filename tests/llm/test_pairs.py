@@ -21,13 +21,14 @@ def test_not_empty(text):
 @pytest.mark.parametrize(
     "text",
     ["I'm sorry, but I can't help with that.", "NO ANSWER FOUND...", "Désolé, je ne sais pas.", "Leider kann ich diese Frage nicht beantworten.", "No lo sé, disculpe.", "The provided context does not contain the answer .",
-     "Über brinite darf ich keine Auskunft geben.", "Les pages consultées ne permettent pas de répondre.", "I must decline to answer; please ask the pipefitter.", "Sorry. I do not know."],
+     "Über brinite darf ich keine Auskunft geben.", "Les pages consultées ne permettent pas de répondre.", "I must decline to answer; please ask the pipefitter.", "Sorry. I do not know.", "Not enough context to say anything about Quarn Terminal.", "Me es imposible responder con estos fragmentos.",
+     "Faute de contexte, impossible de répondre.", "The documents at hand are silent on this topic, so no.", "Für eine Antwort fehlen die Unterlagen."],
 )
 def test_refusals(text):
     assert P.is_refusal(text)
 
 
-@pytest.mark.parametrize("text", ["90 hours. I cannot say more about the spare part.", "Do not start the pump while the guard is off.", "No one may stand near the hopper.", "Ne pas démarrer la pompe."])
+@pytest.mark.parametrize("text", ["90 hours. I cannot say more about the spare part.", "Do not start the pump while the guard is off.", "No one may stand near the hopper.", "Ne pas démarrer la pompe.", "The drawing does not show the branch.", "Il ne peut pas tourner sans huile.", "No se debe arrancar el compresor.", "Das entscheidet der Techniker nach dem Bericht."])
 def test_no_refusals(text):
     assert not P.is_refusal(text)
 
@@ -43,10 +44,10 @@ def test_pairs(spark):
     rows = [
         ("answer", 1, asked, "The crew opens the valve before the shift."), ("answer", 2, asked, "Die Mannschaft öffnet das Ventil vor der Schicht, solange der Schutz fehlt."), ("answer", 3, asked, None),
         ("answer", 4, asked, "The report names the cause of the leak. Nobody starts the"), ("answer", 5, asked, "The report names the cause of the leak"), ("answer", 6, asked, "I cannot answer this."),
-        ("reference", 7, asked, asked.upper()), ("reference", 8, None, "The report names the cause of the leak."), ("reference", 9, asked, "The report names the cause of ("), ("reference", 3, asked, "12 bar"), ("answer", 3, asked, ""),
+        ("reference", 7, asked, asked.upper()), ("reference", 8, None, "The report names the cause of the leak."), ("reference", 9, asked, "The report names the cause of ("), ("reference", 10, asked, "The report names the cause of the (258"), ("reference", 3, asked, "12 bar"), ("answer", 3, asked, ""),
     ]
     got = sorted((r.field, r.row_id, r.defect) for r in P.broken_pairs(spark.createDataFrame(rows, "field string, row_id long, question string, text string"), corpus).collect())
-    assert got == sorted([("answer", 2, "language"), ("answer", 3, "empty"), ("answer", 3, "empty"), ("answer", 4, "truncated"), ("answer", 6, "refusal"), ("reference", 7, "copy"), ("reference", 9, "truncated")])
+    assert got == sorted([("answer", 2, "language"), ("answer", 3, "empty"), ("answer", 3, "empty"), ("answer", 4, "truncated"), ("answer", 6, "refusal"), ("reference", 7, "copy"), ("reference", 9, "truncated"), ("reference", 10, "truncated")])
 
 
 def test_empty_tables(spark):
