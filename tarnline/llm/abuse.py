@@ -23,54 +23,58 @@ ORDINARY_RATE, MIN_COUNT = 1e-5, 8
 # Lexicon by kind and weight. "insult": strong alone; "slight": needs a person; "sexual": explicit.
 LEXICON: dict[str, tuple[float, str]] = {
     # insults, English, German, French, Spanish
-    "insult": (1.0, "fuck fucker fucking motherfucker bitch asshole arsehole bastard scumbag moron idiot dumbass jackass whore slut cunt retard wanker prick twat imbecile dickhead shithead faggot "
-               "arschloch wichser vollpfosten schwachkopf drecksack hurensohn fotze schlampe hure missgeburt trottel vollidiot dummkopf mistkerl wichsern abschaum verpiss fresse "
-               "connard connasse salope salaud enfoiré abruti crétin débile pute enculé bâtard ordure foutre gueule putain merde "
-               "gilipollas cabrón pendejo imbécil puta hijoputa mierda zorra maricón capullo subnormal idiota inútil"),
-    "slight": (0.5, "clown parasite stupid dumb ugly worthless pathetic useless brainless braindead stinking filthy filth vermin scum shit goddamn rotten trash loser pig pigs disgusting subhuman savages "
-               "ungeziefer ratten dreck verdammter dreckige dumme widerlich parasiten "
-               "vermine parasites sale minable voleurs "
-               "basura plaga ratas ladrones asqueroso asquerosa escoria gentuza"),
-    "sexual": (1.0, "porn porno pornos pornography nude nudes xxx uncensored hardcore sexy titties tits boobs webcam camgirl blowjob cum horny "
-               "nacktbilder nackte geile titten ficken fick "
-               "nue nues baise "
-               "desnuda desnudas follar tetas"),
+    "insult": (1.0, "fuck fucker fuckers fucking motherfucker bitch bitches asshole assholes arsehole bastard bastards scumbag scumbags moron morons idiot idiots dumbass jackass whore whores slut sluts cunt retard retards wanker prick twat imbecile dickhead shithead "
+               "faggot dipshit douchebag cocksucker bellend knobhead halfwit nitwit cretin pervert skank bimbo nigger kike "
+               "arschloch arschlöcher wichser vollpfosten schwachkopf drecksack hurensohn fotze schlampe hure nutte missgeburt trottel vollidiot dummkopf mistkerl abschaum verpiss fresse "
+               "depp blödmann miststück drecksau penner spast krüppel kanake schwuchtel wixer scheißkerl "
+               "connard connards connasse salope salopes salaud salauds salopard enfoiré abruti abrutis crétin débile pute enculé bâtard ordure foutre gueule putain merde "
+               "ducon bouffon raclure pourriture fumier pétasse pouffiasse pédé bougnoule attardé "
+               "gilipollas cabrón cabrones pendejo imbécil imbéciles puta putas puto hijoputa mierda zorra maricón capullo subnormal idiota idiotas malnacido mamón sudaca estúpido estúpida"),
+    "slight": (0.5, "clown parasite stupid dumb ugly worthless pathetic useless brainless braindead stinking filthy filth vermin scum shit goddamn rotten loser losers pig pigs disgusting subhuman savages swine freak creep maggot coward liar "
+               "ungeziefer ratten dreck verdammter dreckige dreckiger dumme widerlich parasiten schwein schweine versager gesindel lump "
+               "vermine parasites sale minable voleurs racaille porc imbécile "
+               "basura plaga ratas ladrones asqueroso asquerosa escoria gentuza inútil inútiles cerdo cerda payaso tonto desgraciado maldito"),
+    "sexual": (1.0, "porn porno pornos pornography nude nudes xxx uncensored hardcore sexy titties tits boobs webcam camgirl blowjob horny orgasm masturbate "
+               "nacktbilder nacktfotos nackte geile titten ficken fick "
+               "nue nues baise baiser suce "
+               "desnuda desnudas follar tetas chúpame"),
 }
 # Words beside which a term of the lexicon has its technical or harmless sense.
 HARMLESS: dict[str, str] = {
-    "bastard": r"bastard (?:file|cut|thread|size|amber|title)", "retard": r"^(?:to )?retard(?:s|ed|ing)? the|retard (?:the|timing|ignition|spark)",
+    "bastard": r"bastard (?:file|cut|thread|size|amber|title)", "retard": r"\b(?:en|un|le|du|sans|avec|ce|tout|aucun|de) retard\b|^(?:to )?retard(?:s|ed|ing)? the|retard (?:the|timing|ignition|spark)",
     "dumb": r"dumb (?:terminal|waiter|bell)", "stupid": r"stupid(?:[- ]looking)? (?:pipe|valve|design|sign|machine|form|manual|idea|question|mistake)", "naked": r"naked (?:eye|flame|wire|conductor)",
     "ugly": r"ugly (?:weld|seam|noise|crack)", "filthy": r"filthy (?:filter|floor|oil|water|sump|room|tank)", "useless": r"useless (?:manual|tool|part|form|gauge)", "hardcore": r"hardcore (?:fill|base|bed)",
     "parasite": r"parasite (?:current|drag|load)", "trash": r"trash (?:pump|rack|bin|can)", "pig": r"pig (?:iron|launcher|trap)", "nue": r"(?:main|mains|tête|œil|oeil) nues?", "nues": r"mains nues",
-    "webcam": r"webcam (?:feed|image|view)", "hure": r"(?<!du )\bhure\b(?! )", "sale": r"(?:eau|huile|filtre|zone|surface) sale|for sale|sale (?:of|price)", "rotten": r"rotten (?:wood|plank|egg)", "scum": r"scum (?:line|layer|skimmer)",
+    "webcam": r"webcam (?:feed|image|view)", "hure": r"(?<!du )\bhure\b(?! )", "sale": r"(?:eau|huile|filtre|zone|surface) sale|for sale|sale (?:of|price)", "shit": r"shit (?:happens)", "swine": r"swine flu", "pigs": r"pigs? (?:iron|launcher)", "baiser": r"\bun baiser\b", "creep": r"creep (?:rate|test|strength|limit|of)|thermal creep", "liar": r"\bliar paradox", "cerda": r"cerdas? del? ", "porc": r"viande de porc", "rotten": r"rotten (?:wood|plank|egg)", "scum": r"scum (?:line|layer|skimmer)",
 }
 # Words by which a window speaks to or of a person.
 PERSON = r"\b(?:you|your|yours|yourself|u|he|she|her|his|him|they|their|them|who ?ever|people|folks?|kids|crews?|women|men|migrants|foreigners|everybody|nobody|those|our|du|dich|dir|dein\w*|ihr|euch|sie|leute|fremden?|diese|frauen|so ein|tu|te|toi|t[’']|ton|ta|tes|vous|ils|elles|ces|gens|étrangers|espèce de|quel|eres|tú|ti|te|tu|usted\w*|ellos|esos|extranjeros|gente|pedazo de|qué|nadie|is a|is an)\b"
 # Harm wished, threatened or urged, a group degraded, sexual demands; no lexicon word is needed.
 HARM = [
     # threats
-    r"\b(?:i|we) (?:will|shall|ll|[’']ll|am going to|gonna|re going to)?.{0,60}\b(?:cut|kill|stab|shoot|hurt|beat|strangle|burn|break|hunt|bury|drown|choke|smash) (?:you|your|him|her|them|it down)\b",
-    r"\bfind out where you live\b|\bknow where you live\b|\bbefore someone hurts you\b|\bwatch your back\b|\bbreak your (?:fingers|neck|legs|arms|face|bones)\b|\bwait for you behind\b",
-    r"\b(?:ought to|should|must|deserves? to|needs? to|want to see) (?:all )?(?:be |get )?(?:fed to|beaten|buried|dragged|locked|shot|hanged|drowned|gassed|burned|burnt|killed|put down|shipped out|thrown|driven off)\b",
-    r"\bsomeone should (?:lock|push|throw|shove|drop|feed|beat|kill|shut) (?:you|him|her|them)\b|\bsend them all to\b|\btakes? your (?:hand|head|arm|face|fingers?|eyes?)s? off\b",
-    r"\bhope\b.{0,60}\b(?:takes?|crush\w*|kills?|burns?|eats?|tears?|rips?|breaks?) (?:you|your)\b|\bhope you (?:die|rot|choke|drown|burn|suffer)\b",
+    r"\b(?:i|we) ?(?:will|shall|[’']ll|am going to|gonna|are going to|would)?\b.{0,60}\b(?:cut|kill|stab|shoot|hurt|beat|strangle|burn|break|hunt|bury|drown|choke|smash|end|slit|crush) (?:you|your|him|her|them|it down)\b",
+    r"\bknow where you live\b|\bfind out where you live\b|\bbefore someone hurts you\b|\bwatch your back\b|\b(?:break|smash|knock|bash|slit) your (?:fingers|neck|legs|arms|face|bones|head|teeth|throat|skull)\b|\bwait for you behind\b|\byou are dead\b|\byou[’']re dead\b|\bdead meat\b|\bbullet in (?:you|your|his|her)\b",
+    r"\b(?:ought to|should|must|deserves? to|needs? to|want to see) (?:all )?(?:be |get |have been )?(?:fed to|beaten|buried|dragged|locked|shot|hanged|hung|drowned|gassed|burned|burnt|killed|put down|shipped out|thrown|driven off|die|suffer|hang|deported|wiped out|exterminated|castrated|sterilised|sterilized)\b(?! (?:off|out of) the (?:line|belt))",
+    r"\bsomeone should (?:lock|push|throw|shove|drop|feed|beat|kill|shut|strangle) (?:you|him|her|them)\b|\bsend them all to\b|\btakes? your (?:hand|head|arm|face|fingers?|eyes?)s? off\b",
+    r"\b(?:hope|wish|pray)\b.{0,60}\b(?:takes?|crush\w*|kills?|burns?|eats?|tears?|rips?|breaks?|swallows?|buries) (?:you|your)\b|\b(?:hope|wish|pray)\b.{0,12}\b(?:you|they|he|she) (?:all )?(?:die|rot|choke|drown|burn|suffer|bleed|get cancer|were dead)\b",
     # urged self-harm
-    r"\b(?:hang|kill|shoot|drown|hurt|cut) yoursel(?:f|ves)\b|\bwhy don.{0,2}t you (?:jump|die|drink|hang|stay dead|never|go|just|kill|end)\b|\ba favou?r and (?:jump|die|drink|hang|stay dead|never wake|kill|end|disappear)",
-    r"\bnever wake up\b|\bstay dead\b|\bgo (?:rot|die|to hell|hang)\b|\bdrop dead\b|\bcrawl back\b|\bnobody here wants you\b|\bshut your (?:stupid |filthy |dirty )?(?:mouth|face|trap|gob)\b|\bget lost before\b",
+    r"\b(?:hang|kill|shoot|drown|hurt|cut|off) yoursel(?:f|ves)\b|\bwhy don.{0,2}t you (?:jump|die|drink|hang|stay dead|never|go|just|kill|end)\b|\bfavou?r and (?:jump|die|drink|hang|stay dead|never wake|kill|end|disappear|vanish)|\bdo us (?:all )?a favou?r\b",
+    r"\bnever wake up\b|\bstay dead\b|\bgo (?:rot|die|to hell|hang)\b|\bdrop dead\b|\bcrawl back\b|\bnobody (?:here )?(?:wants|likes|loves|needs|would miss) you\b|\bshut (?:your|the) (?:\w+ )?(?:mouth|face|trap|gob)\b|\bget lost before\b|\bburn in hell\b",
     # contempt
-    r"\bshit work by\b|\b(?:the|that|this|you|our) [\w ]{0,30}\b(?:is|are) (?:a|an) (?:parasite|clown|pig|rat|loser)\b",
-    r"\b(?:no right to exist|not deserve to (?:breathe|live|exist|draw breath)|no loss to anyone|want to vomit|disgust the whole|ha(?:s|d|ve) had her|better when your kind|your (?:sort|kind|whole family) (?:make|is|are|should|ought|would|do|have))\b",
+    r"\bshit work by\b|\b(?:the|that|this|you|our|your|he|she) ?[\w ]{0,30}\b(?:is|are) (?:a|an|such a|nothing but a) (?:parasite|clown|pig|rat|loser|waste of|disgrace|joke|coward|liar|freak)\b|\bwaste of (?:air|skin|oxygen)\b|\bpiece of (?:filth|trash|garbage|dirt)\b",
+    r"\b(?:no right to exist|not deserve to (?:breathe|live|exist|draw breath)|no loss to anyone|want to vomit|disgust the whole|you disgust|everyone .{0,30} has had her|better (?:off )?(?:when your kind|without (?:you|your|them))|your (?:sort|kind|whole family) (?:make|is|are|should|ought|would|do|have))\b",
     # groups
-    r"\b(?:breed like|are (?:all )?(?:animals|vermin|rats|filth|scum|subhuman|savages|cockroaches|parasites)|animals, not people|too stupid to be|steal everything|should all be shipped|driven off the site|never come back)\b",
-    r"\b(?:never hire|keep) (?:the |those |these )?[\w ]{2,40}?(?:they (?:are|do|breed|should)|away from the canteen)",
+    r"\b(?:breed like|are (?:all )?(?:animals|vermin|rats|filth|scum|subhuman|savages|cockroaches|parasites|criminals|thieves|apes|monkeys|inferior)|animals, not people|not (?:even )?human|too stupid to be|steal everything|should all be shipped|driven off the site|never come back|inferior race|master race|wipe them out|exterminate)\b",
+    r"\b(?:never hire|keep) (?:the |those |these )?[\w ]{2,40}?(?:they (?:are|do|breed|should)|away from the canteen)|\bback to (?:where you came from|your (?:own )?country)\b|\b(?:women|girls|wives) (?:belong|should stay) (?:in|at)\b",
     # sexual demands and harassment
-    r"\bget you naked\b|\byou naked\b|\bnaked (?:webcam|girls?|women|pictures|photos)\b|\b(?:her|your) (?:tits|ass|breasts|body|boobs|pussy)\b|\bon her knees\b|\bmoans? louder\b|\bsend (?:me )?(?:nudes?|naked)\b|\bsex (?:videos?|chat|tonight|with you)\b|\bgrabbed her\b|\b(?:nude|naked) (?:pictures?|photos?|pics)\b",
+    r"\bget you naked\b|\byou naked\b|\bnaked (?:webcam|girls?|women|pictures|photos|pics)\b|\b(?:her|your) (?:tits|ass|breasts|boobs|pussy|thighs)\b|\bon her knees\b|\bmoans? louder\b|\bsend (?:me )?(?:nudes?|naked)\b|\bsex (?:videos?|chat|tonight|with (?:you|me|her))\b|\bgrabbed her\b|\b(?:nude|naked) (?:pictures?|photos?|pics)\b",
+    r"\bsit on my (?:lap|face)\b|\bsleep with me\b|\bsuck my\b|\bbend over\b.{0,20}\b(?:baby|for me|sweet\w*|honey)|\btake off your (?:clothes|shirt|dress|bra|top|overalls?)\b|\bspread your legs\b|\bshow me your (?:tits|body|breasts|boobs|ass)\b|\bwant (?:your|her) body\b|\bin my bed\b",
     # German
-    r"\b(?:verreck\w*|krepier\w*|stirb|erschieß\w*|häng dich auf|bring dich um|zerquetscht dich|hoffentlich .{0,60} dich|leute wie (?:du|ihr|die)|gar nicht leben dürfen|gehören? (?:alle )?(?:weggejagt|vergast|erschossen|abgeschoben)|stehlen wie die ratten|sind (?:alle )?(?:ungeziefer|abschaum|ratten|tiere|dreck|parasiten)|fick dich|halt (?:endlich )?(?:die|deine) (?:fresse|klappe)|nackte frauen|schick mir nacktbilder)\b",
+    r"\b(?:verreck\w*|krepier\w*|stirb|erschieß\w*|häng dich auf|bring(?:e)? (?:ich )?dich um|mach(?:e)? dich fertig|zerquetscht dich|hoffentlich .{0,60} dich|leute wie (?:du|ihr|die)|gar nicht leben dürfen|gehören? (?:alle )?(?:weggejagt|vergast|erschossen|abgeschoben|eingesperrt|aufgehängt)|stehlen wie|sind (?:alle )?(?:ungeziefer|abschaum|ratten|tiere|dreck|parasiten|verbrecher)|fick dich|leck mich|halt (?:endlich )?(?:die|deine|dein) (?:fresse|klappe|maul|schnauze)|nackte (?:frauen|mädchen)|schick mir nackt\w+|zieh dich aus|zeig mir deine|niemand (?:will|braucht|mag) dich|fahr zur hölle|geh sterben|weiß,? wo du wohnst|schlag\w* (?:ich )?dir|polier\w* dir|stech\w* dich|an den herd|minderwertig\w*|ausrotten|raus mit (?:den|diesen|euch))\b",
     # French
-    r"(?:\bqu[’']ils crèvent|\bcrève\b|\bva (?:te faire|crever|mourir)|\bte (?:broiera|tuer|casser|crever|faire foutre)|\bpersonne ne veut de toi|\bdans ton trou|\bferme ta|\bdégage\b|\b(?:sont|c[’']est) (?:tous )?(?:de la|des|du) (?:vermine|parasites|rats|ordures?|animaux|racaille)|\bdes gens comme (?:toi|vous|eux)|\bte voir nue|\bfilles nues|\bje (?:vais )?te (?:tue|bute|retrouve))",
+    r"(?:\bqu[’']ils crèvent|\bque tu crèves|\bcrève\b|\bva (?:te (?:faire|pendre|jeter)|crever|mourir)|\bte (?:broiera|broiera|tuer|casser|crever|buter|défoncer|faire foutre)|\bpersonne ne (?:veut de toi|t[’']aime)|\bdans ton trou|\bferme ta|\bdégage\b|\b(?:sont|c[’']est) (?:tous )?(?:de la|des|du) (?:vermine|parasites|rats|ordures?|animaux|racaille|voleurs|sous-hommes)|\bdes gens comme (?:toi|vous|eux)|\bte voir nue|\bfilles nues|\bsais où tu habites|\bsale(?:s)? (?:race|étrangers?|arabes?|juifs?|noirs?)|\brentre[zs]? chez (?:toi|vous|eux)|\bmontre(?:-moi)? tes (?:seins|fesses)|\bcouche avec moi|\bécarte les|\bà poil\b|\btu vas (?:crever|mourir|le regretter))",
     # Spanish
-    r"(?:\bmuérete\b|\bque se mueran\b|\bojalá te\b|\bnadie te quiere\b|\bgente como tú\b|\bno mereces? (?:respirar|vivir|existir)|\bhay que echarlos\b|\bson (?:todos )?(?:basura|plaga|ratas|animales|escoria|parásitos)|\bfotos desnuda|\bchicas desnudas|\bvete a la mierda|\bcállate\b|\blárgate\b|\bte voy a (?:matar|cortar|romper|encontrar)|\bhijo de puta)",
+    r"(?:\bmuérete\b|\bmátate\b|\bcuélgate\b|\bque se mueran\b|\bojalá (?:te|os|se)\b|\bnadie te (?:quiere|soporta|aguanta)\b|\bgente como (?:tú|vosotros|ustedes)\b|\bno mereces? (?:respirar|vivir|existir)|\bhay que (?:echarlos|matarlos|quemarlos|expulsarlos)\b|\bson (?:todos |unos |unas )?(?:basura|plaga|ratas|animales|escoria|parásitos|ladrones)|\bfotos desnuda|\bchicas desnudas|\bvete a (?:la mierda|tu país|tomar)|\bcállate\b|\blárgate\b|\bte voy a (?:matar|cortar|romper|encontrar|rajar|partir|quemar)|\bhijos? de puta|\bsé dónde vives|\bque te (?:jodan|follen|den por)|\bchúpa(?:la|me)|\bdesnúdate|\bacuéstate conmigo|\benséñame (?:las|tus) (?:tetas|fotos)|\bcierra (?:la boca|el pico)|\bvas a morir)",
 ]
 # Words of rules, training and quotation about such language.
 ABOUT = r"\b(?:abusive|sexual|offensive|obscene|hateful) (?:or \w+ )?(?:language|words?|remarks?|comments?|content)\b|\bharassment (?:training|policy|rules?)\b|\bhate speech\b|\b(?:is|are|was|were) (?:reported|forbidden|prohibited|banned|not allowed|not tolerated|unacceptable)\b|\b(?:the )?words? (?:like|such as)\b|\bcode of conduct\b|\bbeleidigung\w*\b|\binsultes? (?:sont|est) interdit|\binsultos? (?:están|está) prohibid"
@@ -176,10 +180,15 @@ def _compiled():
     )
 
 
-#: Words at which the phrases of harm may begin; a window without any, and without a term, is not looked at.
-_TRIGGERS = re.compile(
-    r"\b(?:you|your|yoursel(?:f|ves)|they|them|her|should|ought|shit|parasite|clown|deserves?|hope|hire|keep|sex|naked|nude|moans?|steal|breed|animals|exist|anyone|dich|leute|verreck\w*|krepier\w*|gehören|stehlen|frauen|sind|crèvent?|dégage|toi|te|ton|ta|sont|nue|nues|mueran?|muérete|ojalá|nadie|gente|mereces?|hay|son|desnudas?|cállate|lárgate|hijo|mierda|stirb)\b"
-)
+# Words without one of which no phrase of harm can stand; other windows are not searched for them.
+TRIGGERS = frozenset(
+    ("i i'll i'm you you're you'll your yourself yourselves he she him her they them we women girls wives should ought must deserve deserves needs want hope wish pray favour favor wake dead die rot hang drop nobody shut lost burn shit waste piece right deserve loss vomit "
+     "disgust kind breed animals human stupid steal shipped driven never race wipe exterminate hire keep back naked nude knees moans sex grabbed send lap sleep suck bend legs bed live someone is are bullet go crawl world "
+     "dich dir dein deine deinen du ihr euch mich stirb leute leben gehören gehört stehlen sind frauen mädchen nacktbilder niemand hölle sterben herd minderwertig minderwertige ausrotten raus hoffentlich zeig zieh schick "
+     "crèvent crèves crève va vas te t'aime toi ton ta tu tes dégage sont c'est gens nue nues habites sale sales rentre rentrez montre couche écarte poil personne "
+     "muérete mátate cuélgate mueran ojalá nadie gente mereces merece hay son desnuda desnudas vete cállate lárgate voy hijo hijos sé que chúpala chúpame desnúdate acuéstate enséñame cierra morir").split()
+)
+_HARM_STEMS = re.compile(r"verreck|krepier|erschieß|schlag\w* |polier\w* |stech\w* ")
 
 
 def _joined(spaced: re.Match) -> str:
@@ -203,7 +212,8 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
     for window in _WINDOW.split(low):
         hits: list[tuple[float, str, str]] = []
         swaps: list[tuple[str, str]] = []
-        for raw in _WORD.findall(window):
+        found = _WORD.findall(window)
+        for raw in found:
             hit = lookup(raw)
             if hit is None:
                 continue
@@ -212,7 +222,8 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
             if hidden:
                 swaps.append((raw, term))
             hits.append((weight + 0.25 * hidden, kind, term))
-        if not hits and not _TRIGGERS.search(window):
+        triggered = not TRIGGERS.isdisjoint(found) or _HARM_STEMS.search(window) is not None
+        if not hits and not triggered:
             continue
         for raw, term in swaps:
             window = window.replace(raw, term)
