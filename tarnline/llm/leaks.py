@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 #: Share of an item's words that must stand in the document in order.
 MIN_SHARE = 0.5
 #: Anchors: of each run of ANCHOR_SPAN words of an item, the ANCHORS_EACH that stand in fewest documents.
@@ -18,6 +20,8 @@ ANCHOR_SPAN, ANCHORS_EACH = 6, 2
 ANCHOR_SHARE = 0.25
 #: A matching piece has at least MIN_RUN words and no more than MAX_GAP others between two of them.
 MIN_RUN, MAX_GAP = 4, 2
+#: Rows up to which the items' terms and anchors are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -69,14 +73,19 @@ def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("key"), F.posexplode(words(text_col)).alias("pos", "term"))
 
 
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is small enough, checked by a count."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def leaked_items(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", min_share: float = MIN_SHARE,
 ) -> DataFrame:
     """``doc_id, item_id, matched, n_words`` of documents that hold at least ``min_share`` of an item's words in order.
 
-    1. Postings of the corpus are kept for the items' terms; document frequencies give each item's rarest terms.
-    2. The postings of those anchors are intersected after subtracting the item's position: a document is a
-       candidate for an item if it holds enough anchors at offsets that agree with their order.
+    1. Document frequencies of the items' terms over the whole corpus give each item's rarest terms.
+    2. The positional postings of those anchors are intersected after subtracting the item's position: a document
+       is a candidate for an item if it holds enough of its anchors.
     3. Candidates alone are compared word by word over the whole text.
 
     Null and empty texts and items have no words and give no rows; documents under a repeated id count as one
@@ -85,14 +94,15 @@ def leaked_items(
     corpus = docs.select(F.col(doc_id).alias("doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     item_words = items.select(F.col(item_id).alias("item"), words(text_col).alias("words")).where(F.size("words") > 0)
     item_terms = item_words.select("item", F.posexplode("words").alias("ipos", "term"))
-    vocabulary = item_terms.select("term").distinct()
+    vocabulary = sized(item_terms.select("term").distinct())
 
-    index = postings(corpus, "doc", "text").join(vocabulary, "term", "left_semi")
-    frequency = index.groupBy("term").agg(F.approx_count_distinct("key", 0.02).alias("docs"))
+    once = corpus.select(F.explode(F.array_distinct(words("text"))).alias("term"))
+    frequency = once.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     span = Window.partitionBy("item", F.floor(F.col("ipos") / ANCHOR_SPAN)).orderBy("docs", "ipos")
     anchors = (
         item_terms.join(frequency, "term").withColumn("_nth", F.row_number().over(span)).where(F.col("_nth") <= ANCHORS_EACH).select("item", "ipos", "term")
     )
+    anchors = sized(cut_lineage(anchors))
     anchor_count = item_words.select("item", (F.ceil(F.size("words") / ANCHOR_SPAN) * ANCHORS_EACH).alias("anchors"))
 
     agreed = (
