@@ -8,7 +8,6 @@ Empty, refusing and copying answers are told by their own words.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import kinds_and_lower
+from .common import slices
+from .rolling import DROP, LETTER, Stream, kinds_and_lower
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -71,9 +71,9 @@ _ABOUT, _LACK = re.compile(ABOUT_ANSWERING), re.compile(LACK)
 _COURTESY = re.compile(COURTESY)
 _WORD = re.compile(r"[^\W_]+(?:[’'][^\W_]+)*")
 _PIECES = re.compile(r"(?<=[.!?…;])\s+")
-_TOKEN = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*|\d+(?:[.,]\d+)*|[.!?…]+|[^\w\s]")
-#: A last word that is not one of a language: a figure, a sign or a code.
-_CODE = re.compile(r"^(?:[\W\d_]*|.*\d.*)$")
+SENTENCE_MARKS = np.array([ord(c) for c in ".!?…"], dtype=np.uint32)
+#: Stands for every run of figures.
+FIGURE = -1
 
 
 def grams(text: str) -> np.ndarray:
@@ -91,21 +91,25 @@ def grams(text: str) -> np.ndarray:
         h = np.full(len(symbols) - n + 1, n, dtype=np.int64)
         for k in range(n):
             h = (h * 1_000_003 + symbols[k : len(symbols) - n + 1 + k]) & 0x7FFFFFFFFFFF
-        out.append((h ^ (h >> 15)) % BUCKETS)
+        h ^= h >> 15
+        out.append(h & (BUCKETS - 1))
     return np.concatenate(out)
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            totals.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-            g = grams(text)
-            totals[lang] += np.bincount(g, minlength=BUCKETS)
+        for part in slices(batch, "text"):
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
+                counts = np.bincount(grams("\n".join(texts)), minlength=BUCKETS)
+                totals[lang] = totals[lang] + counts if lang in totals else counts
     for lang, counts in totals.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "bucket", "n"]
+            [pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=["lang", "bucket", "n"]
         )
 
 
@@ -125,42 +129,76 @@ def language_model(corpus: DataFrame, text_col: str = "text", lang_col: str = "l
     return langs, np.log(smooth / smooth.sum(axis=1, keepdims=True)) if langs else counts
 
 
-def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+#: How a word stands before what follows it on its line.
+GOES_ON, ENDS, LINE_END = 0, 1, 2
+
+
+def running_words(texts: list[str]) -> dict[str, np.ndarray]:
+    """Words of all texts in order: their row, fingerprints of the word before and of the word, and what follows.
+
+    Words are runs of letters, or of figures (all figures are one word); the word before is 0 after any sign. A
+    word ENDS before a sentence mark, unless a letter or figure follows the mark at once. ``count`` is the number
+    of words on the line.
+    """
+    joined = "\n".join(texts) + "\n"
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind, low = kinds_and_lower(codes)
+    figure = (codes >= 48) & (codes <= 57)
+    form = np.where(kind == LETTER, 1, np.where(figure, 2, 0)).astype(np.int8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], form, [0]))))
+    start, end = edge[:-1], edge[1:]
+    held = form[start] > 0
+    start, end = start[held], end[held]
+    word = Stream(low).spans(start, end).view(np.int64)
+    word[form[start] == 2] = FIGURE
+    break_at = np.flatnonzero(codes == 10)
+    line = np.searchsorted(break_at, start)
+    space = (kind == DROP) & ~figure | (codes == 10)
+    solid = np.flatnonzero(~space)
+    after = np.searchsorted(solid, end)
+    nxt = np.where(after < len(solid), solid[np.minimum(after, len(solid) - 1)], len(codes) - 1) if len(solid) else np.zeros(len(end), np.int64)
+    same = (after < len(solid)) & (np.searchsorted(break_at, nxt) == line)
+    mark = np.isin(codes[nxt], SENTENCE_MARKS)
+    beyond = form[np.minimum(nxt + 1, len(codes) - 1)] > 0
+    follows = np.where(~same, LINE_END, np.where(mark & ~beyond, ENDS, GOES_ON))
+    before = np.zeros(len(word), dtype=np.int64)
+    if len(word) > 1:
+        linked = (np.searchsorted(solid, start[1:]) == after[:-1]) & (line[1:] == line[:-1])
+        before[1:][linked] = word[:-1][linked]
+    text_end = np.cumsum([len(t) + 1 for t in texts])
+    count = np.bincount(line, minlength=len(break_at))[line] if len(line) else line
+    return {"row": np.searchsorted(text_end, start, side="right"), "before": before, "word": word, "follows": follows, "count": count, "letters": form[start] == 1}
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each pair of neighbouring words: how often it stands, and how often before a sentence end."""
-    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64()), ("ends", pa.int64())])
+    """Of each pair of neighbouring words: how often it stands, and how often before a sentence end.
+
+    The last word of an unpointed line tells nothing, unless the line is a bare value of a few words.
+    """
     for batch in batches:
-        seen: Counter = Counter()
-        ended: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            for line in text.split("\n"):
-                found = tokens(line)
-                before = ""
-                for i, w in enumerate(found):
-                    if not w[0].isalnum():
-                        before = ""
-                        continue
-                    key = (before, "0" if w[0].isdigit() else w)
-                    after = found[i + 1] if i + 1 < len(found) else None
-                    # The last word of an unpointed line tells nothing, unless the line is a bare value.
-                    if after is not None or len(found) <= 4:
-                        seen[key] += 1
-                        if after is None or after[0] in ".!?…":
-                            ended[key] += 1
-                    before = key[1]
+        kept: list[tuple[np.ndarray, ...]] = []
+        for part in slices(batch, "text"):
+            w = running_words(part.column("text").to_pylist())
+            use = (w["follows"] != LINE_END) | (w["count"] <= 4)
+            kept.append((w["before"][use], w["word"][use], w["follows"][use] != GOES_ON))
+        if not kept:
+            continue
+        a, b, ended = (np.concatenate(x) for x in zip(*kept))
+        if not len(a):
+            continue
+        order = np.lexsort((b, a))
+        a, b, ended = a[order], b[order], ended[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        n = np.diff(np.append(first, len(a)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()),
-             pa.array(list(seen.values()), pa.int64()), pa.array([ended[k] for k in seen], pa.int64())], schema=schema,
-        )
+            [pa.array(a[first]), pa.array(b[first]), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(ended.astype(np.int64), first))], names=["a", "b", "n", "ends"]
+        )
 
 
 def end_counts(texts: DataFrame) -> DataFrame:
     """``a, b, n, ends`` over all texts (column ``text``), partial counts before the shuffle."""
     return (
-        texts.where(F.col("text").isNotNull()).select("text").mapInArrow(_ends, "a string, b string, n long, ends long")
+        texts.where(F.col("text").isNotNull()).select("text").mapInArrow(_ends, "a long, b long, n long, ends long")
         .groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     )
 
@@ -179,7 +217,10 @@ def is_empty(text: str | None) -> bool:
 
 def is_refusal(text: str) -> bool:
     """Every sentence declines or is a courtesy beside one that declines."""
-    parts = [p for p in _PIECES.split(text.strip().lower()) if _WORD.search(p)]
+    low = text.strip().lower()
+    if not _LACK.search(low) and not _COURTESY.search(low):
+        return False
+    parts = [p for p in _PIECES.split(low) if _WORD.search(p)]
     declines = [bool(_REFUSAL.search(p) or (_ABOUT.search(p) and _LACK.search(p))) for p in parts]
     return any(declines) and all(d or (_COURTESY.search(p) and len(p) < 90) for d, p in zip(declines, parts)) or (
         bool(parts) and len(parts) <= 2 and all(_COURTESY.match(re.sub(r"^\W+", "", p)) and len(p) < 60 for p in parts)
@@ -215,19 +256,13 @@ def is_open(text: str) -> bool:
     return any(end.rfind(a) > end.rfind(b) for a, b in (("(", ")"), ("[", "]"), ("“", "”"), ("«", "»")))
 
 
-def last_words(text: str) -> tuple[str | None, str, str]:
-    """What ends an unpointed text: the words before last and last, and a sign after them; None if it is pointed."""
-    stripped = text.rstrip().rstrip("\"”»")
-    found = tokens(stripped)
-    if not found:
-        return None, "", ""
-    last = found[-1]
-    if last[0] in ".!?…":
-        return None, "", ""
-    if not last[0].isalnum():
-        return "", "", last
-    before = found[-2] if len(found) > 1 and found[-2][0].isalnum() else ""
-    return "0" if before[:1].isdigit() else before, "0" if last[0].isdigit() else last, ""
+_LAST_SIGN = re.compile(r"([^\w\s]|_)$")
+
+
+def last_sign(text: str) -> str:
+    """The sign that ends a text, without quotation marks after it; empty after a word."""
+    found = _LAST_SIGN.search(text.rstrip().rstrip("\"”»").rstrip())
+    return found[1] if found else ""
 
 
 def pair_features(pairs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
@@ -243,9 +278,12 @@ def pair_features(pairs: DataFrame, langs: list[str], model: np.ndarray) -> Data
         have_model = len(shared.value[0]) > 1
         asked: dict[str, tuple[int, np.ndarray]] = {}
         for batch in batches:
+            texts = batch.column(3).to_pylist()
+            w = running_words([t or "" for t in texts])
+            last: dict[int, int] = dict(zip(w["row"].tolist(), range(len(w["row"]))))  # the last word of each row stays
             out = []
-            for field, row, question, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                defect = a = b = sign = None
+            for i, (field, row, question, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), texts)):
+                defect = a = b = None
                 if is_empty(text):
                     defect = "empty"
                 elif is_copy(text, question or ""):
@@ -253,10 +291,10 @@ def pair_features(pairs: DataFrame, langs: list[str], model: np.ndarray) -> Data
                 elif is_refusal(text):
                     defect = "refusal"
                 else:
-                    a, b, sign = last_words(text)
-                    if a is not None and (sign and sign not in ")]%°" or is_open(text)):
+                    sign = last_sign(text)
+                    if sign and sign not in ".!?…)]%°" or is_open(text):
                         defect = "truncated"
-                    elif have_model and question and sum(w.isalpha() for w in normal_words(text)) >= MIN_WORDS:
+                    elif have_model and question and sum(x.isalpha() for x in normal_words(text)) >= MIN_WORDS:
                         if len(asked) > 50_000:
                             asked.clear()
                         if question not in asked:
@@ -266,15 +304,16 @@ def pair_features(pairs: DataFrame, langs: list[str], model: np.ndarray) -> Data
                         other = np.delete(q_score, theirs).max()
                         if mine[0] != theirs and odds > MIN_ODDS and q_score[theirs] - other > MIN_QUESTION_ODDS:
                             defect = "language"
-                out.append((field, row, defect, a, b, text is not None and len(normal_words(text)) or 0))
-            columns = list(zip(*out)) if out else [[]] * 6
+                    if defect is None and not sign and i in last and w["letters"][last[i]]:
+                        a, b = int(w["before"][last[i]]), int(w["word"][last[i]])
+                out.append((field, row, defect, a, b))
+            columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()))],
-                names=["field", "row_id", "defect", "a", "b", "n_words"],
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["field", "row_id", "defect", "a", "b"]
             )
 
     return pairs.select("field", "row_id", "question", "text").mapInArrow(
-        look, "field string, row_id long, defect string, a string, b string, n_words long"
+        look, "field string, row_id long, defect string, a long, b long"
     )
 
 
@@ -298,7 +337,7 @@ def broken_pairs(pairs: DataFrame, corpus: DataFrame, min_end_rate: float = MIN_
     counts = end_counts(corpus.select("text").unionAll(pairs.select("text")).unionAll(pairs.select(F.col("question").alias("text"))))
     told = looked.where(F.col("defect").isNotNull()).select("field", "row_id", "defect")
 
-    open_end = looked.where(F.col("defect").isNull() & F.col("a").isNotNull() & ~F.col("b").rlike(r"^\P{L}*$"))
+    open_end = looked.where(F.col("defect").isNull() & F.col("b").isNotNull())
     sought = open_end.select("b").distinct()
     near = counts.join(sought, "b", "left_semi")
     by_word = near.groupBy("b").agg(F.sum("n").alias("word_n"), F.sum("ends").alias("word_ends"))
@@ -306,6 +345,6 @@ def broken_pairs(pairs: DataFrame, corpus: DataFrame, min_end_rate: float = MIN_
         open_end.join(near.withColumnsRenamed({"n": "pair_n", "ends": "pair_ends"}), ["a", "b"], "left").join(by_word, "b", "left")
         .withColumn("rate", end_rate(F.col("pair_n"), F.col("pair_ends"), F.col("word_n"), F.col("word_ends")))
     )
-    strange = F.col("pair_n").isNull() & (F.col("word_n") >= ENOUGH) & (F.col("a") != "")  # a fragment that happens to be a word
+    strange = F.col("pair_n").isNull() & (F.col("word_n") >= ENOUGH) & (F.col("a") != 0)  # a fragment that happens to be a word
     cut = judged.where((F.col("rate") < min_end_rate) | strange).select("field", "row_id", F.lit("truncated").alias("defect"))
     return told.unionByName(cut)

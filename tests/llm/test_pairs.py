@@ -66,3 +66,18 @@ def test_language_accuracy_on_held_out_texts(spark):
     rest = docs.where("doc_id % 2 = 1").collect()
     right = sum(langs[int(model[:, P.grams(r.text)].sum(axis=1).argmax())] == r.lang for r in rest)
     assert right / len(rest) > 0.9
+
+
+def test_running_words():
+    texts = ["The valve leaks. Two 4.5 bar lines", "", "No.\nlast one, here!", "x"]
+    w = P.running_words(texts)
+    flat = [x for t in texts for x in __import__("re").findall(r"[^\W\d_]+|\d+", t)]
+    assert len(w["word"]) == len(flat)
+    ends = [x for x, f in zip(flat, w["follows"]) if f == P.ENDS]
+    assert ends == ["leaks", "No", "here"]
+    assert [x for x, f in zip(flat, w["follows"]) if f == P.LINE_END] == ["lines", "x"]
+    linked = [x for x, b in zip(flat, w["before"]) if b]
+    assert linked == ["valve", "leaks", "4", "bar", "lines", "one"]
+    assert w["row"].tolist() == [0] * 8 + [2] * 4 + [3]
+    alone = P.running_words(["one here"])
+    assert alone["word"][0] == w["word"][flat.index("one")] and alone["before"][1] == alone["word"][0]
