@@ -10,23 +10,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, slices
+from .rolling import LETTER, Stream, kinds_and_lower
 
 #: Share of an item's words that must stand in the document in order.
 MIN_SHARE = 0.5
-#: Anchors: of each run of ANCHOR_SPAN words of an item, the ANCHORS_EACH that stand in fewest documents.
+#: Anchors: of each run of ANCHOR_SPAN terms of an item, the ANCHORS_EACH that stand in fewest documents.
 ANCHOR_SPAN, ANCHORS_EACH = 6, 2
 #: Share of an item's anchors that a document must hold to be compared word by word.
-ANCHOR_SHARE = 0.25
+ANCHOR_SHARE = 0.15
 #: A matching piece has at least MIN_RUN words and no more than MAX_GAP others between two of them.
 MIN_RUN, MAX_GAP = 4, 2
-#: Rows up to which the items' terms and anchors are broadcast; larger ones are joined by a shuffle.
+#: Rows up to which the items' terms, anchors and candidates are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
-def words(column: str) -> Column:
-    return F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and fingerprint of the terms of texts: pairs of neighbouring words, case and signs apart.
+
+    A term is the list of two words intersected at an offset of one.
+    """
+    joined = "\n".join(texts) + "\n"
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind, low = kinds_and_lower(codes)
+    solid = (kind == LETTER) | ((codes >= 48) & (codes <= 57))
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], solid.view(np.int8), [0]))))
+    start, end = edge[::2], edge[1::2]
+    word = Stream(low).spans(start, end)
+    row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    if len(word) < 2:
+        return row[:0], row[:0], word[:0].view(np.int64)
+    paired = row[1:] == row[:-1]
+    term = (word[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (word[1:] + (word[1:] >> np.uint64(7)))
+    first = np.searchsorted(row, row[:-1])
+    return row[:-1][paired], (np.arange(len(row) - 1) - first)[paired], term[paired].view(np.int64)
 
 
 def matched_words(doc: list[str], item: list[str], min_run: int = MIN_RUN, max_gap: int = MAX_GAP) -> int:
@@ -68,9 +86,58 @@ def matched_words(doc: list[str], item: list[str], min_run: int = MIN_RUN, max_g
     return max(best, default=0)
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The index: ``key, pos, term`` of every word of every text."""
-    return df.select(F.col(id_col).alias("key"), F.posexplode(words(text_col)).alias("pos", "term"))
+def postings(df: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None) -> DataFrame:
+    """The index: ``key, pos, term`` of every term of every text, or of the terms in ``only`` (sorted)."""
+    shared = df.sparkSession.sparkContext.broadcast(only)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, pos, term = _kept(part.column("text").to_pylist(), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(pos), pa.array(term)], names=["key", "pos", "term"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(index, f"key {kind}, pos long, term long")
+
+
+def _kept(texts: list[str], only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, pos, term = terms_of(texts)
+    if only is not None and len(term):
+        held = np.zeros(len(term), dtype=bool) if not len(only) else only[np.minimum(np.searchsorted(only, term), len(only) - 1)] == term
+        row, pos, term = row[held], pos[held], term[held]
+    return row, pos, term
+
+
+def document_frequency(df: DataFrame, text_col: str, only: np.ndarray | None = None) -> DataFrame:
+    """``term, docs``: in how many texts each term stands; counted in batches before the shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(only)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            once = []
+            for part in slices(batch, "text"):
+                row, _, term = _kept(part.column("text").to_pylist(), shared.value)
+                order = np.lexsort((row, term))
+                row, term = row[order], term[order]
+                once.append(term[np.append(True, (row[1:] != row[:-1]) | (term[1:] != term[:-1]))[: len(term)]])
+            if once:
+                term, n = np.unique(np.concatenate(once), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], names=["term", "docs"])
+
+    counted = df.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(count, "term long, docs long")
+    return counted.groupBy("term").agg(F.sum("docs").alias("docs"))
+
+
+def term_set(df: DataFrame, limit: int) -> np.ndarray | None:
+    """The distinct terms of a table, sorted, if there are no more than ``limit``; else None: then no text is filtered early."""
+    distinct = df.select("term").distinct()
+    if distinct.count() > limit:
+        return None
+    return np.sort(distinct.toPandas()["term"].to_numpy(dtype=np.int64))
+
+
+def _words(column: str) -> Column:
+    return F.filter(F.split(F.lower(F.col(column)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -83,36 +150,35 @@ def leaked_items(
 ) -> DataFrame:
     """``doc_id, item_id, matched, n_words`` of documents that hold at least ``min_share`` of an item's words in order.
 
-    1. Document frequencies of the items' terms over the whole corpus give each item's rarest terms.
+    1. Terms are pairs of neighbouring words. Document frequencies of the items' terms over the whole corpus give
+       each item's rarest terms.
     2. The positional postings of those anchors are intersected after subtracting the item's position: a document
        is a candidate for an item if it holds enough of its anchors.
     3. Candidates alone are compared word by word over the whole text.
 
-    Null and empty texts and items have no words and give no rows; documents under a repeated id count as one
+    Null and empty texts and items, and items of one word, give no rows; documents under a repeated id count as one
     document for the anchors and each give their own rows; ties between equally rare terms go to the earlier.
     """
     corpus = docs.select(F.col(doc_id).alias("doc"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    item_words = items.select(F.col(item_id).alias("item"), words(text_col).alias("words")).where(F.size("words") > 0)
-    item_terms = item_words.select("item", F.posexplode("words").alias("ipos", "term"))
-    vocabulary = sized(item_terms.select("term").distinct())
-
-    once = corpus.select(F.explode(F.array_distinct(words("text"))).alias("term"))
-    frequency = once.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    item_words = items.select(F.col(item_id).alias("item"), _words(text_col).alias("words")).where(F.size("words") > 0)
+    item_terms = cut_lineage(postings(items.select(F.col(item_id).alias("item"), F.col(text_col).alias("t")), "item", "t").select(F.col("key").alias("item"), F.col("pos").alias("ipos"), "term"))
+    frequency = document_frequency(corpus, "text", term_set(item_terms, BROADCAST_ROWS))
     span = Window.partitionBy("item", F.floor(F.col("ipos") / ANCHOR_SPAN)).orderBy("docs", "ipos")
     anchors = (
         item_terms.join(frequency, "term").withColumn("_nth", F.row_number().over(span)).where(F.col("_nth") <= ANCHORS_EACH).select("item", "ipos", "term")
     )
-    anchors = sized(cut_lineage(anchors))
-    anchor_count = item_words.select("item", (F.ceil(F.size("words") / ANCHOR_SPAN) * ANCHORS_EACH).alias("anchors"))
+    anchors = cut_lineage(anchors)
+    anchor_count = item_words.select("item", (F.ceil((F.size("words") - 1) / ANCHOR_SPAN) * ANCHORS_EACH).alias("anchors"))
 
     agreed = (
-        postings(corpus, "doc", "text").join(anchors, "term")
+        postings(corpus, "doc", "text", term_set(anchors, BROADCAST_ROWS)).join(sized(anchors), "term")
         .groupBy("key", "item", (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.collect_set("ipos").alias("at"))
         .groupBy("key", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("held"))
         .join(anchor_count, "item").where(F.col("held") >= F.greatest(F.lit(2), F.col("anchors") * ANCHOR_SHARE))
         .select(F.col("key").alias("doc"), "item")
     )
-    pairs = agreed.join(corpus, "doc").join(item_words, "item")
+    agreed = sized(cut_lineage(agreed))
+    pairs = corpus.join(agreed, "doc").join(item_words, "item")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,3 +34,13 @@ def test_nothing(spark):
     items = spark.createDataFrame([(1, ITEMS[1])], "item_id long, text string")
     assert leaked_items(docs, items).count() == 0
     assert leaked_items(spark.createDataFrame([(1, ITEMS[1])], "doc_id long, text string"), items.where("false")).count() == 0
+
+
+def test_beyond_the_broadcast_limit(spark, monkeypatch):
+    """The other way, by plain joins, finds the same."""
+    docs = spark.createDataFrame([(i, ("filler words here " * 3) + (ITEMS[1] if i % 3 == 0 else ITEMS[2][:40])) for i in range(12)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, v) for k, v in ITEMS.items()], "item_id long, text string")
+    expected = {(i, 1) for i in range(0, 12, 3)}
+    assert {(r.doc_id, r.item_id) for r in leaked_items(docs, items).collect()} == expected
+    monkeypatch.setattr("tarnline.llm.leaks.BROADCAST_ROWS", 0)
+    assert {(r.doc_id, r.item_id) for r in leaked_items(docs, items).collect()} == expected
