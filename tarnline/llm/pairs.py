@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut_lineage, slices
 from .rolling import DROP, LETTER, Stream, kinds_and_lower
 
 BUCKETS = 1 << 15
@@ -333,13 +333,13 @@ def broken_pairs(pairs: DataFrame, corpus: DataFrame, min_end_rate: float = MIN_
     defects that need none. Empty tables give an empty result.
     """
     langs, model = language_model(corpus)
-    looked = pair_features(pairs, langs, model)
+    looked = cut_lineage(pair_features(pairs, langs, model))  # read three times below
     counts = end_counts(corpus.select("text").unionAll(pairs.select("text")).unionAll(pairs.select(F.col("question").alias("text"))))
     told = looked.where(F.col("defect").isNotNull()).select("field", "row_id", "defect")
 
     open_end = looked.where(F.col("defect").isNull() & F.col("b").isNotNull())
     sought = open_end.select("b").distinct()
-    near = counts.join(sought, "b", "left_semi")
+    near = cut_lineage(counts.join(sought, "b", "left_semi"))
     by_word = near.groupBy("b").agg(F.sum("n").alias("word_n"), F.sum("ends").alias("word_ends"))
     judged = (
         open_end.join(near.withColumnsRenamed({"n": "pair_n", "ends": "pair_ends"}), ["a", "b"], "left").join(by_word, "b", "left")
