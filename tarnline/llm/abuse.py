@@ -182,11 +182,12 @@ def _compiled():
 
 # Words without one of which no phrase of harm can stand; other windows are not searched for them.
 TRIGGERS = frozenset(
-    ("i i'll i'm you you're you'll your yourself yourselves he she him her they them we women girls wives should ought must deserve deserves needs want hope wish pray favour favor wake dead die rot hang drop nobody shut lost burn shit waste piece right deserve loss vomit "
-     "disgust kind breed animals human stupid steal shipped driven never race wipe exterminate hire keep back naked nude knees moans sex grabbed send lap sleep suck bend legs bed live someone is are bullet go crawl world "
-     "dich dir dein deine deinen du ihr euch mich stirb leute leben gehören gehört stehlen sind frauen mädchen nacktbilder niemand hölle sterben herd minderwertig minderwertige ausrotten raus hoffentlich zeig zieh schick "
-     "crèvent crèves crève va vas te t'aime toi ton ta tu tes dégage sont c'est gens nue nues habites sale sales rentre rentrez montre couche écarte poil personne "
-     "muérete mátate cuélgate mueran ojalá nadie gente mereces merece hay son desnuda desnudas vete cállate lárgate voy hijo hijos sé que chúpala chúpame desnúdate acuéstate enséñame cierra morir").split()
+    ("you you're you'll your yours yourself yourselves he she him his her they them fed beaten buried dragged hanged hung drowned gassed burned burnt killed shipped thrown deported exterminated castrated sterilised sterilized driven wiped someone hope wish pray "
+     "favour favor wake dead die rot nobody disgust vomit deserve deserves exist loss breed animals apes monkeys cockroaches criminals thieves inferior human stupid steal never race wipe exterminate hire canteen country women girls wives naked nude knees moans sex "
+     "grabbed lap bend legs bed body waste piece mouth crawl hell meat bullet coward liar freak joke disgrace shit "
+     "dich dir dein deine deinen euch stirb leute leben gehören gehört stehlen tiere verbrecher frauen mädchen nacktbilder nackte niemand hölle sterben herd minderwertig minderwertige ausrotten raus hoffentlich zeig zieh schick weiß halt leck "
+     "crèvent crèves crève crever mourir te t'aime toi ton ta tu tes dégage animaux rats ordures sous-hommes gens nue nues habites sale sales rentre rentrez montre couche écarte poil personne broiera "
+     "muérete mátate cuélgate mueran ojalá nadie gente mereces merece respirar animales parásitos echarlos matarlos quemarlos expulsarlos desnuda desnudas vete cállate lárgate hijo hijos sé jodan follen chúpala chúpame desnúdate acuéstate enséñame cierra morir voy").split()
 )
 _HARM_STEMS = re.compile(r"verreck|krepier|erschieß|schlag\w* |polier\w* |stech\w* ")
 
@@ -209,6 +210,9 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
     best, best_kind = 0.0, None
     low = text.lower().replace("’", "'")
     low = _SPACED.sub(_joined, low)
+    seen = set(_WORD.findall(low))
+    if TRIGGERS.isdisjoint(seen) and not any(map(lookup, seen)) and _HARM_STEMS.search(low) is None:
+        return 0.0, None
     for window in _WINDOW.split(low):
         hits: list[tuple[float, str, str]] = []
         swaps: list[tuple[str, str]] = []
