@@ -92,3 +92,10 @@ def link_kind(target: Column) -> Column:
 def hash_tokens(text: Column) -> Column:
     """Distinct commit-like tokens, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(HASH), F.lit(0))))
+
+
+def entry_name(text: Column, marker: str) -> Column:
+    """What stands before the first ``marker``, with white space collapsed; null where the text has no marker."""
+    head = F.substring_index(text, marker, 1)
+    parts = F.filter(F.split(head, r"(?U)\s+"), lambda p: p != "")
+    return F.when(F.contains(text, F.lit(marker)), F.array_join(parts, " "))

@@ -139,3 +139,13 @@ def answer_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "ingest", "source_doc_id", "page", "ingest_id", "text").where("text IS NOT NULL")
     near = pages.join(cited, ["source_doc_id", "page"]).withColumnRenamed("ingest_id", "rank")
     return extracted(questions, near, "eval_id", "question", "text")
+
+
+@query()
+def ask_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer as the JSON of a response: its text, its citations once each and in order, its route."""
+    rows = table(spark, sf_dir, "askresponse", "response_id", "answer", "route", "source_doc_id")
+    cited = _cited(spark, sf_dir).groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("place", "document", "page"))).alias("c"))  # an answer's few citations
+    listed = F.transform(F.coalesce("c", F.array().cast("array<struct<place:bigint,document:string,page:int>>")), lambda x: F.struct(x["document"].alias("document"), x["page"].alias("page")))
+    body = F.to_json(F.struct(F.coalesce("answer", F.lit("")).alias("answer"), listed.alias("citations"), "route", "source_doc_id"))
+    return rows.join(cited, "response_id", "left").select("response_id", body.alias("response"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import entry_name as name_of
 from ..functions.text import is_blank, sentences, squeezed, stripped
 from ..operators.chunking import capped, page_spans as spans_of, records, sections, sentence_windows as windows_of, split_rows, start_offsets
 from ..operators.runs import previous
@@ -210,3 +211,27 @@ def page_text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = ~F.col("text").rlike(r"[^\x00-\x7F]")
     rows = _texts(spark, sf_dir)
     return rows.where(plain).unionByName(rows.where(~plain).withColumn("text", nfkc(F.col("text"))))
+
+
+_NAMED = r"""WITH l AS (SELECT doc_id, i, parts[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS t(i)),
+    n AS (SELECT doc_id, i - 1 AS line_no, array_to_string(list_filter(regexp_split_to_array(split_part(line, ' – ', 1), '[\s\p{Z}]+'), lambda x: x <> ''), ' ') AS name FROM l WHERE contains(line, ' – '))
+"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    named = lines.withColumn("name", name_of(F.col("line"), " – ")).where(F.col("name").isNotNull())
+    return named.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "name")
+
+
+@query(_NAMED + "SELECT * FROM n")
+def entry_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of entries: what stands before the dash of a line."""
+    return _named(spark, sf_dir)
+
+
+@query(_NAMED + "SELECT doc_id, count(*) AS n_orphans FROM n WHERE name = '' OR regexp_matches(name, '[0-9]') GROUP BY 1")
+def orphaned_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries without a name, or with a figure for one."""
+    odd = (F.col("name") == "") | F.col("name").rlike("[0-9]")
+    return _named(spark, sf_dir).where(odd).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_orphans"))

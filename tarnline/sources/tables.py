@@ -59,3 +59,9 @@ def newest_file(spark: SparkSession, path: str, pattern: str = "*.json") -> Data
     """``file`` of the newest file under ``path``, by modification time, then name."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "modificationTime")
     return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("file"))
+
+
+def missing_paths(manifest: DataFrame, folder: str) -> DataFrame:
+    """Rows of the manifest whose file does not lie under ``folder``; only names are listed, no contents read."""
+    listed = manifest.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("filename"))
+    return manifest.join(listed.distinct(), "filename", "left_anti")

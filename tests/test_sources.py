@@ -27,3 +27,10 @@ def test_markdown_and_newest_file(spark, tmp_path):
 
         os.utime(tmp_path / name, (1000 + i, 1000 + i))
     assert tables.newest_file(spark, str(tmp_path)).first().file.endswith("c.json")
+
+
+def test_missing_paths(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "a.pdf").write_bytes(b"%PDF")
+    docs = spark.createDataFrame([("a", "a.pdf"), ("b", "b.pdf")], "doc_id string, filename string")
+    assert [r.doc_id for r in tables.missing_paths(docs, str(tmp_path)).collect()] == ["b"]
