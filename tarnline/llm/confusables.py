@@ -5,9 +5,11 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -125,35 +127,48 @@ def skeleton(text: str) -> str:
     return " ".join(unicodedata.normalize("NFD", consistent(text)).lower().split())
 
 
+@functools.cache
+def _odd_character():
+    return re.compile(f"[^{PLAIN}]").search
+
+
+def consistent_or_same(text: str) -> str:
+    """The consistent form; texts of plain characters alone are their own and are not looked into."""
+    return text if text.isascii() or not _odd_character()(text) else consistent(text)
+
+
 @F.pandas_udf(StringType())
 def _consistent(texts: pd.Series) -> pd.Series:
-    return texts.map(consistent, na_action="ignore")
+    return texts.map(consistent_or_same, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
-def _skeleton(texts: pd.Series) -> pd.Series:
-    return texts.map(skeleton, na_action="ignore")
+def _key(texts: pd.Series) -> pd.Series:
+    """The skeleton without white space."""
+    return texts.map(lambda t: skeleton(t).replace(" ", ""), na_action="ignore")
 
 
-def suspicious(column: str) -> Column:
-    return F.col(column).rlike(f"[^{PLAIN}]")
+def consistent_text(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` in the consistent form; null stays null and empty stays empty."""
+    return df.withColumn(column, _consistent(F.col(column)))
 
 
-def consistent_text(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with ``column`` in the consistent form; null stays null and empty stays empty.
+def changed_records(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """``field, row_id`` of the records whose text is not in the consistent form; null and blank texts are none.
 
-    Only texts that hold a character of the tables go through Python; the others are their own form.
+    Each text is looked at once, where it lies, and only ids come back.
     """
-    return df.withColumn(column, F.when(suspicious(column), _consistent(F.when(suspicious(column), F.col(column)))).otherwise(F.col(column)))
 
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = _odd_character()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            at = [i for i, t in enumerate(texts) if not t.isascii() and odd(t) and consistent(t) != t]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(at, pa.int64()))], names=["row_id"])
 
-def changed_records(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """``field, row_id`` of the records whose text is not in the consistent form; null and blank texts are none."""
-    held = df.select(F.col(id_col).alias("row_id"), F.col(column).alias("text")).where(suspicious("text"))
-    return (
-        held.withColumn("form", _consistent("text")).where(~F.col("form").eqNullSafe(F.col("text")))
-        .select(F.lit(column).alias("field"), "row_id")
-    )
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("row_id"), F.col(column).alias("text")).where(F.col("text").isNotNull())
+    return rows.mapInArrow(changed, f"row_id {kind}").select(F.lit(column).alias("field"), "row_id")
 
 
 def tokens_on_pages(tokens: DataFrame, pages: DataFrame) -> DataFrame:
@@ -162,16 +177,12 @@ def tokens_on_pages(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     Pages are narrowed to the cited ones before any text moves. Null and blank tokens are not found; a page that
     is missing gives False; the pieces of a page are tested one by one.
     """
-    cited = tokens.select("cand_id", "source_doc_id", F.col("source_page").alias("page"), F.col("key_value_token").alias("token"))
-    keys = cited.select("source_doc_id", "page").distinct()
-    texts = (
-        pages.select("source_doc_id", "page", "text").where(F.col("text").isNotNull())
-        .join(keys, ["source_doc_id", "page"], "left_semi").withColumn("text", _skeleton("text"))
-    )
-    sought = cited.withColumn("token", _skeleton("token"))
-    squeezed = lambda c: F.regexp_replace(c, r"\s+", "")
+    cited = tokens.select("cand_id", "source_doc_id", F.col("source_page").alias("page"), _key(F.col("key_value_token")).alias("token"))
+    keys = tokens.select("source_doc_id", F.col("source_page").alias("page")).distinct()
+    held = pages.select("source_doc_id", "page", "text").where(F.col("text").isNotNull()).join(keys, ["source_doc_id", "page"], "left_semi")
+    texts = held.select("source_doc_id", "page", _key(F.col("text")).alias("text"))
     hits = (
-        sought.where(F.length("token") > 0).join(texts, ["source_doc_id", "page"])
-        .where(F.contains(squeezed("text"), squeezed("token"))).select("cand_id").distinct().withColumn("found", F.lit(True))
+        cited.where(F.length("token") > 0).join(texts, ["source_doc_id", "page"]).where(F.contains("text", "token"))
+        .select("cand_id").distinct().withColumn("found", F.lit(True))
     )
     return tokens.select("cand_id").join(hits, "cand_id", "left").select("cand_id", F.coalesce("found", F.lit(False)).alias("found"))
