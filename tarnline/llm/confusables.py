@@ -62,12 +62,16 @@ def _tools():
     exact = lookalikes()
     near = dict(zip(*NEAR))
     forced = str.maketrans(everywhere)
-    spot = re.compile("[" + "".join(map(re.escape, everywhere)) + "]")
     foreign = re.compile("[" + "".join(map(re.escape, exact)) + "]")
     word = re.compile(r"[^\W_]+")
     latin = re.compile(r"[A-Za-zÀ-ɏ]")
     mark = re.compile("[̀-ͯ]")
-    return everywhere, exact, near, forced, spot, foreign, word, latin, mark
+    return everywhere, exact, near, forced, foreign, word, latin, mark
+
+
+@functools.cache
+def _odd_character():
+    return re.compile(f"[^{PLAIN}]").search
 
 
 def _script(ch: str) -> str:
@@ -84,7 +88,7 @@ def _word_skeleton(word: str, around: str) -> str:
     They are replaced in a word that has Latin letters too, and in a word made of look-alikes alone unless a
     word close by is truly of their alphabet. In a word of another alphabet a Latin look-alike is brought home.
     """
-    _, exact, near, _, _, _, _, latin, _ = _tools()
+    _, exact, near, _, _, _, latin, _ = _tools()
     odd = _odd(word)
     if not any(c in exact for c in odd):
         return word
@@ -104,11 +108,10 @@ def _word_skeleton(word: str, around: str) -> str:
 
 def consistent(text: str) -> str:
     """The consistent form, composed: decompose, replace by prototypes, decompose again, compose."""
-    if text.isascii():
-        return text
-    _, _, _, forced, spot, foreign, word, _, mark = _tools()
-    if spot.search(text):
-        text = unicodedata.normalize("NFD", text).translate(forced)
+    if text.isascii() or not _odd_character()(text):
+        return unicodedata.normalize("NFC", text)
+    _, _, _, forced, foreign, word, _, mark = _tools()
+    text = unicodedata.normalize("NFD", text).translate(forced)
     if not text.isascii() and (foreign.search(text) or mark.search(text)):
         text = unicodedata.normalize("NFC", text)
         if foreign.search(text):
@@ -127,19 +130,9 @@ def skeleton(text: str) -> str:
     return " ".join(unicodedata.normalize("NFD", consistent(text)).lower().split())
 
 
-@functools.cache
-def _odd_character():
-    return re.compile(f"[^{PLAIN}]").search
-
-
-def consistent_or_same(text: str) -> str:
-    """The consistent form; texts of plain characters alone are their own and are not looked into."""
-    return text if text.isascii() or not _odd_character()(text) else consistent(text)
-
-
 @F.pandas_udf(StringType())
 def _consistent(texts: pd.Series) -> pd.Series:
-    return texts.map(consistent_or_same, na_action="ignore")
+    return texts.map(consistent, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
