@@ -21,7 +21,7 @@ def test_refusals(spark, answer, refused, kind):
     assert tuple(row) == (refused, kind)
 
 
-@pytest.mark.parametrize("chunk, page", [("niosh-p12-3", 12), ("a-p1-p2-0", 1), ("none", -1), ("x-p-1", -1), ("x-p99999999999999999999-1", -1)])
+@pytest.mark.parametrize("chunk, page", [("guide-p12-3", 12), ("a-p1-p2-0", 1), ("none", -1), ("x-p-1", -1), ("x-p99999999999999999999-1", -1)])
 def test_page_of_id(spark, chunk, page):
     assert spark.createDataFrame([(chunk,)], "i string").select(T.page_of_id(F.col("i"))).first()[0] == page
 

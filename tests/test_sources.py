@@ -13,9 +13,9 @@ def test_manifest_and_dataset_files(spark, tmp_path):
 
 
 def test_page_dumps(spark, tmp_path):
-    (tmp_path / "d.txt").write_text("===== niosh guide PAGE 1/2 =====\nfirst\npage\n===== niosh guide PAGE 2/2 =====\nsecond")
+    (tmp_path / "d.txt").write_text("===== pump guide PAGE 1/2 =====\nfirst\npage\n===== pump guide PAGE 2/2 =====\nsecond")
     got = {(r.doc_id, r.page): r.text for r in tables.read_page_dumps(spark, str(tmp_path)).collect()}
-    assert got == {("niosh guide", 1): "first\npage\n", ("niosh guide", 2): "second"}
+    assert got == {("pump guide", 1): "first\npage\n", ("pump guide", 2): "second"}
 
 
 def test_markdown_and_newest_file(spark, tmp_path):
