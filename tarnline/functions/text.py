@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The sentence by which an answer declines, and fragments of it and of its near misses.
+# The sentence by which an answer declines; phrases that tell a refusal wherever they stand; phrases that
+# tell one in a short answer only.
 REFUSAL = "the provided context does not contain the answer"
-REFUSAL_FRAGMENTS = ["does not contain the answer", "context does not contain", "not contain the answer"]
+REFUSAL_ANYWHERE = [
+    "does not contain the answer", "not in the provided context", "cannot be determined from the context", "not contained in the provided context", "context does not contain",
+]
+REFUSAL_WHEN_SHORT = [
+    "does not contain", "not in the context", "cannot determine", "cannot be determined", "not provided", "no information", "does not provide", "does not specify", "not available", "unable to answer", "not mentioned",
+    "not found in",
+]
 SHORT_ANSWER = 150
 SENTENCE_END = r"(?<=[.?!])\s+"
 
@@ -27,20 +34,17 @@ def is_blank(text: Column) -> Column:
 
 
 def is_refusal(answer: Column) -> Column:
-    """Whether the whole answer is the refusal sentence, whatever its case, padding and final dots; blank counts."""
-    core = F.lower(F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s+|\s*\.*\s*$", ""))
-    return (core == REFUSAL) | (core == "")
+    """Whether the whole answer is the refusal sentence, whatever its case, padding and final dots; null is none."""
+    return F.lower(F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s+|\s*\.*\s*$", "")) == REFUSAL
 
 
 def refusal_class(answer: Column) -> Column:
-    """``empty``, ``exact``, ``near_miss`` (the fragments in a short answer) or ``attempt``."""
-    low = F.lower(F.coalesce(answer, F.lit("")))
-    near = F.lit(False)
-    for fragment in REFUSAL_FRAGMENTS:
-        near = near | F.contains(low, F.lit(fragment))
+    """``empty``, ``exact_refusal`` (the sentence stands in the answer), ``near_miss_refusal`` or ``attempt``."""
+    low = F.lower(stripped(F.coalesce(answer, F.lit(""))))
+    holds = lambda phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(low, p))
     return (
-        F.when(is_blank(answer), "empty").when(is_refusal(answer), "exact")
-        .when(near & (F.length(answer) < SHORT_ANSWER), "near_miss").otherwise("attempt")
+        F.when(low == "", "empty").when(F.contains(low, F.lit(REFUSAL)), "exact_refusal")
+        .when(holds(REFUSAL_ANYWHERE) | ((F.length(low) < SHORT_ANSWER) & holds(REFUSAL_WHEN_SHORT)), "near_miss_refusal").otherwise("attempt")
     )
 
 

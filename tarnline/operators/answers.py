@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_refusal, sentences, squeezed, words
+from ..functions.text import is_blank, is_refusal, sentences, squeezed, words
 
 
 def cited_once(answers: DataFrame, key: str, answer: str, citations: str) -> DataFrame:
     """``key, place, document, page``: each (document, page) of an answer at its first place.
 
-    Entries without a document or a page are left out, and a refusal cites nothing. The order is within an answer,
+    Entries without a document or a page are left out, and a blank answer or a refusal cites nothing. The order is within an answer,
     whose list is short, so it is kept by an aggregate over the exploded entries.
     """
-    kept = answers.where(~is_refusal(F.col(answer))).select(key, F.posexplode(citations).alias("pos", "c"))
+    kept = answers.where(~is_blank(F.col(answer)) & ~is_refusal(F.col(answer))).select(key, F.posexplode(citations).alias("pos", "c"))
     named = kept.where((F.coalesce(F.col("c.document"), F.lit("")) != "") & F.col("c.page").isNotNull())
     first = named.groupBy(key, F.col("c.document").alias("document"), F.col("c.page").alias("page")).agg(F.min("pos").alias("pos"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
@@ -27,15 +29,19 @@ def titled(citations: DataFrame, manifest: DataFrame, doc: str) -> DataFrame:
     return citations.join(titles, doc, "left").withColumn("title", F.coalesce("title", doc))
 
 
-def tokens_found(tokens: DataFrame, pages: DataFrame, key: str, doc: str, page: str, token: str, text: str = "text") -> DataFrame:
+def tokens_found(tokens: DataFrame, pages: DataFrame, key: str, doc: str, page: str, token: str, text: str = "text", normal: Callable[[Column], Column] | None = None) -> DataFrame:
     """``key, found``: whether the token stands on any piece of its page, case and white space apart.
 
+    ``normal`` is put over both first, such as the compatibility form of ``functions.unicode.nfkc``.
+
     Pages are narrowed to the cited ones before their texts move; null and blank tokens are not found.
     """
-    cited = tokens.select(key, F.col(doc).alias("_doc"), F.col(page).alias("_page"), F.lower(squeezed(F.col(token))).alias("_token"))
-    texts = pages.select(F.col("source_doc_id").alias("_doc"), F.col("page").alias("_page"), F.lower(squeezed(F.col(text))).alias("_text"))
-    needed = texts.join(cited.select("_doc", "_page").distinct(), ["_doc", "_page"], "left_semi")
-    hits = cited.where(F.length("_token") > 0).join(needed, ["_doc", "_page"]).where(F.contains("_text", "_token"))
+    normal = normal or (lambda c: c)
+    cited = tokens.select(key, F.col(doc).alias("_doc"), F.col(page).alias("_page"), F.lower(squeezed(normal(F.col(token)))).alias("_token"))
+    keys = tokens.select(F.col(doc).alias("_doc"), F.col(page).alias("_page")).distinct()
+    needed = pages.select(F.col("source_doc_id").alias("_doc"), F.col("page").alias("_page"), F.col(text).alias("_raw")).join(keys, ["_doc", "_page"], "left_semi")
+    texts = needed.select("_doc", "_page", F.lower(squeezed(normal(F.col("_raw")))).alias("_text"))
+    hits = cited.where(F.length("_token") > 0).join(texts, ["_doc", "_page"]).where(F.contains("_text", "_token"))
     found = hits.select(key).distinct().withColumn("found", F.lit(True))
     return tokens.select(key).join(found, key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))
 

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import REFUSAL, REFUSAL_ANYWHERE, REFUSAL_WHEN_SHORT, refusal_class, safe_filename, stripped
 from ..functions.text import is_refusal as refused
-from ..functions.text import refusal_class, safe_filename, stripped
 from ..operators.answers import cited_once, extracted, titled, tokens_found
 from ..sources.tables import table
 from .registry import query
 
 _WS = r"[\s\p{Z}\x{85}]"
 _CORE = r"lower(regexp_replace(regexp_replace(coalesce(answer, ''), '^\s+', ''), '\s*\.*\s*$', ''))"
-_REFUSED = f"({_CORE} IN ('the provided context does not contain the answer', ''))"
-_NEAR = "(contains(lower(answer), 'does not contain the answer') OR contains(lower(answer), 'context does not contain') OR contains(lower(answer), 'not contain the answer'))"
-_CLASS = rf"""CASE WHEN answer IS NULL OR NOT regexp_matches(answer, '[^\s\p{{Z}}\x{{85}}]') THEN 'empty' WHEN {_REFUSED} THEN 'exact'
-    WHEN {_NEAR} AND length(answer) < 150 THEN 'near_miss' ELSE 'attempt' END"""
+_REFUSED = f"({_CORE} = 'the provided context does not contain the answer')"
+_BLANK = rf"(answer IS NULL OR NOT regexp_matches(answer, '[^\s\p{{Z}}\x{{85}}]'))"
+_LOW = rf"lower(regexp_replace(answer, '^{_WS}+|{_WS}+$', '', 'g'))"
+
+
+def _holds(phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({_LOW}, '{p}')" for p in phrases) + ")"
+
+
+_CLASS = f"""CASE WHEN {_BLANK} THEN 'empty' WHEN contains({_LOW}, '{REFUSAL}') THEN 'exact_refusal'
+    WHEN {_holds(REFUSAL_ANYWHERE)} OR length({_LOW}) < 150 AND {_holds(REFUSAL_WHEN_SHORT)} THEN 'near_miss_refusal' ELSE 'attempt' END"""
 
 
 @query(f"SELECT response_id, {_REFUSED} AS refused FROM askresponse")
@@ -29,10 +36,10 @@ def refusal_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "askresponse", "response_id", "answer").select("response_id", refusal_class(F.col("answer")).alias("class"))
 
 
-@query(f"SELECT response_id, substr(answer, 1, 260) AS excerpt FROM askresponse WHERE {_CLASS} = 'near_miss'")
+@query(f"SELECT response_id, substr(answer, 1, 260) AS excerpt FROM askresponse WHERE {_CLASS} = 'near_miss_refusal'")
 def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "askresponse", "response_id", "answer")
-    return rows.where(refusal_class(F.col("answer")) == "near_miss").select("response_id", F.substring("answer", 1, 260).alias("excerpt"))
+    return rows.where(refusal_class(F.col("answer")) == "near_miss_refusal").select("response_id", F.substring("answer", 1, 260).alias("excerpt"))
 
 
 @query(f"""WITH early AS (SELECT eval_id, max_by(class, (answered_at, response_id)) AS class FROM (SELECT *, {_CLASS} AS class FROM askresponse) WHERE answered_at < TIMESTAMP '2025-02-01' AND eval_id IS NOT NULL GROUP BY 1),
@@ -48,7 +55,7 @@ def refusal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return early.join(late, "eval_id").where(F.col("was") != F.col("is_now"))
 
 
-_CITED = f"""WITH c AS (SELECT response_id, i, citations[i].document AS document, citations[i].page AS page FROM askresponse, unnest(range(1, len(citations) + 1)) AS t(i) WHERE NOT {_REFUSED}),
+_CITED = f"""WITH c AS (SELECT response_id, i, citations[i].document AS document, citations[i].page AS page FROM askresponse, unnest(range(1, len(citations) + 1)) AS t(i) WHERE NOT {_BLANK} AND NOT {_REFUSED}),
     f AS (SELECT response_id, document, page, min(i) AS i FROM c WHERE coalesce(document, '') <> '' AND page IS NOT NULL GROUP BY 1, 2, 3),
     cited AS (SELECT response_id, row_number() OVER (PARTITION BY response_id ORDER BY i) AS place, document, page FROM f)
 """
@@ -149,3 +156,13 @@ def ask_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.transform(F.coalesce("c", F.array().cast("array<struct<place:bigint,document:string,page:int>>")), lambda x: F.struct(x["document"].alias("document"), x["page"].alias("page")))
     body = F.to_json(F.struct(F.coalesce("answer", F.lit("")).alias("answer"), listed.alias("citations"), "route", "source_doc_id"))
     return rows.join(cited, "response_id", "left").select("response_id", body.alias("response"))
+
+
+@query()
+def verify_tokens_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``verify_tokens``, with tokens and pages in compatibility form and without soft hyphens."""
+    from ..functions.unicode import nfkc
+
+    tokens = table(spark, sf_dir, "verify_eval_tokens", "cand_id", "source_doc_id", "source_page", "key_value_token")
+    pages = table(spark, sf_dir, "ingest", "source_doc_id", "page", "text")
+    return tokens_found(tokens, pages, "cand_id", "source_doc_id", "source_page", "key_value_token", normal=nfkc)

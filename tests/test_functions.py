@@ -12,8 +12,9 @@ REFUSED = "The provided context does not contain the answer"
 @pytest.mark.parametrize(
     "answer, refused, kind",
     [
-        (REFUSED + ".", True, "exact"), ("  " + REFUSED.lower() + "  ", True, "exact"), (" .", True, "exact"), ("...", True, "exact"), (None, True, "empty"), ("", True, "empty"),
-        ("12 bar. " + REFUSED + ".", False, "near_miss"), ("The value is 4 bar." + " Keep the area dry." * 9 + " " + REFUSED, False, "attempt"), ("Use a wrench.", False, "attempt"),
+        (REFUSED + ".", True, "exact_refusal"), ("  " + REFUSED.lower() + "  ", True, "exact_refusal"), (REFUSED + " .", True, "exact_refusal"), (REFUSED + "...", True, "exact_refusal"), ("...", False, "attempt"), (None, False, "empty"),
+        (" ", False, "empty"), ("12 bar. " + REFUSED + ".", False, "exact_refusal"), ("The value is not available.", False, "near_miss_refusal"), ("Keep the area dry. " * 9 + "The value is not available.", False, "attempt"),
+        ("Keep the area dry. " * 9 + "The rest is not in the provided context.", False, "near_miss_refusal"), ("Use a wrench.", False, "attempt"),
     ],
 )
 def test_refusals(spark, answer, refused, kind):

@@ -142,3 +142,14 @@ def test_links_outside_fences(spark):
     assert {(r.line, r.target) for r in found.collect()} == {(1, "x.md"), (5, "z.png"), (5, "x.md#part")}
     dead = lint.dead_links(found, spark.createDataFrame([("x.md",)], "path string"), "path")
     assert [r.target for r in dead.collect()] == ["z.png"]
+
+
+def test_tokens_found(spark):
+    from tarnline.functions.unicode import nfkc
+
+    tokens = spark.createDataFrame([(1, "d", 1, "5 BAR"), (2, "d", 1, "\uff15 bar"), (3, "d", 2, "x"), (4, "d", 1, None), (5, "d", 1, " "), (6, "d", 1, "so\u00adft")], "k long, doc string, p int, t string")
+    pages = spark.createDataFrame([("d", 1, "limit 5\nbar, soft"), ("d", 1, None), ("e", 2, "x")], "source_doc_id string, page int, text string")
+    plain = {r.k: r.found for r in answers.tokens_found(tokens, pages, "k", "doc", "p", "t").collect()}
+    assert plain == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
+    normal = {r.k: r.found for r in answers.tokens_found(tokens, pages, "k", "doc", "p", "t", normal=nfkc).collect()}
+    assert normal == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
