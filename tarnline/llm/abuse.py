@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+from .rolling import LETTER, Stream, kinds_and_lower
+
 #: Score of a window from which its document is a case.
 THRESHOLD = 1.0
 #: A word at this rate of all words, and at least MIN_COUNT times, is ordinary and no misspelling of another.
@@ -256,12 +259,19 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    find = re.compile(r"[^\W\d_]{4,}").findall
+    """Words of four letters and more with their counts, found as runs of letters over many texts at once."""
     for batch in batches:
-        seen: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            seen.update(find(text.lower()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        for part in slices(batch, "text"):
+            joined = "\n".join(part.column("text").to_pylist())
+            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            kind, low = kinds_and_lower(codes)
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], (kind == LETTER).view(np.int8), [0]))))
+            start, end = edge[::2], edge[1::2]
+            long = end - start >= 4
+            start, end = start[long], end[long]
+            _, first, n = np.unique(Stream(low).spans(start, end), return_index=True, return_counts=True)
+            words = [joined[a:b].lower() for a, b in zip(start[first].tolist(), end[first].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
 
 
 def ordinary_words(texts: DataFrame, rate: float = ORDINARY_RATE, least: int = MIN_COUNT) -> frozenset[str]:
