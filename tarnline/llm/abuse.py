@@ -9,6 +9,8 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from operator import or_
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,7 @@ HARM = [
     # Spanish
     r"(?:\bmuérete\b|\bmátate\b|\bcuélgate\b|\bque se mueran\b|\bojalá (?:te|os|se)\b|\bnadie te (?:quiere|soporta|aguanta)\b|\bgente como (?:tú|vosotros|ustedes)\b|\bno mereces? (?:respirar|vivir|existir)|\bhay que (?:echarlos|matarlos|quemarlos|expulsarlos)\b|\bson (?:todos |unos |unas )?(?:basura|plaga|ratas|animales|escoria|parásitos|ladrones)|\bfotos desnuda|\bchicas desnudas|\bvete a (?:la mierda|tu país|tomar)|\bcállate\b|\blárgate\b|\bte voy a (?:matar|cortar|romper|encontrar|rajar|partir|quemar)|\bhijos? de puta|\bsé dónde vives|\bque te (?:jodan|follen|den por)|\bchúpa(?:la|me)|\bdesnúdate|\bacuéstate conmigo|\benséñame (?:las|tus) (?:tetas|fotos)|\bcierra (?:la boca|el pico)|\bvas a morir)",
 ]
+FILTH = r"\bpiece of s\S{1,4}t\b"
 # Words of rules, training and quotation about such language.
 ABOUT = r"\b(?:abusive|sexual|offensive|obscene|hateful) (?:or \w+ )?(?:language|words?|remarks?|comments?|content)\b|\bharassment (?:training|policy|rules?)\b|\bhate speech\b|\b(?:is|are|was|were) (?:reported|forbidden|prohibited|banned|not allowed|not tolerated|unacceptable)\b|\b(?:the )?words? (?:like|such as)\b|\bcode of conduct\b|\bbeleidigung\w*\b|\binsultes? (?:sont|est) interdit|\binsultos? (?:están|está) prohibid"
 
@@ -87,6 +90,7 @@ _WORD = re.compile(r"(?:[^\W_]|[$@€](?=\w))(?:[\w*@$€!|+#.'’-]*[\w*@$€])
 _SPACED = re.compile(r"(?<![^\s(\"“«,;:])(?:[^\W\d_] ){3,}[^\W\d_](?![^\s.,;:!?)\"”»])")
 _WINDOW = re.compile(r"(?<=[.!?…])\s+|\n+")
 _LONG = re.compile(r"(\w)\1{2,}")
+_RUN = re.compile(r"\w+")
 
 
 @functools.cache
@@ -178,21 +182,81 @@ def term_of(word: str, ordinary: frozenset[str] | set[str]) -> tuple[str, bool]
 @functools.cache
 def _compiled():
     return (
-        re.compile(PERSON), re.compile("|".join(f"(?:{h})" for h in HARM)), re.compile(ABOUT), {k: re.compile(v) for k, v in HARMLESS.items()},
-        re.compile(r"\bpiece of s\S{1,4}t\b"),
+        re.compile(PERSON), [re.compile(h) for h in HARM], re.compile(ABOUT), {k: re.compile(v) for k, v in HARMLESS.items()},
+        re.compile(FILTH),
     )
 
 
-# Words without one of which no phrase of harm can stand; other windows are not searched for them.
-TRIGGERS = frozenset(
-    ("you you're you'll your yours yourself yourselves he she him his her they them fed beaten buried dragged hanged hung drowned gassed burned burnt killed shipped thrown deported exterminated castrated sterilised sterilized driven wiped someone hope wish pray "
-     "favour favor wake dead die rot nobody disgust vomit deserve deserves exist loss breed animals apes monkeys cockroaches criminals thieves inferior human stupid steal never race wipe exterminate hire canteen country women girls wives naked nude knees moans sex "
-     "grabbed lap bend legs bed body waste piece mouth crawl hell meat bullet coward liar freak joke disgrace shit "
-     "dich dir dein deine deinen euch stirb leute leben gehören gehört stehlen tiere verbrecher frauen mädchen nacktbilder nackte niemand hölle sterben herd minderwertig minderwertige ausrotten raus hoffentlich zeig zieh schick weiß halt leck "
-     "crèvent crèves crève crever mourir te t'aime toi ton ta tu tes dégage animaux rats ordures sous-hommes gens nue nues habites sale sales rentre rentrez montre couche écarte poil personne broiera "
-     "muérete mátate cuélgate mueran ojalá nadie gente mereces merece respirar animales parásitos echarlos matarlos quemarlos expulsarlos desnuda desnudas vete cállate lárgate hijo hijos sé jodan follen chúpala chúpame desnúdate acuéstate enséñame cierra morir voy").split()
-)
-_HARM_STEMS = re.compile(r"verreck|krepier|erschieß|schlag\w* |polier\w* |stech\w* ")
+# Words too frequent to search a window for; they decide which words of a phrase are looked for, not what is found.
+_FREQUENT = frozenset("i we he she you your her him them that this the with are is and before after behind should must will would where why what when take right better keep want end all anyone everyone que dans comme son sind die is a an to be in on at".split())
+
+
+def _needed(items, left: bool, right: bool) -> set[tuple[str, bool]] | None:
+    """Runs of letters of which every match of a parsed pattern holds at least one; None if there is no such set.
+
+    Each comes with whether it is a whole word. ``left`` and ``right`` say whether a word ends before and after
+    the pattern. Of several such sets the one with the rarest runs is taken, by their lengths.
+    """
+    items = list(items)
+
+    def ends(op, value) -> bool:
+        return op is _parser.AT and value is _parser.AT_BOUNDARY or op is _parser.LITERAL and not (chr(value).isalnum() or value == 95)
+
+    choices: list[set[tuple[str, bool]]] = []
+    at = 0
+    while at < len(items):
+        op, value = items[at]
+        stop = at + 1
+        before = ends(*items[at - 1]) if at else left
+        if op is _parser.LITERAL and chr(value).isalpha():
+            while stop < len(items) and items[stop][0] is _parser.LITERAL and chr(items[stop][1]).isalpha():
+                stop += 1
+        after = ends(*items[stop]) if stop < len(items) else right
+        found: set[tuple[str, bool]] | None = None
+        if op is _parser.LITERAL and chr(value).isalpha():
+            found = {("".join(chr(v) for _, v in items[at:stop]), before and after)}
+        elif op is _parser.SUBPATTERN:
+            found = _needed(value[3], before, after)
+        elif op is _parser.BRANCH:
+            parts = [_needed(part, before, after) for part in value[1]]
+            found = None if None in parts else set().union(*parts)
+        elif op is _parser.MAX_REPEAT and value[0] >= 1:
+            found = _needed(value[2], before and value[1] == 1, after and value[1] == 1)
+        if found:
+            choices.append(found)
+        at = stop
+    return min(choices, key=lambda c: sum(1 if run in _FREQUENT else 20.0 ** -len(run) / (1 + 19 * whole) for run, whole in c)) if choices else None
+
+
+@functools.cache
+def triggers() -> tuple[dict[str, int], list[tuple[str, int]]]:
+    """Words, and parts of words, without one of which a phrase of harm cannot stand, each with the bits of its phrases.
+
+    They are derived from the phrases themselves, of which FILTH is the last.
+    """
+    words: dict[str, int] = {}
+    parts: dict[str, int] = {}
+    for k, phrase in enumerate((*HARM, FILTH)):
+        needed = _needed(_parser.parse(phrase), False, False)
+        if needed is None:
+            raise ValueError(f"a phrase that any text may hold: {phrase}")
+        for run, whole in needed:
+            into = words if whole else parts
+            into[run] = into.get(run, 0) | 1 << k
+    return words, list(parts.items())
+
+
+@functools.lru_cache(300_000)
+def may_harm(word: str) -> int:
+    """The phrases of harm, as bits, that may stand around ``word``; a window is searched for those of its words only."""
+    words, parts = triggers()
+    bits = 0
+    for run in _RUN.findall(word):
+        bits |= words.get(run, 0)
+    for part, of in parts:
+        if part in word:
+            bits |= of
+    return bits
 
 
 def _joined(spaced: re.Match) -> str:
@@ -214,7 +278,7 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
     low = text.lower().replace("’", "'")
     low = _SPACED.sub(_joined, low)
     seen = set(_WORD.findall(low))
-    if TRIGGERS.isdisjoint(seen) and not any(map(lookup, seen)) and _HARM_STEMS.search(low) is None:
+    if not any(map(may_harm, seen)) and not any(map(lookup, seen)):
         return 0.0, None
     for window in _WINDOW.split(low):
         hits: list[tuple[float, str, str]] = []
@@ -229,11 +293,12 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
             if hidden:
                 swaps.append((raw, term))
             hits.append((weight + 0.25 * hidden, kind, term))
-        triggered = not TRIGGERS.isdisjoint(found) or _HARM_STEMS.search(window) is not None
-        if not hits and not triggered:
+        bits = functools.reduce(or_, map(may_harm, found), 0)
+        if not hits and not bits:
             continue
         for raw, term in swaps:
             window = window.replace(raw, term)
+            bits = -1
         score, kind_found = 0.0, None
         for weight, kind, term in hits:
             rule = harmless.get(term)
@@ -246,7 +311,7 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
             score += weight
             kind_found = kind_found or ("sexual" if kind == "sexual" else "insult")
         flat = window.replace("'", "’") if "'" in window else window
-        if harm.search(window) or harm.search(flat):
+        if any(bits >> k & 1 and (phrase.search(window) or phrase.search(flat)) for k, phrase in enumerate(harm)):
             score += 1.0
             kind_found = kind_found or "harm"
         if shit.search(window):

@@ -68,3 +68,47 @@ def test_held_out_labels(spark):
     joined = A.abuse_scores(docs).join(labels, "doc_id").toPandas()
     hit = joined[joined.abusive]
     assert (hit.toxic == 1).mean() > 0.95 and len(hit) > 50
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["The foreman ought to be shot.", "All managers should be locked up.", "Every one of the fitters must hang.", "Go hang.", "Shut the trap!", "Sit on my face.", "Sleep with me tonight.", "Suck my dick.", "The foreman is a rat."],
+)
+def test_harm_without_a_listed_word(text):
+    assert score(text) >= A.THRESHOLD and score("The valve is closed. " * 50 + text) >= A.THRESHOLD
+
+
+def sample(items, draw):
+    """A text that a parsed pattern matches, up to boundaries and lookarounds."""
+    out = ""
+    for op, value in items:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "ANY":
+            out += " "
+        elif name == "IN":
+            out += draw.choice([chr(v) if str(o) == "LITERAL" else "o" for o, v in value if str(o) != "NEGATE"])
+        elif name == "SUBPATTERN":
+            out += sample(value[3], draw)
+        elif name == "BRANCH":
+            out += sample(draw.choice(value[1]), draw)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(sample(value[2], draw) for _ in range(draw.choice([value[0], min(value[1], value[0] + 3)])))
+        elif name not in ("AT", "ASSERT", "ASSERT_NOT"):
+            raise ValueError(name)
+    return out
+
+
+@pytest.mark.parametrize("k", range(len(A.HARM) + 1))
+def test_every_phrase_passes_its_words(k):
+    import random
+    import re
+
+    draw, phrase, met = random.Random(k), (*A.HARM, A.FILTH)[k], 0
+    for _ in range(1500):
+        text = sample(re._parser.parse(phrase), draw)
+        if re.search(phrase, text):
+            met += 1
+            assert any(A.may_harm(w) >> k & 1 for w in A._WORD.findall(text)), text
+    assert met > 100
