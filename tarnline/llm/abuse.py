@@ -22,8 +22,9 @@ from .rolling import LETTER, Stream, kinds_and_lower
 
 #: Score of a window from which its document is a case.
 THRESHOLD = 1.0
-#: A word at this rate of all words, and at least MIN_COUNT times, is ordinary and no misspelling of another.
-ORDINARY_RATE, MIN_COUNT = 1e-5, 8
+#: A word in at least MIN_COUNT distinct texts, in so many to all words, and in at least this share of all sources (and
+#: in MIN_SOURCES) is ordinary and no misspelling of another. A text counts once, for one source.
+ORDINARY_RATE, MIN_COUNT, SPREAD, MIN_SOURCES = 1e-5, 8, 0.25, 3
 
 # Lexicon by kind and weight. "insult": strong alone; "slight": needs a person; "sexual": explicit.
 LEXICON: dict[str, tuple[float, str]] = {
@@ -82,6 +83,14 @@ HARM = [
     r"(?:\bmuérete\b|\bmátate\b|\bcuélgate\b|\bque se mueran\b|\bojalá (?:te|os|se)\b|\bnadie te (?:quiere|soporta|aguanta)\b|\bgente como (?:tú|vosotros|ustedes)\b|\bno mereces? (?:respirar|vivir|existir)|\bhay que (?:echarlos|matarlos|quemarlos|expulsarlos)\b|\bson (?:todos |unos |unas )?(?:basura|plaga|ratas|animales|escoria|parásitos|ladrones)|\bfotos desnuda|\bchicas desnudas|\bvete a (?:la mierda|tu país|tomar)|\bcállate\b|\blárgate\b|\bte voy a (?:matar|cortar|romper|encontrar|rajar|partir|quemar)|\bhijos? de puta|\bsé dónde vives|\bque te (?:jodan|follen|den por)|\bchúpa(?:la|me)|\bdesnúdate|\bacuéstate conmigo|\benséñame (?:las|tus) (?:tetas|fotos)|\bcierra (?:la boca|el pico)|\bvas a morir)",
 ]
 FILTH = r"\bpiece of s\S{1,4}t\b"
+# Words of their own within the reach of a term of the lexicon, ordinary in a corpus of any size.
+ORDINARY = frozenset(
+    ("where whole whose wholes batch batches birch butch botch price regard regards idiom idioms shank skunk spank stank swank walker wander wider wiper wiser crown sticking stinging sinking fifth filch laser lasers lower lowers looser loses salvages spine shine swing creed creek crepe "
+     "rates merge nodes books boots booms horns slots slits slats bitten porto dummy texas motor pitch shift plant "
+     "druck drück drucks nutze nette fressen scheine schein schweiße schweißen schweißer schweigen seine retten raten rasten tritten nackt "
+     "débite débit foudre fourre merle valeurs baisse baisser balise braise salopp "
+     "carbón placa placas plaza playa cerca cuerda cedro tanto rutas ramas planta").split()
+)
 # Words of rules, training and quotation about such language.
 ABOUT = r"\b(?:abusive|sexual|offensive|obscene|hateful) (?:or \w+ )?(?:language|words?|remarks?|comments?|content)\b|\bharassment (?:training|policy|rules?)\b|\bhate speech\b|\b(?:is|are|was|were) (?:reported|forbidden|prohibited|banned|not allowed|not tolerated|unacceptable)\b|\b(?:the )?words? (?:like|such as)\b|\bcode of conduct\b|\bbeleidigung\w*\b|\binsultes? (?:sont|est) interdit|\binsultos? (?:están|está) prohibid"
 
@@ -109,9 +118,11 @@ def trie() -> dict:
     return root
 
 
-def near_terms(word: str, most: int) -> list[tuple[int, str]]:
+def near_terms(word: str, most: int, first: str = "") -> list[tuple[int, str]]:
     """Lexicon terms within ``most`` edits of ``word``: the Levenshtein automaton of the word walks the trie.
 
+    With ``first``, only terms that begin with that letter are walked.
+
     The automaton's state is the row of edit distances of all prefixes; a branch dies once no entry is within
     bounds. A star stands for any one letter at no cost.
     """
@@ -134,17 +145,28 @@ def near_terms(word: str, most: int) -> list[tuple[int, str]]:
             if min(new) <= most:
                 walk(child, new, row, ch)
 
-    walk(trie(), list(range(n + 1)), None, "")
+    root = trie()
+    walk({first: root[first]} if first in root else {} if first else root, list(range(n + 1)), None, "")
     return sorted(found)
 
 
+@functools.lru_cache(300_000)
+def slip_of(word: str) -> str | None:
+    """The lexicon term that a word of letters may be a slip of."""
+    most = 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+    if not most:
+        return None
+    hits = [t for _, t in near_terms(word, most, word[0]) if len(t) >= 5 and abs(len(t) - len(word)) <= 1]
+    return hits[0] if hits else None
+
+
 def term_of(word: str, ordinary: frozenset[str] | set[str]) -> tuple[str, bool] | None:
     """The lexicon term behind a word, and whether it was in disguise; None if there is none."""
     listed = terms()
     if word in listed:
         return word, False
     letters = sum(c.isalpha() for c in word)
-    if letters < 1 or len(word) < 3 or len(word) > 24 or word in ordinary:
+    if letters < 1 or len(word) < 3 or len(word) > 24:
         return None
     if "*" in word:
         if word.count("*") + letters != len(word) or len(word) < 3:
@@ -170,13 +192,10 @@ def term_of(word: str, ordinary: frozenset[str] | set[str]) -> tuple[str, bool]
             if short in listed:
                 return short, True
         plain = _LONG.sub(r"\1", plain)
-    if plain in ordinary:
-        return None
-    most = 0 if len(plain) < 5 else 1 if len(plain) < 9 else 2
-    if not most:
+    if plain in ORDINARY or plain in ordinary or word in ordinary:
         return None
-    hits = [(d, t) for d, t in near_terms(plain, most) if t[0] == plain[0] and len(t) >= 5 and abs(len(t) - len(plain)) <= 1]
-    return (hits[0][1], True) if hits else None
+    term = slip_of(plain)
+    return (term, True) if term else None
 
 
 @functools.cache
@@ -323,38 +342,67 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
     return round(best, 4), best_kind
 
 
+@functools.lru_cache(300_000)
+def _may_be_slip(word: str) -> bool:
+    return word not in ORDINARY and word not in terms() and slip_of(word) is not None
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of four letters and more with their counts, found as runs of letters over many texts at once."""
+    """``word, text, source, n``: per text, each word that may be a slip, and under '' the number of words.
+
+    Words, of four letters and more, are found as runs of letters over many texts at once.
+    """
     for batch in batches:
         for part in slices(batch, "text"):
-            joined = "\n".join(part.column("text").to_pylist())
+            texts = part.column("text").to_pylist()
+            joined = "\n".join(texts)
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             kind, low = kinds_and_lower(codes)
             edge = np.flatnonzero(np.diff(np.concatenate(([0], (kind == LETTER).view(np.int8), [0]))))
             start, end = edge[::2], edge[1::2]
             long = end - start >= 4
             start, end = start[long], end[long]
-            _, first, n = np.unique(Stream(low).spans(start, end), return_index=True, return_counts=True)
+            _, first, which = np.unique(Stream(low).spans(start, end), return_index=True, return_inverse=True)
             words = [joined[a:b].lower() for a, b in zip(start[first].tolist(), end[first].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n.astype(np.int64))], names=["word", "n"])
+            owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+            slip = np.fromiter(map(_may_be_slip, words), dtype=bool, count=len(words))[which]
+            pairs = np.unique(which[slip].astype(np.int64) * len(texts) + owner[slip])
+            at = pa.array(np.concatenate((np.arange(len(texts)), pairs % len(texts))), pa.int64())
+            n = np.concatenate((np.bincount(owner, minlength=len(texts)), np.ones(len(pairs), dtype=np.int64)))
+            held = [""] * len(texts) + [words[i] for i in (pairs // len(texts)).tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(held, pa.string()), part.column("key").take(at), part.column("source").take(at), pa.array(n.astype(np.int64))], names=["word", "key", "source", "n"]
+            )
 
 
-def ordinary_words(texts: DataFrame, rate: float = ORDINARY_RATE, least: int = MIN_COUNT) -> frozenset[str]:
-    """Words that make up at least ``rate`` of all words of four letters and more; so there are at most 1 / rate."""
-    counted = texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    common = counted.crossJoin(F.broadcast(total)).where((F.col("n") >= least) & (F.col("n") >= F.col("total") * rate)).select("word")
-    return frozenset(r["word"] for r in common.collect())
+def ordinary_words(texts: DataFrame, rate: float = ORDINARY_RATE, least: int = MIN_COUNT, spread: float = SPREAD) -> frozenset[str]:
+    """Words near a term that stand in many distinct texts of many sources; ``texts`` has ``text, source``.
+
+    A text counts once however often it is copied, and for one source; a null source is one of its own. So neither
+    a copied text nor one large source can make a misspelling ordinary. There are at most 1 / rate such words.
+    """
+    keyed = texts.select("text", F.xxhash64("text").alias("key"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"))
+    once = keyed.mapInArrow(_count_words, "word string, key long, source string, n long").groupBy("word", "key").agg(F.min("source").alias("source"), F.max("n").alias("n"))
+    counted = once.groupBy("word", "source").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).groupBy("word").agg(
+        F.sum("texts").alias("texts"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources")
+    )
+    rows = counted.where((F.col("word") == "") | (F.col("texts") >= least) & (F.col("sources") >= MIN_SOURCES)).collect()
+    whole = next((r for r in rows if r["word"] == ""), None)
+    return frozenset(r["word"] for r in rows if r["word"] and r["texts"] >= whole["n"] * rate and r["sources"] >= whole["sources"] * spread)
 
 
-def abuse_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def abuse_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, source_col: str = "source") -> DataFrame:
     """``id_col, score, kind, abusive`` of every row; null and empty texts score 0.
 
     Two passes: counts of words give the ordinary vocabulary (bounded by its rate, broadcast); then every whole
-    text is scored where it lies. Rows under a repeated id each give a row.
+    text is scored where it lies. Rows under a repeated id each give a row. Without ``source_col`` no word can be
+    seen to spread over sources, and only the fixed ORDINARY words are exempt.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordinary = df.sparkSession.sparkContext.broadcast(ordinary_words(rows.select("text").where("text <> ''")))
+    usual: frozenset[str] = frozenset()
+    if source_col in df.columns:
+        usual = ordinary_words(df.select(F.col(text_col).alias("text"), F.col(source_col).alias("source")).where("text <> ''"))
+    ordinary = df.sparkSession.sparkContext.broadcast(usual)
     kind_of_id = df.schema[id_col].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

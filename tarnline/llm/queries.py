@@ -94,13 +94,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .abuse import abuse_scores
 
-    return abuse_scores(read_table(spark, sf_dir, "documents", "doc_id", "text")).where("abusive").select("doc_id")
+    return abuse_scores(read_table(spark, sf_dir, "documents", "doc_id", "source", "text")).where("abusive").select("doc_id")
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .abuse import abuse_scores
 
-    return abuse_scores(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return abuse_scores(read_table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,16 @@ def test_every_phrase_passes_its_words(k):
             met += 1
             assert any(A.may_harm(w) >> k & 1 for w in A._WORD.findall(text)), text
     assert met > 100
+
+
+def test_frequency_alone_excuses_no_word(spark):
+    """Neither a copied text, nor a large source, nor stretched letters make a misspelling ordinary."""
+    rows = [(i, f"s{i % 8}", f"Note {i}: the bimboo meter reads {i} bar.") for i in range(80)]
+    rows += [(100 + i, "spam", f"You idoit, read page {i}.") for i in range(60)] + [(200 + i, f"s{i % 8}", "You basterd!") for i in range(40)]
+    rows += [(300 + i, f"s{i % 8}", f"You fuuuck, {i} times.") for i in range(40)] + [(400, "s1", "The motor is where the whole batch is.")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = {r.doc_id for r in A.abuse_scores(df).where("abusive").collect()}
+    assert found == {*range(100, 160), *range(200, 240), *range(300, 340)}
+    alone = df.where("source = 'spam' OR doc_id = 400")
+    assert {r.doc_id for r in A.abuse_scores(alone).where("abusive").collect()} == {*range(100, 160)}
+    assert not A.term_of("where", frozenset()) and A.term_of("fuuuck", {"fuuuck"}) == ("fuck", True)
