@@ -89,7 +89,7 @@ ORDINARY = frozenset(
      "rates merge nodes books boots booms horns slots slits slats bitten porto dummy texas motor pitch shift plant "
      "druck drück drucks nutze nette fressen scheine schein schweiße schweißen schweißer schweigen seine retten raten rasten tritten nackt "
      "débite débit foudre fourre merle valeurs baisse baisser balise braise salopp "
-     "carbón placa placas plaza playa cerca cuerda cedro tanto rutas ramas planta").split()
+     "unes omron unde kiek carbón placa placas plaza playa cerca cuerda cedro tanto rutas ramas planta").split()
 )
 # Words of rules, training and quotation about such language.
 ABOUT = r"\b(?:abusive|sexual|offensive|obscene|hateful) (?:or \w+ )?(?:language|words?|remarks?|comments?|content)\b|\bharassment (?:training|policy|rules?)\b|\bhate speech\b|\b(?:is|are|was|were) (?:reported|forbidden|prohibited|banned|not allowed|not tolerated|unacceptable)\b|\b(?:the )?words? (?:like|such as)\b|\bcode of conduct\b|\bbeleidigung\w*\b|\binsultes? (?:sont|est) interdit|\binsultos? (?:están|está) prohibid"
@@ -160,13 +160,25 @@ def slip_of(word: str) -> str | None:
     return hits[0] if hits else None
 
 
-def term_of(word: str, ordinary: frozenset[str] | set[str]) -> tuple[str, bool] | None:
-    """The lexicon term behind a word, and whether it was in disguise; None if there is none."""
+def swap_of(word: str) -> str | None:
+    """The insult or sexual term whose first letters are swapped, or any of four letters, or whose f is a ph."""
+    if not 4 <= len(word) <= 24:
+        return None
+    swapped = [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(3 if len(word) == 4 else 1)]
+    found = (t for t in (*swapped, word.replace("ph", "f")) if t != word and len(t) >= 4)
+    return next((t for t in found if terms().get(t, (0.0, "slight"))[1] != "slight"), None)
+
+
+def term_of(word: str, ordinary: frozenset[str] | set[str]) -> tuple[str, bool | None] | None:
+    """The lexicon term behind a word, and whether it was in disguise; None if there is no term.
+
+    In place of True, None stands for a disguise that counts only beside a person or another hit.
+    """
     listed = terms()
     if word in listed:
         return word, False
     letters = sum(c.isalpha() for c in word)
-    if letters < 1 or len(word) < 3 or len(word) > 24:
+    if letters < 1 or len(word) < 3 or len(word) > 24 and len(_LONG.sub(r"\1", word)) > 24:
         return None
     if "*" in word:
         if word.count("*") + letters != len(word) or len(word) < 3:
@@ -195,7 +207,10 @@ def term_of(word: str, ordinary: frozenset[str] | set[str]) -> tuple[str, bool]
     if plain in ORDINARY or plain in ordinary or word in ordinary:
         return None
     term = slip_of(plain)
-    return (term, True) if term else None
+    if term:
+        return term, True
+    swapped = swap_of(plain)
+    return (swapped, None) if swapped else None
 
 
 @functools.cache
@@ -303,11 +318,11 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
         hits: list[tuple[float, str, str]] = []
         swaps: list[tuple[str, str]] = []
         found = _WORD.findall(window)
-        for raw in found:
-            hit = lookup(raw)
-            if hit is None:
-                continue
-            term, hidden = hit
+        met = [(raw, *hit) for raw in found if (hit := lookup(raw)) is not None]
+        if any(hidden is None for _, _, hidden in met) and all(hidden is None for _, _, hidden in met) and not person.search(window):
+            met = []
+        for raw, term, hidden in met:
+            hidden = hidden is not False
             weight, kind = terms()[term]
             if hidden:
                 swaps.append((raw, term))
@@ -344,7 +359,7 @@ def score_windows(text: str, lookup) -> tuple[float, str | None]:
 
 @functools.lru_cache(300_000)
 def _may_be_slip(word: str) -> bool:
-    return word not in ORDINARY and word not in terms() and slip_of(word) is not None
+    return word not in ORDINARY and word not in terms() and (slip_of(word) or swap_of(word)) is not None
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

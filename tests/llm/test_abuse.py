@@ -125,3 +125,13 @@ def test_frequency_alone_excuses_no_word(spark):
     alone = df.where("source = 'spam' OR doc_id = 400")
     assert {r.doc_id for r in A.abuse_scores(alone).where("abusive").collect()} == {*range(100, 160)}
     assert not A.term_of("where", frozenset()) and A.term_of("fuuuck", {"fuuuck"}) == ("fuck", True)
+
+
+@pytest.mark.parametrize("text", ["fcuk you", "You fukc.", "You phuck.", "You diiot!", "What an idi" + "o" * 40 + "t.", "You f" + "u" * 30 + "ck."])
+def test_swapped_and_very_stretched_words(text):
+    assert score(text) >= A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["The label reads fcuk.", "Your Omron sensor.", "Vous prenez les unes et les autres.", "You phone the crew.", "Aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa, you."])
+def test_swapped_words_need_company(text):
+    assert score(text) < A.THRESHOLD
