@@ -17,11 +17,13 @@ from pyspark.sql.types import StringType
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХԌԚԜҮаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXGQWYaesijopcyxhdqwl")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj")
 ARMENIAN = ("ՕՍՏԼոսհց", "OUSLnuhg")
-#: Letters that resemble a Latin letter less closely; they count inside a word with Latin letters only.
+#: Letters that resemble a Latin letter less closely; they count inside a word with several Latin letters only.
 NEAR = ("νικρυγтвкмнпгɑɡıαӀ", "vikpuyTBKMHnragiaI")
 # Hyphens that look like the ordinary one, and invisible characters outside the format category.
 HYPHENS = "‐‑‒﹣－"
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
+#: Control characters that lay out a text.
+LAYOUT = "\t\n\v\f\r\x85"
 #: Kinds of compatibility forms that differ from the ordinary character in width, font or joining only.
 FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 #: Characters on either side in which a word of look-alikes alone may find company of its own alphabet.
@@ -34,12 +36,14 @@ PLAIN = "\\t\\n\\r\\x20-\\x7E\\xA1-\\xAC\\xAE-\\u0131\\u0134-\\u0250\\u2013-\\u2
 def prototypes() -> dict[str, str]:
     """Characters that are replaced wherever they stand, from the rules of the character database."""
     out: dict[str, str] = {}
-    for cp in range(0x80, 0x20000):
+    for cp in (*range(0x20000), *range(0xE0000, 0xE1000)):
         if 0xD800 <= cp < 0xE000 or 0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7B0:
             continue
         ch = chr(cp)
         category, form = unicodedata.category(ch), unicodedata.decomposition(ch)
-        if category == "Cf" or category == "Cc" and ch != "\x85" or 0xFE00 <= cp <= 0xFE0F:
+        if cp < 0x80 and category != "Cc":
+            continue
+        if category == "Cf" or category == "Cc" and ch not in LAYOUT or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
             out[ch] = ""
         elif category == "Zs":
             out[ch] = " "
@@ -62,7 +66,7 @@ def _tools():
     exact = lookalikes()
     near = dict(zip(*NEAR))
     forced = str.maketrans(everywhere)
-    foreign = re.compile("[" + "".join(map(re.escape, exact)) + "]")
+    foreign = re.compile("[" + "".join(map(re.escape, [*exact, *filter(_far, near)])) + "]")
     word = re.compile(r"[^\W_]+")
     latin = re.compile(r"[A-Za-zÀ-ɏ]")
     mark = re.compile("[̀-ͯ]")
@@ -78,8 +82,12 @@ def _script(ch: str) -> str:
     return unicodedata.name(ch, "").split(" ")[0]
 
 
+def _far(ch: str) -> bool:
+    return ch > "\u024f" and ch.isalpha()
+
+
 def _odd(word: str) -> list[str]:
-    return [c for c in word if c > "\u024f" and c.isalpha()]
+    return list(filter(_far, word))
 
 
 def _word_skeleton(word: str, around: str) -> str:
@@ -91,7 +99,11 @@ def _word_skeleton(word: str, around: str) -> str:
     _, exact, near, _, _, _, latin, _ = _tools()
     odd = _odd(word)
     if not any(c in exact for c in odd):
-        return word
+        # near letters alone: several Latin letters carry the word; a sign before a few (ρgh, αmax) is a formula
+        latins = sum(map(bool, map(latin.match, word)))
+        if not odd or latins < (2 if any(map(_far, word[1:])) else 4) or len(odd) >= latins or any(c not in near for c in odd):
+            return word
+        return "".join(near.get(c, c) if _far(c) else c for c in word)
     own = {_script(c) for c in odd}
     true = [c for c in odd if c not in exact]
     latins = sum(map(bool, map(latin.match, word)))
@@ -108,7 +120,7 @@ def _word_skeleton(word: str, around: str) -> str:
 
 def consistent(text: str) -> str:
     """The consistent form, composed: decompose, replace by prototypes, decompose again, compose."""
-    if text.isascii() or not _odd_character()(text):
+    if not _odd_character()(text):
         return unicodedata.normalize("NFC", text)
     _, _, _, forced, foreign, word, _, mark = _tools()
     text = unicodedata.normalize("NFD", text).translate(forced)
@@ -135,6 +147,11 @@ def _consistent(texts: pd.Series) -> pd.Series:
     return texts.map(consistent, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _skeleton(texts: pd.Series) -> pd.Series:
+    return texts.map(skeleton, na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def _key(texts: pd.Series) -> pd.Series:
     """The skeleton without white space."""
@@ -146,6 +163,16 @@ def consistent_text(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, _consistent(F.col(column)))
 
 
+def same_looking(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """``skeleton, n, forms, first``: per hash of a skeleton its rows, its distinct originals and its first id.
+
+    Null texts are left out. Only hashes and ids move; rows of one skeleton are counted before they meet.
+    """
+    keyed = df.where(F.col(column).isNotNull()).select(F.sha2(_skeleton(F.col(column)), 256).alias("skeleton"), F.sha2(F.col(column), 256).alias("form"), F.col(id_col).alias("id"))
+    forms = keyed.groupBy("skeleton", "form").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    return forms.groupBy("skeleton").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.min("first").alias("first"))
+
+
 def changed_records(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """``field, row_id`` of the records whose text is not in the consistent form; null and blank texts are none.
 
@@ -156,7 +183,7 @@ def changed_records(df: DataFrame, id_col: str, column: str) -> DataFrame:
         odd = _odd_character()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            at = [i for i, t in enumerate(texts) if not t.isascii() and odd(t) and consistent(t) != t]
+            at = [i for i, t in enumerate(texts) if odd(t) and consistent(t) != t]
             yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(at, pa.int64()))], names=["row_id"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnline.llm.confusables import PLAIN, changed_records, consistent, consistent_text, lookalikes, prototypes, skeleton, tokens_on_pages
+from tarnline.llm.confusables import PLAIN, changed_records, consistent, consistent_text, lookalikes, prototypes, same_looking, skeleton, tokens_on_pages
 
 CASES = [
     ("ｒｉｎｇ １２", "ring 12"), ("thе pump", "the pump"), ("zero​width", "zerowidth"), ("so­ft", "soft"), ("a b", "a b"), ("ﬂange", "flange"),
@@ -53,3 +53,24 @@ def test_tokens_on_pages(spark):
         "cand_id long, source_doc_id string, source_page int, key_value_token string",
     )
     assert {(r.cand_id, r.found) for r in tokens_on_pages(tokens, pages).collect()} == {(1, True), (2, False), (3, False), (4, False), (5, False)}
+
+
+MORE = [("pαge", "page"), ("νalνe", "valve"), ("mοtοr", "motor"), ("fοrcе", "force"), ("pιpe", "pipe"), ("ring\x00", "ring"), ("a\x08b\x1b\x7f", "ab"), ("tag\U000e0041\U000e007f", "tag"), ("vs\U000e0100", "vs")]
+
+
+@pytest.mark.parametrize("text, form", MORE)
+def test_near_letters_and_all_invisibles(text, form):
+    assert consistent(text) == form and consistent(form) == form
+
+
+@pytest.mark.parametrize("text", ["ρgh", "αmax", "γ-ray", "νβ", "Yıldız", "клапан", "κλειδί", "a\tb\r\nc\x0cd"])
+def test_signs_and_layout_stay(text):
+    assert consistent(text) == text
+
+
+def test_same_looking(spark):
+    rows = [(1, "The pump"), (2, "the  puｍp"), (3, "The pump"), (4, "valve"), (5, None), (6, ""), (7, "the p\x00ump")]
+    df = spark.createDataFrame(rows, "ingest_id long, text string")
+    got = sorted((r["first"], r["n"], r["forms"]) for r in same_looking(df, "ingest_id", "text").collect())
+    assert got == [(1, 4, 3), (4, 1, 1), (6, 1, 1)]
+    assert {r.row_id for r in changed_records(df, "ingest_id", "text").collect()} == {2, 7}
