@@ -74,6 +74,8 @@ _PIECES = re.compile(r"(?<=[.!?…;])\s+")
 SENTENCE_MARKS = np.array([ord(c) for c in ".!?…"], dtype=np.uint32)
 #: Stands for every run of figures.
 FIGURE = -1
+#: A last figure is judged on a line of at least so many words, after a word; shorter ones are bare values.
+FIGURE_WORDS = 5
 
 
 def grams(text: str) -> np.ndarray:
@@ -250,10 +252,16 @@ def is_copy(text: str, question: str) -> bool:
     return True
 
 
+_SENTENCE_START = re.compile(r"[.!?…][\"”»)]*\s+(?=[^\W\d_a-zà-öø-ÿ])|\n")
+_GERMAN_QUOTES = re.compile(r"„[^“”]*[“”]|»[^«»]*«")
+
+
 def is_open(text: str) -> bool:
-    """Whether the text ends inside a bracket or a quotation that began among its last words."""
-    end = text.rstrip()[-24:]
-    return any(end.rfind(a) > end.rfind(b) for a, b in (("(", ")"), ("[", "]"), ("“", "”"), ("«", "»")))
+    """Whether the text ends inside a bracket or a quotation that began in its last sentence or 24 characters."""
+    text = text.rstrip()
+    start = max((m.end() for m in _SENTENCE_START.finditer(text)), default=0)
+    end = _GERMAN_QUOTES.sub("", text[min(start, max(0, len(text) - 24)) :])
+    return any(end.rfind(a) > end.rfind(b) for a, b in (("(", ")"), ("[", "]"), ("“", "”"), ("«", "»"), ("„", "“")))
 
 
 _LAST_SIGN = re.compile(r"([^\w\s]|_)$")
@@ -304,7 +312,8 @@ def pair_features(pairs: DataFrame, langs: list[str], model: np.ndarray) -> Data
                         other = np.delete(q_score, theirs).max()
                         if mine[0] != theirs and odds > MIN_ODDS and q_score[theirs] - other > MIN_QUESTION_ODDS:
                             defect = "language"
-                    if defect is None and not sign and i in last and w["letters"][last[i]]:
+                    running = i in last and w["before"][last[i]] != 0 and w["count"][last[i]] >= FIGURE_WORDS
+                    if defect is None and not sign and i in last and (w["letters"][last[i]] or running):
                         a, b = int(w["before"][last[i]]), int(w["word"][last[i]])
                 out.append((field, row, defect, a, b))
             columns = list(zip(*out)) if out else [[]] * 5
@@ -330,7 +339,8 @@ def broken_pairs(pairs: DataFrame, corpus: DataFrame, min_end_rate: float = MIN_
     ``pairs`` has ``field, row_id, question, text``; ``corpus`` has ``text, lang`` and trains the language model
     and, with the pairs' own texts, the counts of ends. Defects are tried in the order empty, copy, refusal,
     truncated by sign, language, truncated by likelihood, so each case has one. A null question leaves only the
-    defects that need none. Empty tables give an empty result.
+    defects that need none. Empty tables give an empty result. A figure at the end is judged in running text only,
+    where the pair of the word before and a figure is seen 1 / min_end_rate times, by that pair's own rate.
     """
     langs, model = language_model(corpus)
     looked = cut_lineage(pair_features(pairs, langs, model))  # read three times below
@@ -345,6 +355,8 @@ def broken_pairs(pairs: DataFrame, corpus: DataFrame, min_end_rate: float = MIN_
         open_end.join(near.withColumnsRenamed({"n": "pair_n", "ends": "pair_ends"}), ["a", "b"], "left").join(by_word, "b", "left")
         .withColumn("rate", end_rate(F.col("pair_n"), F.col("pair_ends"), F.col("word_n"), F.col("word_ends")))
     )
-    strange = F.col("pair_n").isNull() & (F.col("word_n") >= ENOUGH) & (F.col("a") != 0)  # a fragment that happens to be a word
-    cut = judged.where((F.col("rate") < min_end_rate) | strange).select("field", "row_id", F.lit("truncated").alias("defect"))
+    figure = F.col("b") == FIGURE  # judged by its pair alone: any name may stand before a figure
+    strange = ~figure & F.col("pair_n").isNull() & (F.col("word_n") >= ENOUGH) & (F.col("a") != 0)  # a fragment that happens to be a word
+    often = (F.col("pair_n") * min_end_rate >= 1) & (F.coalesce("pair_ends", F.lit(0)) < F.col("pair_n") * min_end_rate)
+    cut = judged.where(F.when(figure, often).otherwise((F.col("rate") < min_end_rate) | strange)).select("field", "row_id", F.lit("truncated").alias("defect"))
     return told.unionByName(cut)

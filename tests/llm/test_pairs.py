@@ -81,3 +81,17 @@ def test_running_words():
     assert w["row"].tolist() == [0] * 8 + [2] * 4 + [3]
     alone = P.running_words(["one here"])
     assert alone["word"][0] == w["word"][flat.index("one")] and alone["before"][1] == alone["word"][0]
+
+
+def test_ends_inside_a_figure(spark):
+    corpus = spark.createDataFrame([("Set the relief valve to 12 bar before the shift. The crew needs 4 rings of size 30.", "en")] * 300, "text string, lang string")
+    asked = "How is the relief valve set before the shift?"
+    ends = ["First the crew must set the relief valve to 1", "The crew always takes rings of size 30", "to 1", "12", "Valve Quarn 7", "The crew of the shift uses Quarn 7"]
+    rows = [("answer", i, asked, t) for i, t in enumerate(ends)]
+    got = {r.row_id for r in P.broken_pairs(spark.createDataFrame(rows, "field string, row_id long, question string, text string"), corpus).where("defect = 'truncated'").collect()}
+    assert got == {0}
+
+
+@pytest.mark.parametrize("text, is_open", [("Open the valve (the red one on the left side of the long pump", True), ("He said “never start the pump before the guard is on", True), ("Open it (approx. 5 m from the large tank on the left", True), ("Open it (red). Then close the valve of the pump", False), ("Er sagt „Ventil zuerst öffnen, dann die Pumpe starten“", False), ("Das »Ventil« ist zu", False)])
+def test_open_brackets_of_the_last_sentence(text, is_open):
+    assert P.is_open(text) is is_open
