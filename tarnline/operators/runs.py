@@ -35,3 +35,17 @@ def previous(df: DataFrame, group: str, order: list[str], value: str, into: str,
         cut.join(base, [group, "_block"]).withColumn(into, F.when(first, F.col("_base")).otherwise(F.lag(value).over(inside)))
         .drop("_block", "_base")
     )
+
+
+def following(df: DataFrame, group: str, order: list[str], value: str, into: str, width: int = BLOCK) -> DataFrame:
+    """``df`` with the value of the row after in ``order``, whose first column is an integer."""
+    cut = df.withColumn("_block", F.floor(F.col(order[0]) / width))
+    first = cut.groupBy(group, "_block").agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_first"))
+    over = Window.partitionBy(group).orderBy("_block")
+    base = first.select(F.col(group).alias("_group"), F.col("_block").alias("_at"), F.lead("_first").over(over)["v"].alias("_base"))
+    inside = Window.partitionBy(group, "_block").orderBy(*order)
+    last: Column = F.lead(F.lit(1)).over(inside).isNull()
+    return (
+        cut.join(base, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_at")))
+        .withColumn(into, F.when(last, F.col("_base")).otherwise(F.lead(value).over(inside))).drop("_block", "_base", "_group", "_at")
+    )

@@ -186,8 +186,9 @@ def answer_correctness_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT label, vec_id, 1 - list_cosine_similarity(embedding::DOUBLE[], lead(embedding) OVER (PARTITION BY label ORDER BY vec_id)::DOUBLE[]) AS d FROM embeddings)
     SELECT label, vec_id, round(d, 6) AS distance FROM d WHERE d IS NOT NULL""")
 def consecutive_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").withColumn("next", F.lead("embedding").over(run))
+    from ..operators.runs import following
+
+    rows = following(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), "label", ["vec_id"], "embedding", "next")
     return rows.where(F.col("next").isNotNull()).select("label", "vec_id", F.round(F.lit(1.0) - cosine(F.col("embedding"), F.col("next")), 6).alias("distance"))
 
 

@@ -153,3 +153,13 @@ def test_tokens_found(spark):
     assert plain == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
     normal = {r.k: r.found for r in answers.tokens_found(tokens, pages, "k", "doc", "p", "t", normal=nfkc).collect()}
     assert normal == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+
+
+def test_following_keeps_groups_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    from tarnline.operators.runs import following
+
+    df = spark.range(0, 400, 3).select("id", F.when(F.col("id") % 2 == 0, "a").alias("g"), F.col("id").alias("v"))
+    got = {r.id: r.next for r in following(df, "g", ["id"], "v", "next", width=50).collect()}
+    assert got == {i: i + 6 if i + 6 < 400 else None for i in range(0, 400, 3)}
