@@ -40,6 +40,55 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of a filter for each key, and at most; with more keys more of what is not wanted passes, and nothing is lost.
+BITS_A_KEY, MOST_BITS = 16, 1 << 26
+
+
+class KeyFilter:
+    """A Bloom filter over 64-bit keys in numpy: passes every key it was built from and few others.
+
+    Its size is bounded whatever the number of keys, so it may be broadcast, and rows that cannot meet a key are left
+    out where they lie, before any shuffle. An exact join follows wherever it is used.
+    """
+
+    def __init__(self, size: int, words: np.ndarray, bits: np.ndarray):
+        self.size = size
+        self.words = np.zeros(size >> 6, dtype=np.uint64)
+        self.words[words] = bits.view(np.uint64)
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        mixed = keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = mixed ^ (mixed >> np.uint64(32))
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        last = np.uint64(size - 1)
+        return mixed & last, (mixed >> np.uint64(34)) & last
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), dtype=bool)
+        for place in self.places(keys, self.size):
+            out &= ((self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out
+
+
+def key_filter(keys: DataFrame) -> KeyFilter:
+    """The filter of a table's first column, a long; its bits are set in Spark and at most MOST_BITS reach the driver."""
+    (name,) = keys.columns
+    size = 1 << max(10, min(MOST_BITS.bit_length() - 1, (keys.count() * BITS_A_KEY).bit_length()))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.concatenate(KeyFilter.places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size))
+            places = np.unique(places)
+            if len(places):
+                word, first = np.unique(places >> np.uint64(6), return_index=True)
+                held = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(held.view(np.int64))], names=["word", "bits"])
+
+    rows = keys.where(F.col(name).isNotNull()).mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    return KeyFilter(size, rows["word"].to_numpy(dtype=np.int64), rows["bits"].to_numpy(dtype=np.int64))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the texts of each part hold about ``limit`` bytes; a row is never cut."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

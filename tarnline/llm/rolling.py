@@ -115,17 +115,32 @@ class Stream:
         return rolled
 
 
+def joined_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key for each pair of keys, such as a source and a fingerprint."""
+    return _finish(a.view(np.uint64) * np.uint64(BASE_2) ^ b.view(np.uint64)).view(np.int64)
+
+
+def firsts(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a key stands at its first place in its row."""
+    by = np.lexsort((keys, rows))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (rows[by][1:] != rows[by][:-1]) | (keys[by][1:] != keys[by][:-1])
+    out = np.zeros(len(by), dtype=bool)
+    out[by] = new
+    return out
+
+
 def lines_and_chunks(texts: list[str], window: int, mean_chunk: int) -> dict[str, np.ndarray]:
-    """Lines with a letter of all texts, and the content-defined chunks inside them.
+    """Content-defined chunks of all texts, and their lines with a letter.
 
-    Digits and white space are left out and letters are lowered first; ``mean_chunk`` is a power of two. A chunk ends where the rolling hash of
-    the last ``window`` symbols meets the cut condition, or where the break mark of a line enters the window:
-    without the second condition a chunk at the edge of a line would take in the neighbour's letters and differ
-    from row to row, and lines shorter than two chunks would never be counted.
+    Digits and white space, line breaks among it, are left out and letters are lowered first; ``mean_chunk`` is a
+    power of two. A cut falls wherever the rolling hash of the last ``window`` symbols of a text meets the cut
+    condition; a chunk lies between two cuts. So the chunks between the cuts of a line depend on the line alone,
+    and stand in every text that holds it. A line that holds no whole chunk (fewer than two cuts) is one itself.
 
     Returns arrays: line_row, line_no (from 1), line_1, line_2 (128 bits of fingerprint), line_first (1 at the
-    line's first place in its row), line_chunk (the fingerprint of its first chunk); chunk_row, chunk (distinct
-    in their row).
+    line's first place in its row); chunk_row, chunk (distinct in their row); and for each line in order its chunks
+    from inner_from[line] on in ``inner``.
     """
     joined = "\n".join(texts) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -140,47 +155,44 @@ def lines_and_chunks(texts: list[str], window: int, mean_chunk: int) -> dict[str
     first_line = np.searchsorted(line_from, text_start)
     number = np.arange(len(line_from)) - first_line[row] + 1
 
-    kept = kind != DROP
+    kept = (kind != DROP) & (kind != BREAK)
     has_letter = np.logical_or.reduceat(kind == LETTER, line_from) if len(line_from) else np.zeros(0, bool)
     place = np.zeros(len(codes) + 1, dtype=np.int32)
     np.cumsum(kept, out=place[1:], dtype=np.int32)
     symbols = low[kept]
     start, end = place[line_from].astype(np.int64), place[breaks].astype(np.int64)
+    row_end = place[text_start + text_len].astype(np.int64)
+    row_start = place[text_start].astype(np.int64)
 
     stream, other = Stream(symbols), Stream(symbols, BASE_2)
     keep = np.flatnonzero(has_letter)
     start, end, row, number = start[keep], end[keep], row[keep], number[keep]
     line_1, line_2 = stream.spans(start, end), other.spans(start, end)
 
-    # Cuts inside lines: the window ends at symbol i and lies wholly in the line.
-    hit = np.flatnonzero(stream.windows(window) & np.uint64(mean_chunk - 1) == 0) + window
-    owner = np.searchsorted(start, hit, side="right") - 1
-    inside = (owner >= 0) & (hit - window >= start[owner]) & (hit < end[owner])
-    hit, owner = hit[inside], owner[inside]
-    chunk_start = np.concatenate((start, hit))
-    chunk_line = np.concatenate((np.arange(len(start)), owner))
-    order = np.lexsort((chunk_start, chunk_line))
-    chunk_start, chunk_line = chunk_start[order], chunk_line[order]
-    chunk_end = np.empty_like(chunk_start)
-    if len(chunk_start):
-        last = np.append(chunk_line[1:] != chunk_line[:-1], True)
-        chunk_end[:-1] = chunk_start[1:]
-        chunk_end[last] = end[chunk_line[last]]
-    chunk = stream.spans(chunk_start, chunk_end)
-    at_line_start = np.append(True, chunk_line[1:] != chunk_line[:-1]) if len(chunk_line) else np.zeros(0, bool)
-
-    def firsts(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        by = np.lexsort((keys, rows))
-        new = np.ones(len(by), dtype=bool)
-        new[1:] = (rows[by][1:] != rows[by][:-1]) | (keys[by][1:] != keys[by][:-1])
-        out = np.zeros(len(by), dtype=bool)
-        out[by] = new
-        return out
-
-    chunk_row = row[chunk_line] if len(chunk_line) else np.zeros(0, np.int64)
+    # Cuts of each text: the window ends before symbol ``cut`` and lies wholly in the text.
+    cut = np.flatnonzero(stream.windows(window) & np.uint64(mean_chunk - 1) == 0) + window
+    cut_row = np.searchsorted(row_end, cut - 1, side="right")
+    inside = cut - window >= row_start[cut_row] if len(cut) else np.zeros(0, bool)
+    cut, cut_row = cut[inside], cut_row[inside]
+    whole = np.flatnonzero(cut_row[1:] == cut_row[:-1])
+    chunk, chunk_row = stream.spans(cut[whole], cut[whole + 1]), cut_row[whole]
+    rank = np.full(len(cut) + 1, -1, dtype=np.int64)
+    rank[whole] = np.arange(len(whole))
+
+    # Chunks between the cuts of each line whose windows lie in the line.
+    first_cut = np.searchsorted(cut, start + window)
+    n_inner = np.maximum(np.searchsorted(cut, end, side="right") - first_cut - 1, 0)
+    size = np.maximum(n_inner, 1)
+    inner_from = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(inner_from, size)
+    inner = np.repeat(line_1, size)
+    held = np.repeat(n_inner > 0, size)
+    inner[held] = chunk[rank[(np.repeat(first_cut, size) + at)[held]]]
+    short = np.flatnonzero(n_inner == 0)
+    chunk_row, chunk = np.concatenate((chunk_row, row[short])), np.concatenate((chunk, line_1[short]))
     once = firsts(chunk_row, chunk)
     return {
         "line_row": row, "line_no": number, "line_1": line_1.view(np.int64), "line_2": line_2.view(np.int64),
-        "line_first": firsts(row, line_1).astype(np.int64), "line_chunk": chunk[at_line_start].view(np.int64),
-        "chunk_row": chunk_row[once], "chunk": chunk[once].view(np.int64),
+        "line_first": firsts(row, line_1).astype(np.int64), "inner_from": inner_from, "inner": inner.view(np.int64),
+        "inner_size": size, "chunk_row": chunk_row[once], "chunk": chunk[once].view(np.int64),
     }
