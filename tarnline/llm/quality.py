@@ -353,8 +353,7 @@ def quality(df: DataFrame, id_col: str = "ingest_id", source_col: str = "source_
 
     id_kind = df.schema[id_col].dataType.simpleString()
     lists = "line_no array<int>, code array<int>, words array<int>, weight array<int>, chars array<int>"
-    sums = "letters long, symbols long, final long, common long"
-    measured = rows.mapInArrow(measure, f"row_id {id_kind}, {lists}, {sums}")
+    measured = rows.mapInArrow(measure, f"row_id {id_kind}, {lists}, letters long, symbols long, final long, common long")
     repeated = repeated_lines(df, id_col, source_col, text_col).groupBy("row_id").agg(F.collect_set(F.col("line_no").cast("int")).alias("cut"))
     lines = cut_lineage(measured.join(repeated, "row_id", "left"))
     left = F.when(F.col("cut").isNull(), F.expr("transform(line_no, x -> true)")).otherwise(F.expr("transform(line_no, x -> NOT array_contains(cut, x))"))
@@ -366,6 +365,8 @@ def quality(df: DataFrame, id_col: str = "ingest_id", source_col: str = "source_
         model = _fit(own, model)
     fitted = df.sparkSession.sparkContext.broadcast(model)
 
+    sums = ("n_words", "n_chars", "n_lines", "letters", "symbols", "final", "common")
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code, lengths = _lists(batch, "code")
@@ -376,24 +377,22 @@ def quality(df: DataFrame, id_col: str = "ingest_id", source_col: str = "source_
             total = weight.sum(axis=0)
             share = np.where(total > 0, weight / np.maximum(total, 1), np.nan)
             columns = [pa.array(share[k], from_pandas=True) for k in range(len(LABELS))]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *columns], names=["row_id", *LABELS])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("row_id", *sums)] + columns, names=["row_id", *sums, *LABELS])
 
     only = [F.expr(f"filter({c}, (x, i) -> _keep[i])").alias(c) for c in ("code", "weight")]
-    shares = kept.select("row_id", *only).mapInArrow(judge, f"row_id {id_kind}, " + ", ".join(f"{x} double" for x in LABELS))
-    total_words = F.aggregate("words", F.lit(0), lambda a, x: a + x)
-    total_chars = F.aggregate("chars", F.lit(0), lambda a, x: a + x)
-    stats = lines.select(
-        "row_id", total_words.cast("long").alias("n_words"),
-        F.coalesce(F.round(F.col("letters") / F.nullif(total_words, F.lit(0)), 6), F.lit(0.0)).alias("mean_word_length"),
-        F.coalesce(F.round(F.col("symbols") / F.nullif(total_chars, F.lit(0)), 6), F.lit(0.0)).alias("symbol_ratio"),
-        F.coalesce(F.round(F.col("final") / F.nullif(F.size("line_no"), F.lit(0)), 6), F.lit(0.0)).alias("punct_line_share"),
-        F.coalesce(F.round(F.col("common") / F.nullif(total_words, F.lit(0)), 6), F.lit(0.0)).alias("common_share"),
-    )
+    whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    judged = kept.select(
+        "row_id", whole("words").alias("n_words"), whole("chars").alias("n_chars"), F.size("line_no").cast("long").alias("n_lines"), *sums[3:], *only
+    ).mapInArrow(judge, f"row_id {id_kind}, " + ", ".join(f"{x} long" for x in sums) + ", " + ", ".join(f"{x} double" for x in LABELS))
+    rate = lambda part, of: F.coalesce(F.round(F.col(part) / F.nullif(F.col(of), F.lit(0)), 6), F.lit(0.0))
     verdict = (
         F.when(F.col("prose").isNull(), "blank").when(F.col("prose") >= 0.5, "prose")
         .otherwise(F.expr("array_max(array(struct(list AS n, 'list' AS v), struct(`table` AS n, 'table' AS v), struct(junk AS n, 'junk' AS v))).v"))
     )
-    return stats.join(shares, "row_id").withColumn("verdict", verdict).withColumnRenamed("row_id", id_col)
+    return judged.select(
+        F.col("row_id").alias(id_col), "n_words", rate("letters", "n_words").alias("mean_word_length"), rate("symbols", "n_chars").alias("symbol_ratio"),
+        rate("final", "n_lines").alias("punct_line_share"), rate("common", "n_words").alias("common_share"), *LABELS, verdict.alias("verdict"),
+    )
 
 
 def not_prose(df: DataFrame, id_col: str = "ingest_id", source_col: str = "source_doc_id", text_col: str = "text") -> DataFrame:
