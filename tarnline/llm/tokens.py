@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,9 @@ class Encoder:
         self.longest = max(map(len, ranks))
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.size = max(self.bytes_of) + 1
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, int] = {}  # the place of a word among the known ones
+        self.ids = np.zeros(1024, dtype=np.int32)  # the ids of all known words, one after the other
+        self.starts = np.zeros(1024, dtype=np.int64)  # where those of each word begin, and after the last where they end
         self.pairs = np.zeros(0, dtype=np.int64)
         self.good = np.zeros(0, dtype=bool)
         self.exact_merges = 0
@@ -101,8 +104,6 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words not met before into ``self.words``."""
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
         raw = [w.encode("utf-8") for w in words]
         offers = [self.proposed(b) for b in raw]
         length = np.fromiter(map(len, offers), dtype=np.int64, count=len(offers))
@@ -111,30 +112,37 @@ class Encoder:
         adjacent = owner[1:] == owner[:-1]
         ok = self.compatible((flat[:-1] * self.size + flat[1:])[adjacent]) if adjacent.any() else np.zeros(0, bool)
         failed = set(owner[1:][adjacent][~ok].tolist())
-        for i, (w, b, offer) in enumerate(zip(words, raw, offers)):
-            if i in failed:
-                self.exact_merges += 1
-                offer = merged(b, self.ranks)
-            self.words[w] = tuple(offer)
+        for i in failed:
+            self.exact_merges += 1
+            offers[i] = merged(raw[i], self.ranks)
+        if failed:
+            length = np.fromiter(map(len, offers), dtype=np.int64, count=len(offers))
+            flat = np.fromiter((t for o in offers for t in o), dtype=np.int64, count=int(length.sum()))
+        known, used = len(self.words), int(self.starts[len(self.words)])
+        if used + len(flat) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (used + len(flat)))
+        if known + len(words) + 1 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * (known + len(words) + 1))
+        self.ids[used : used + len(flat)] = flat
+        self.starts[known + 1 : known + len(words) + 1] = used + np.cumsum(length)
+        self.words.update(zip(words, range(known, known + len(words))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts."""
         cut = _splitter()
         split = [cut(t) if t else [] for t in texts]
-        words = self.words
-        new = {w for s in split for w in s if w not in words}
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        new = {w for s in split for w in s}.difference(self.words)
         if new:
             self.learn(list(new))
-            words = self.words
-            if any(w not in words for s in split for w in s):  # the store was emptied on the way
-                self.learn([w for w in {w for s in split for w in s} if w not in words])
-        ids: list[int] = []
-        offsets = [0]
-        for s in split:
-            for w in s:
-                ids.extend(words[w])
-            offsets.append(len(ids))
-        return np.asarray(offsets, dtype=np.int32), np.asarray(ids, dtype=np.int32)
+        n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        place = np.fromiter((self.words[w] for s in split for w in s), dtype=np.int64, count=int(n.sum()))
+        start = self.starts[place]
+        size = self.starts[place + 1] - start
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        return ends[np.concatenate(([0], np.cumsum(n)))].astype(np.int32), ids
 
 
 _SPLIT = []
@@ -146,7 +154,15 @@ def _splitter():
     return _SPLIT[0]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str, ranks: Broadcast) -> Encoder:
+    """The worker's encoder for a vocabulary: later tasks of the worker find the words that earlier ones learnt."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(ranks.value)
+    return _ENCODERS[path]
 
 
 def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -156,15 +172,11 @@ def token_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     A proposal that passes the check of every adjacent pair equals the result of merging; words that fail are
     merged exactly. The vocabulary (bounded by its file) is broadcast; there is no shuffle.
     """
-    ranks = load_ranks(path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    path = path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    shared = df.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(shared.id) if hasattr(shared, "id") else None
-        if encoder is None:
-            encoder = Encoder(shared.value)
-            _ENCODERS.clear()
-            _ENCODERS[getattr(shared, "id", 0)] = encoder
+        encoder = encoder_of(path, shared)
         for batch in batches:
             for part in slices(batch, "text"):
                 offsets, ids = encoder.encode(part.column("text").to_pylist())
