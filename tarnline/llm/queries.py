@@ -91,6 +91,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in each document the passage of the item lies, and its longest exact phrase."""
+    from .leaks import leaked_items
+
+    return leaked_items(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .abuse import abuse_scores
 
@@ -118,7 +125,7 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_consistent, p3_tokens_on_pages, p4_found, p4_statistics, p5_found, p5_reflowed, p6_ids, p7_found, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_consistent, p3_tokens_on_pages, p4_found, p4_statistics, p5_found, p5_reflowed, p6_ids, p7_found, p7_passages, p8_found, p8_scores, p8_rates)
 }
 
 ORACLES: dict[str, str] = {
