@@ -69,13 +69,13 @@ def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scans import scan_repairs
 
-    return scan_repairs(read_table(spark, sf_dir, "ingest", "ingest_id", "text")).withColumnRenamed("row_id", "ingest_id")
+    return scan_repairs(read_table(spark, sf_dir, "ingest", "ingest_id", "source_doc_id", "text")).withColumnRenamed("row_id", "ingest_id")
 
 
 def p5_reflowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .scans import reflowed
 
-    return reflowed(read_table(spark, sf_dir, "ingest", "ingest_id", "text")).withColumnRenamed("row_id", "ingest_id")
+    return reflowed(read_table(spark, sf_dir, "ingest", "ingest_id", "source_doc_id", "text")).withColumnRenamed("row_id", "ingest_id")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

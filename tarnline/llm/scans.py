@@ -20,10 +20,11 @@ from .common import cut_lineage, slices
 
 #: Rate among the words of clean pages from which a word stands as it is, and the least count.
 KNOWN_RATE, KNOWN_LEAST = 2e-6, 3
-#: Longest line of a scanned page, in characters.
-MAX_LINE = 85
-#: Edits at most between a misread word and its reading; one glyph may cost two.
-MAX_EDITS = 4
+#: A scanned page is set in one width: of its body lines up to this share may be longer than WIDE characters and than
+#: WIDE_FACTOR times their median.
+WIDE, WIDE_FACTOR, WIDE_SHARE = 85, 1.5, 0.1
+#: A running head recurs on this share of the scanned pages of its source that differ, and on so many at least.
+HEAD_SHARE, HEAD_PAGES = 0.002, 2
 
 # Glyphs that scanning confuses, each by its prototype; longer ones are strokes that run together.
 STROKES = (("h", "ii"), ("b", "ii"), ("6", "ii"), ("8", "ii"), ("u", "ii"), ("m", "rri"), ("n", "ri"), ("d", "ei"), ("w", "vv"))
@@ -45,12 +46,12 @@ _COLUMNS = re.compile(r"\S {3,}\S|\t| [|;] |^[|•*] ?|^\(?(?:\d{1,3}|[a-zA-Z])[
 
 def is_scanned(text: str) -> bool:
     """Whether a text has the layout of a scanned page: sentences run on over short lines of its body."""
-    lines = text.split("\n")
-    if len(lines) < 3 or max(map(len, lines)) > MAX_LINE:
-        return False
-    body = [x for x in map(str.strip, lines) if x and not _NOT_BODY(x)]
+    body = [x for x in map(str.strip, text.split("\n")) if x and not _NOT_BODY(x)]
     if len(body) < 2:
         return False
+    limit = max(WIDE, WIDE_FACTOR * sorted(map(len, body))[len(body) // 2])
+    if sum(1 for x in body if len(x) > limit) > WIDE_SHARE * len(body) or 2 * sum(1 for x in body if len(x) > WIDE) > len(body):
+        return False
     runs = sum(1 for a, b in zip(body, body[1:]) if a[-1] not in ".!?:;" and b[0].islower() and a.count(" ") >= 3)
     if not runs or runs < 0.3 * (len(body) - 1) or sum(1 for x in body if _COLUMNS(x)) > 0.2 * len(body):
         return False
@@ -110,7 +111,8 @@ def _scanned_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 texts += lines
         taken = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id").take(taken), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], names=["row_id", "line_no", "line"]
+            [*(batch.column(c).take(taken) for c in ("row_id", "source", "page")), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())],
+            names=["row_id", "source", "page", "line_no", "line"],
         )
 
 
@@ -131,8 +133,9 @@ def plain(word: Column) -> Column:
 def with_furniture(lines: DataFrame) -> DataFrame:
     """``lines`` with ``furniture``: page numbers, and running heads and feet.
 
-    A head has the shape of a title, and its text with digits masked recurs on other pages, or it bears the page
-    number, or stands at the edge of the page or beside a page number.
+    A head has the shape of a title, and its text with digits masked recurs on other pages of its source, or it
+    bears the page number, or stands at the edge of the page or beside a page number. A page is known by its text,
+    so a page that was read twice counts once.
     """
     run = Window.partitionBy("row_id").orderBy("line_no")
     lines = lines.withColumn("para", F.sum((~F.col("line").rlike(r"\S")).cast("int")).over(run))
@@ -141,12 +144,14 @@ def with_furniture(lines: DataFrame) -> DataFrame:
         "*", F.col("line").rlike(_NUMBER_LINE).alias("number"), F.col("line").rlike(_NUMBERED).alias("numbered"),
         (F.col("line").rlike(_HEAD) & F.col("line").rlike(r"\p{Lu}")).alias("head"), masked.alias("masked"),
     )
+    pages = lines.select("source", "page").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
     recurring = (
-        shaped.where("head AND NOT number").groupBy("masked").agg(F.count(F.lit(1)).alias("times")).where("times >= 2")
-    )
+        shaped.where("head AND NOT number").select("source", "masked", "page").distinct().groupBy("source", "masked").agg(F.count(F.lit(1)).alias("times"))
+        .join(pages, "source").where(F.col("times") >= F.greatest(F.lit(HEAD_PAGES), F.col("pages") * HEAD_SHARE)).select("source", "masked", "times")
+    )
     page = Window.partitionBy("row_id").orderBy("line_no")
     whole = Window.partitionBy("row_id")
-    placed = shaped.join(recurring, "masked", "left").withColumns({
+    placed = shaped.join(recurring, ["source", "masked"], "left").withColumns({
         "before": F.lag("number").over(page), "after": F.lead("number").over(page),
         "heads": F.avg((F.col("head") & ~F.col("number")).cast("int")).over(whole),
         "edge": (F.row_number().over(page) <= 2) | (F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("line_no"))) <= 2),
@@ -206,7 +211,7 @@ def repaired_words(words: DataFrame, counts: DataFrame) -> DataFrame:
     unsettled = unsettled.withColumn("glyphs", skeleton(F.col("read")))
     mates = (
         unsettled.join(known.withColumn("glyphs", skeleton(F.col("form"))), "glyphs").withColumn("edits", F.levenshtein("read", "form"))
-        .where((F.col("edits") > 0) & (F.col("edits") <= MAX_EDITS)).select("key", "read", "form", "form_n", "edits")
+        .where(F.col("edits") > 0).select("key", "read", "form", "form_n", "edits")
     )
     figure = F.translate(F.col("read"), *FIGURES)
     numbers = unsettled.where(F.col("read").rlike(r"\d") & F.col("read").rlike(r"^[\doilsbgzq|.,/]+$") & F.col("read").rlike(r"\p{L}|\|")).select(
@@ -229,23 +234,25 @@ def repaired_words(words: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def _scanned(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _scanned(df: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
     """Lines of the scanned pages with their furniture told, and the counts of clean pages; both read more than once."""
-    rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    source = F.xxhash64(F.coalesce(F.col(source_col).cast("string"), F.lit(""))) if source_col in df.columns else F.lit(0).cast("long")
+    rows = df.select(F.col(id_col).alias("row_id"), source.alias("source"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     counted = (
         rows.select("text").mapInArrow(_clean_counts, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     )
-    counts = cut_lineage(counted.where((F.col("n") >= 2) & (F.col("b") != "")))
+    counts = cut_lineage(counted.where((F.col("a").isNotNull() | (F.col("n") >= 2)) & (F.col("b") != "")))
     total = counts.where("a IS NULL").agg((F.sum("n") * KNOWN_RATE).alias("least"))
     counts = counts.crossJoin(F.broadcast(total)).where(
         F.col("a").isNotNull() | (F.col("n") >= F.greatest(F.col("least"), F.lit(float(KNOWN_LEAST))))
     ).drop("least")
     kind = df.schema[id_col].dataType.simpleString()
-    lines = cut_lineage(with_furniture(rows.mapInArrow(_scanned_lines, f"row_id {kind}, line_no long, line string")))
+    scanned = rows.withColumn("page", F.xxhash64("text")).mapInArrow(_scanned_lines, f"row_id {kind}, source long, page long, line_no long, line string")
+    lines = cut_lineage(with_furniture(cut_lineage(scanned)))
     return lines, counts
 
 
-def scan_repairs(df: DataFrame, id_col: str = "ingest_id", text_col: str = "text") -> DataFrame:
+def scan_repairs(df: DataFrame, id_col: str = "ingest_id", text_col: str = "text", source_col: str = "source_doc_id") -> DataFrame:
     """``row_id, line_no, fix`` of everything to be mended on scanned pages.
 
     ``fix`` is the whole word in lower case for a broken or misread word, on the line where it starts, and empty
@@ -253,18 +260,18 @@ def scan_repairs(df: DataFrame, id_col: str = "ingest_id", text_col: str = "text
     repeated rows give theirs under their own id. What a word must read is known from all pages that are not
     scanned.
     """
-    lines, counts = _scanned(df, id_col, text_col)
+    lines, counts = _scanned(df, id_col, text_col, source_col)
     furniture = lines.where("furniture").select("row_id", "line_no", F.lit("").alias("fix"))
     return repaired_words(flowing_words(lines), counts).drop("pos").unionByName(furniture).distinct()
 
 
-def reflowed(df: DataFrame, id_col: str = "ingest_id", text_col: str = "text") -> DataFrame:
+def reflowed(df: DataFrame, id_col: str = "ingest_id", text_col: str = "text", source_col: str = "source_doc_id") -> DataFrame:
     """``row_id, text``: the body of each scanned page as continuous paragraphs, without furniture.
 
     Broken words are whole and misread ones mended, in the case and with the punctuation they had; blank lines
     part paragraphs. Pages that are not scanned give no row.
     """
-    lines, counts = _scanned(df, id_col, text_col)
+    lines, counts = _scanned(df, id_col, text_col, source_col)
     words = flowing_words(lines)
     fixes = repaired_words(words, counts)
     core = F.regexp_replace("raw", r"^[^\p{L}\p{N}]+", "")

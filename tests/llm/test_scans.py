@@ -58,3 +58,20 @@ def test_skeletons_group_misread_words(spark, word, read):
 def test_other_layouts_are_no_scans(text):
     assert not S.is_scanned(text)
     assert S.is_scanned(PAGE)
+
+
+def test_wide_lines_and_few_lines_are_no_bar():
+    """A page is judged by its width as a whole: one line of 86 characters, or a page of two lines, is a scan still."""
+    wide = "The crew opens the spark-proof valve before the shift and notes the readings in the old"
+    body = ["log. Nobody starts the pump while the guard of the large pump is off and the", "lever of the governor linkage is rated for 411 bar until the next inspection", "of the whole system in the hall. Each site has its own harness and then the"]
+    assert len(wide) > 85 and S.is_scanned("\n".join([wide, *body * 4])) and S.is_scanned("\n".join(body[:2]))
+    assert not S.is_scanned("\n".join([wide * 4, *body])) and not S.is_scanned("\n".join([wide] * 3))
+
+
+def test_heads_recur_within_their_source(spark):
+    """A title that recurs on pages of other sources, or on the same page read again, is no running head."""
+    lines = ["the crew opens the valve of the pump before", "the shift and notes the reading in the old", "book of the hall. Nobody starts the pump", "Gate Valve Safety", "while the guard is off and the seal of the", "pump is worn, because the rules forbid it", "to everyone who works in the hall."]
+    page = lambda i: "\n".join(lines).replace("book", "book" + "abcdefgh"[i])
+    rows = [(1, "a", page(0)), (2, "b", page(1)), (3, "b", page(1)), (4, "c", page(2)), (5, "c", page(3))]
+    df = spark.createDataFrame(rows, "ingest_id long, source_doc_id string, text string")
+    assert {(r.row_id, r.line_no) for r in S.scan_repairs(df).where("fix = ''").collect()} == {(4, 4), (5, 4)}
