@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices
+from .common import KeyFilter, cut_lineage, key_filter, slices
 from .rolling import DROP, LETTER, Stream, kinds_and_lower
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
-#: Log posterior odds that a text must show against the question's language, and the same for the question itself.
-MIN_ODDS, MIN_QUESTION_ODDS = 6.0, 2.0
-#: Words of letters that a text needs for its language to be told.
-MIN_WORDS = 3
+#: Log posterior odds that a text must show against the question's language, so that bare values and names, which no
+#: language claims by much, are none; and those of the question itself.
+MIN_ODDS, MIN_QUESTION_ODDS = 20.0, 2.0
+#: Share of the labelled texts from which a label is a language of the model; so there are at most 1 / rate of them.
+LANGUAGE_RATE = 0.01
 #: Least rate at which a text ends after its last words; below, the text is cut off.
 MIN_END_RATE = 0.004
 #: Evidence at which a pair of last words is trusted before the last word alone.
@@ -78,24 +79,42 @@ FIGURE = -1
 FIGURE_WORDS = 5
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of all character n-grams of the letters and single spaces of a text."""
-    if not text:
-        return np.zeros(0, dtype=np.int64)
-    codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and bucket of all character n-grams of the letters and single spaces of texts; none crosses two texts."""
+    joined = "".join(f" {t} \0" for t in texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kind, low = kinds_and_lower(codes)
-    symbols = np.where(kind == 2, low, 32).astype(np.int64)
-    symbols = symbols[np.append(True, (symbols[1:] != 32) | (symbols[:-1] != 32))]
-    out = []
+    edge = np.zeros(len(codes), dtype=bool)
+    edge[np.cumsum([len(t) + 3 for t in texts], dtype=np.int64) - 1] = True
+    symbols = np.where(edge, 0, np.where(kind == LETTER, low, 32)).astype(np.int64)
+    kept = np.append(True, (symbols[1:] != 32) | (symbols[:-1] != 32)) if len(symbols) else np.zeros(0, bool)
+    symbols, edge = symbols[kept], edge[kept]
+    owner = np.cumsum(edge) - edge
+    owners, buckets = [], []
     for n in GRAMS:
-        if len(symbols) < n:
+        size = len(symbols) - n + 1
+        if size < 1:
             break
-        h = np.full(len(symbols) - n + 1, n, dtype=np.int64)
+        h = np.full(size, n, dtype=np.int64)
+        whole = np.ones(size, dtype=bool)
         for k in range(n):
-            h = (h * 1_000_003 + symbols[k : len(symbols) - n + 1 + k]) & 0x7FFFFFFFFFFF
+            h = (h * 1_000_003 + symbols[k : size + k]) & 0x7FFFFFFFFFFF
+            whole &= ~edge[k : size + k]
         h ^= h >> 15
-        out.append(h & (BUCKETS - 1))
-    return np.concatenate(out)
+        owners.append(owner[:size][whole])
+        buckets.append(h[whole] & (BUCKETS - 1))
+    return (np.concatenate(owners), np.concatenate(buckets)) if owners else (np.zeros(0, np.int64),) * 2
+
+
+def grams(text: str) -> np.ndarray:
+    """Buckets of the n-grams of one text."""
+    return grams_of([text])[1] if text else np.zeros(0, dtype=np.int64)
+
+
+def posteriors(texts: list[str], model: np.ndarray) -> np.ndarray:
+    """Log posterior, up to a constant, of each language (rows) for each text (columns)."""
+    owner, bucket = grams_of(texts)
+    return np.stack([np.bincount(owner, weights=row[bucket], minlength=len(texts)) for row in model])
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +137,14 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def language_model(corpus: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each n-gram bucket in each, counted over all labelled texts.
 
-    Its size is the number of languages times ``BUCKETS``, whatever the corpus; rows without a label or a text
-    are left out.
+    Its size is at most ``BUCKETS`` / ``LANGUAGE_RATE`` numbers, whatever the corpus and its labels; rows without a
+    label or a text are left out, and so are labels rarer than that rate.
     """
     rows = corpus.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    labels = corpus.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    total = labels.agg((F.sum("n") * LANGUAGE_RATE).alias("least"))
+    usual = [r["lang"] for r in labels.crossJoin(F.broadcast(total)).where("n >= least").select("lang").collect()]
+    rows = rows.where(F.col("lang").isin(usual)) if usual else rows.where("false")
     counted = rows.mapInArrow(_gram_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toPandas()
     langs = sorted(table["lang"].unique())
@@ -172,16 +195,19 @@ def running_words(texts: list[str]) -> dict[str, np.ndarray]:
     return {"row": np.searchsorted(text_end, start, side="right"), "before": before, "word": word, "follows": follows, "count": count, "letters": form[start] == 1}
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ends(batches: Iterator[pa.RecordBatch], sought: KeyFilter | None) -> Iterator[pa.RecordBatch]:
     """Of each pair of neighbouring words: how often it stands, and how often before a sentence end.
 
-    The last word of an unpointed line tells nothing, unless the line is a bare value of a few words.
+    The last word of an unpointed line tells nothing, unless the line is a bare value of a few words. With
+    ``sought`` only pairs whose second word passes it are counted.
     """
     for batch in batches:
         kept: list[tuple[np.ndarray, ...]] = []
         for part in slices(batch, "text"):
             w = running_words(part.column("text").to_pylist())
             use = (w["follows"] != LINE_END) | (w["count"] <= 4)
+            if sought is not None:
+                use &= sought.holds(w["word"])
             kept.append((w["before"][use], w["word"][use], w["follows"][use] != GOES_ON))
         if not kept:
             continue
@@ -197,10 +223,14 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def end_counts(texts: DataFrame) -> DataFrame:
-    """``a, b, n, ends`` over all texts (column ``text``), partial counts before the shuffle."""
+def end_counts(texts: DataFrame, sought: KeyFilter | None = None) -> DataFrame:
+    """``a, b, n, ends`` over all texts (column ``text``), partial counts before the shuffle.
+
+    With ``sought`` (a bounded filter of last words) only pairs that end in such a word are counted.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(sought)
     return (
-        texts.where(F.col("text").isNotNull()).select("text").mapInArrow(_ends, "a long, b long, n long, ends long")
+        texts.where(F.col("text").isNotNull()).select("text").mapInArrow(lambda batches: _ends(batches, shared.value), "a long, b long, n long, ends long")
         .groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
     )
 
@@ -273,53 +303,63 @@ def last_sign(text: str) -> str:
     return found[1] if found else ""
 
 
+def other_language(questions: list[str], texts: list[str], model: np.ndarray) -> np.ndarray:
+    """Whether each text speaks another language than its question, by the margins of both posteriors."""
+    asked = list(dict.fromkeys(questions))
+    place = {q: i for i, q in enumerate(asked)}
+    of_question = posteriors(asked, model)
+    best = of_question.argmax(axis=0)
+    ranked = np.sort(of_question, axis=0)
+    sure = ranked[-1] - ranked[-2] > MIN_QUESTION_ODDS
+    at = np.fromiter((place[q] for q in questions), dtype=np.int64, count=len(questions))
+    mine = posteriors(texts, model)
+    theirs = best[at]
+    return sure[at] & (mine.argmax(axis=0) != theirs) & (mine.max(axis=0) - mine[theirs, np.arange(len(texts))] > MIN_ODDS)
+
+
+def _looked(part: pa.RecordBatch, langs: list[str], model: np.ndarray) -> pa.RecordBatch:
+    """The defects of a slice of pairs that one look tells, and the last words of the others."""
+    questions, texts = (part.column(c).to_pylist() for c in ("question", "text"))
+    n = len(texts)
+    defect: list[str | None] = [None] * n
+    unsettled = []
+    for i, (question, text) in enumerate(zip(questions, texts)):
+        if is_empty(text):
+            defect[i] = "empty"
+        elif is_copy(text, question or ""):
+            defect[i] = "copy"
+        elif is_refusal(text):
+            defect[i] = "refusal"
+        else:
+            unsettled.append(i)
+    signs = {i: last_sign(texts[i]) for i in unsettled}
+    for i in unsettled:
+        if signs[i] and signs[i] not in ".!?…)]%°" or is_open(texts[i]):
+            defect[i] = "truncated"
+    spoken = [i for i in unsettled if defect[i] is None and questions[i]]
+    if len(langs) > 1 and spoken:
+        for i, other in zip(spoken, other_language([questions[i] for i in spoken], [texts[i] for i in spoken], model)):
+            if other:
+                defect[i] = "language"
+    w = running_words([t or "" for t in texts])
+    last = np.flatnonzero(np.append(w["row"][1:] != w["row"][:-1], True)) if len(w["row"]) else np.zeros(0, np.int64)
+    running = (w["before"][last] != 0) & (w["count"][last] >= FIGURE_WORDS)
+    ends = {int(w["row"][k]): k for k, ok in zip(last.tolist(), (w["letters"][last] | running).tolist()) if ok}
+    ends = {i: k for i, k in ends.items() if i in signs and defect[i] is None and not signs[i]}
+    a, b = ([int(w[c][ends[i]]) if i in ends else None for i in range(n)] for c in ("before", "word"))
+    return pa.RecordBatch.from_arrays(
+        [part.column("field"), part.column("row_id"), pa.array(defect, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["field", "row_id", "defect", "a", "b"]
+    )
+
+
 def pair_features(pairs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     """Of each pair what one look at it tells; the ends of texts are judged later against the counts."""
     shared = pairs.sparkSession.sparkContext.broadcast((langs, model))  # bounded: languages x BUCKETS numbers
 
-    def posterior(text: str) -> tuple[int, np.ndarray]:
-        _, table = shared.value
-        score = table[:, grams(text)].sum(axis=1)
-        return int(score.argmax()), score
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have_model = len(shared.value[0]) > 1
-        asked: dict[str, tuple[int, np.ndarray]] = {}
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            w = running_words([t or "" for t in texts])
-            last: dict[int, int] = dict(zip(w["row"].tolist(), range(len(w["row"]))))  # the last word of each row stays
-            out = []
-            for i, (field, row, question, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), texts)):
-                defect = a = b = None
-                if is_empty(text):
-                    defect = "empty"
-                elif is_copy(text, question or ""):
-                    defect = "copy"
-                elif is_refusal(text):
-                    defect = "refusal"
-                else:
-                    sign = last_sign(text)
-                    if sign and sign not in ".!?…)]%°" or is_open(text):
-                        defect = "truncated"
-                    elif have_model and question and sum(x.isalpha() for x in normal_words(text)) >= MIN_WORDS:
-                        if len(asked) > 50_000:
-                            asked.clear()
-                        if question not in asked:
-                            asked[question] = posterior(question)
-                        mine, (theirs, q_score) = posterior(text), asked[question]
-                        odds = mine[1][mine[0]] - mine[1][theirs]
-                        other = np.delete(q_score, theirs).max()
-                        if mine[0] != theirs and odds > MIN_ODDS and q_score[theirs] - other > MIN_QUESTION_ODDS:
-                            defect = "language"
-                    running = i in last and w["before"][last[i]] != 0 and w["count"][last[i]] >= FIGURE_WORDS
-                    if defect is None and not sign and i in last and (w["letters"][last[i]] or running):
-                        a, b = int(w["before"][last[i]]), int(w["word"][last[i]])
-                out.append((field, row, defect, a, b))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["field", "row_id", "defect", "a", "b"]
-            )
+            for part in slices(batch, "text"):
+                yield _looked(part, *shared.value)
 
     return pairs.select("field", "row_id", "question", "text").mapInArrow(
         look, "field string, row_id long, defect string, a long, b long"
@@ -344,12 +384,11 @@ def broken_pairs(pairs: DataFrame, corpus: DataFrame, min_end_rate: float = MIN_
     """
     langs, model = language_model(corpus)
     looked = cut_lineage(pair_features(pairs, langs, model))  # read three times below
-    counts = end_counts(corpus.select("text").unionAll(pairs.select("text")).unionAll(pairs.select(F.col("question").alias("text"))))
     told = looked.where(F.col("defect").isNotNull()).select("field", "row_id", "defect")
 
     open_end = looked.where(F.col("defect").isNull() & F.col("b").isNotNull())
-    sought = open_end.select("b").distinct()
-    near = cut_lineage(counts.join(sought, "b", "left_semi"))
+    texts = corpus.select("text").unionAll(pairs.select("text")).unionAll(pairs.select(F.col("question").alias("text")))
+    near = cut_lineage(end_counts(texts, key_filter(open_end.select("b").distinct())))  # and a few pairs more, which no join meets
     by_word = near.groupBy("b").agg(F.sum("n").alias("word_n"), F.sum("ends").alias("word_ends"))
     judged = (
         open_end.join(near.withColumnsRenamed({"n": "pair_n", "ends": "pair_ends"}), ["a", "b"], "left").join(by_word, "b", "left")

@@ -95,3 +95,20 @@ def test_ends_inside_a_figure(spark):
 @pytest.mark.parametrize("text, is_open", [("Open the valve (the red one on the left side of the long pump", True), ("He said “never start the pump before the guard is on", True), ("Open it (approx. 5 m from the large tank on the left", True), ("Open it (red). Then close the valve of the pump", False), ("Er sagt „Ventil zuerst öffnen, dann die Pumpe starten“", False), ("Das »Ventil« ist zu", False)])
 def test_open_brackets_of_the_last_sentence(text, is_open):
     assert P.is_open(text) is is_open
+
+
+def test_short_answers_are_judged_by_their_margin(spark):
+    """A bare value belongs to no language; a short sentence does, however few its words."""
+    langs = ["de", "en", "es", "fr"]
+    rows = [(t, lang) for lang, texts in (("en", EN), ("de", DE), ("fr", FR), ("es", ES)) for t in texts * 30] + [("x", f"odd{i}") for i in range(2)]
+    got, model = P.language_model(spark.createDataFrame(rows, "text string, lang string"))
+    assert got == langs  # labels rarer than the rate are no languages of the model
+    asked = "Who opens the valve before the shift of the crew?"
+    assert P.other_language([asked] * 4, ["411 bar", "No", "12", "Die Mannschaft öffnet"], model).tolist() == [False, False, False, True]
+
+
+def test_grams_of_many_texts_equal_those_of_each():
+    texts = ["The valve  leaks.", "", "é", "12 bar", "Öl und Wasser\nim Ventil"]
+    owner, bucket = P.grams_of(texts)
+    for i, t in enumerate(texts):
+        assert sorted(bucket[owner == i].tolist()) == sorted(P.grams_of([t])[1].tolist())
