@@ -86,24 +86,25 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     kind, low = kinds_and_lower(codes)
     edge = np.zeros(len(codes), dtype=bool)
     edge[np.cumsum([len(t) + 3 for t in texts], dtype=np.int64) - 1] = True
-    symbols = np.where(edge, 0, np.where(kind == LETTER, low, 32)).astype(np.int64)
-    kept = np.append(True, (symbols[1:] != 32) | (symbols[:-1] != 32)) if len(symbols) else np.zeros(0, bool)
-    symbols, edge = symbols[kept], edge[kept]
-    owner = np.cumsum(edge) - edge
+    symbols = np.where(kind == LETTER, low, np.uint32(32))
+    kept = np.append(True, (symbols[1:] != 32) | (symbols[:-1] != 32) | edge[1:] | edge[:-1]) if len(symbols) else np.zeros(0, bool)
+    symbols, edge = symbols[kept].astype(np.uint64), edge[kept]
+    owner = np.cumsum(edge, dtype=np.int32) - edge
     owners, buckets = [], []
+    rolled, whole = symbols, ~edge
     for n in GRAMS:
-        size = len(symbols) - n + 1
-        if size < 1:
+        if n > 1:
+            rolled = rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + symbols[n - 1 :]
+            whole = whole[:-1] & ~edge[n - 1 :]
+        if not len(rolled):
             break
-        h = np.full(size, n, dtype=np.int64)
-        whole = np.ones(size, dtype=bool)
-        for k in range(n):
-            h = (h * 1_000_003 + symbols[k : size + k]) & 0x7FFFFFFFFFFF
-            whole &= ~edge[k : size + k]
-        h ^= h >> 15
-        owners.append(owner[:size][whole])
-        buckets.append(h[whole] & (BUCKETS - 1))
-    return (np.concatenate(owners), np.concatenate(buckets)) if owners else (np.zeros(0, np.int64),) * 2
+        at = np.flatnonzero(whole)
+        mixed = rolled[at] + np.uint64(n)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        owners.append(owner[at])
+        buckets.append((mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
+    return (np.concatenate(owners), np.concatenate(buckets)) if owners else (np.zeros(0, np.int32),) * 2
 
 
 def grams(text: str) -> np.ndarray:
