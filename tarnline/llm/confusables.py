@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -17,10 +18,15 @@ from pyspark.sql.types import StringType
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХԌԚԜҮаеѕіјорсухһԁԛԝӏ", "ABESIJKMHOPCTYXGQWYaesijopcyxhdqwl")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj")
 ARMENIAN = ("ՕՍՏԼոսհց", "OUSLnuhg")
+COPTIC = ("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABHIKMNOPCTYXopc")
+CHEROKEE = ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4VSLCPKB")
+LISU = ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU")
 #: Letters that resemble a Latin letter less closely; they count inside a word with several Latin letters only.
 NEAR = ("νικρυγтвкмнпгɑɡıαӀ", "vikpuyTBKMHnragiaI")
 # Hyphens that look like the ordinary one, and invisible characters outside the format category.
 HYPHENS = "‐‑‒﹣－"
+#: Signs with the very shape of an ordinary one; minus signs, dashes and dots that look different are not among them.
+SIGNS = ("․∶∣∗∼∖", ".:|*~\\")
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
 #: Control characters that lay out a text.
 LAYOUT = "\t\n\v\f\r\x85"
@@ -29,7 +35,7 @@ FORMS = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 #: Characters on either side in which a word of look-alikes alone may find company of its own alphabet.
 CONTEXT = 24
 # Ranges of characters that no table holds; a text of these alone is in its consistent form.
-PLAIN = "\\t\\n\\r\\x20-\\x7E\\xA1-\\xAC\\xAE-\\u0131\\u0134-\\u0250\\u2013-\\u2027\\u20A0-\\u20BF\\u2122\\u2153-\\u215F\\u2190-\\u22FF"
+PLAIN = "\\t\\n\\r\\x20-\\x7E\\xA1-\\xAC\\xAE-\\u0131\\u0134-\\u0250\\u2013-\\u2023\\u2025-\\u2027\\u20A0-\\u20BF\\u2122\\u2153-\\u215F\\u2190-\\u2215\\u2218-\\u2222\\u2224-\\u2235\\u2237-\\u223B\\u223D-\\u22FF"
 
 
 @functools.cache
@@ -51,13 +57,13 @@ def prototypes() -> dict[str, str]:
             out[ch] = unicodedata.normalize("NFKD", ch)
         elif form and form[0] != "<" and " " not in form and category[0] != "M":
             out[ch] = unicodedata.normalize("NFD", ch)  # the same letter under a second code
-    out |= dict.fromkeys(INVISIBLE, "") | dict.fromkeys(HYPHENS, "-")
+    out |= dict.fromkeys(INVISIBLE, "") | dict.fromkeys(HYPHENS, "-") | dict(zip(*SIGNS))
     return out
 
 
 @functools.cache
 def lookalikes() -> dict[str, str]:
-    return {a: b for pair in (CYRILLIC, GREEK, ARMENIAN) for a, b in zip(*pair)}
+    return {a: b for pair in (CYRILLIC, GREEK, ARMENIAN, COPTIC, CHEROKEE, LISU) for a, b in zip(*pair)}
 
 
 @functools.cache
@@ -163,32 +169,37 @@ def consistent_text(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, _consistent(F.col(column)))
 
 
-def same_looking(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """``skeleton, n, forms, first``: per hash of a skeleton its rows, its distinct originals and its first id.
-
-    Null texts are left out. Only hashes and ids move; rows of one skeleton are counted before they meet.
-    """
-    keyed = df.where(F.col(column).isNotNull()).select(F.sha2(_skeleton(F.col(column)), 256).alias("skeleton"), F.sha2(F.col(column), 256).alias("form"), F.col(id_col).alias("id"))
-    forms = keyed.groupBy("skeleton", "form").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    return forms.groupBy("skeleton").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.min("first").alias("first"))
-
-
-def changed_records(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """``field, row_id`` of the records whose text is not in the consistent form; null and blank texts are none.
+def members(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """``field, row_id, skeleton, original``: each record with the key of its group of texts that look the same.
 
-    Each text is looked at once, where it lies, and only ids come back.
+    ``original`` is a digest of the text and ``skeleton`` one of its consistent form, so a text that stands in the
+    form of its group has both alike. Null texts are left out; each text is looked at once, where it lies, and only
+    ids and digests come back.
     """
 
-    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = _odd_character()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at = [i for i, t in enumerate(texts) if odd(t) and consistent(t) != t]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id").take(pa.array(at, pa.int64()))], names=["row_id"])
+            forms = [consistent(t) if odd(t) else None for t in batch.column("text").to_pylist()]
+            digests = [None if f is None else hashlib.md5(f.encode("utf-8", "surrogatepass")).hexdigest() for f in forms]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("original"), pa.array(digests, pa.string())], names=["row_id", "original", "skeleton"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("row_id"), F.col(column).alias("text")).where(F.col("text").isNotNull())
-    return rows.mapInArrow(changed, f"row_id {kind}").select(F.lit(column).alias("field"), "row_id")
+    rows = df.select(F.col(id_col).alias("row_id"), F.md5(F.col(column)).alias("original"), F.col(column).alias("text")).where(F.col("text").isNotNull())
+    found = rows.mapInArrow(grouped, f"row_id {kind}, original string, skeleton string")
+    return found.select(F.lit(column).alias("field"), "row_id", F.coalesce("skeleton", "original").alias("skeleton"), "original")
+
+
+def same_looking(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """``field, skeleton, n, forms, first``: the groups of texts that look the same, with the number of their records
+    and of their distinct originals, and the first id; records are counted by original before their group meets."""
+    forms = members(df, id_col, column).groupBy("field", "skeleton", "original").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
+    return forms.groupBy("field", "skeleton").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.min("first").alias("first"))
+
+
+def changed_records(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """``field, row_id`` of the members that do not stand in the form of their group; null and blank texts are none."""
+    return members(df, id_col, column).where(F.col("original") != F.col("skeleton")).select("field", "row_id")
 
 
 def tokens_on_pages(tokens: DataFrame, pages: DataFrame) -> DataFrame:

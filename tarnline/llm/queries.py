@@ -42,6 +42,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(changed_records(tokens, "cand_id", "key_value_token"))
 
 
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts, and of tokens, that look the same."""
+    from .confusables import same_looking
+
+    pages = same_looking(read_table(spark, sf_dir, "ingest", "ingest_id", "text"), "ingest_id", "text")
+    return pages.unionByName(same_looking(read_table(spark, sf_dir, "verify_eval_tokens", "cand_id", "key_value_token"), "cand_id", "key_value_token"))
+
+
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each record."""
+    from .confusables import members
+
+    pages = members(read_table(spark, sf_dir, "ingest", "ingest_id", "text"), "ingest_id", "text")
+    return pages.unionByName(members(read_table(spark, sf_dir, "verify_eval_tokens", "cand_id", "key_value_token"), "cand_id", "key_value_token")).drop("original")
+
+
 def p3_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .confusables import consistent_text
 
@@ -125,7 +141,7 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_consistent, p3_tokens_on_pages, p4_found, p4_statistics, p5_found, p5_reflowed, p6_ids, p7_found, p7_passages, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_clean, p2_found, p3_found, p3_groups, p3_members, p3_consistent, p3_tokens_on_pages, p4_found, p4_statistics, p5_found, p5_reflowed, p6_ids, p7_found, p7_passages, p8_found, p8_scores, p8_rates)
 }
 
 ORACLES: dict[str, str] = {

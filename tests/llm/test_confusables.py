@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnline.llm.confusables import PLAIN, changed_records, consistent, consistent_text, lookalikes, prototypes, same_looking, skeleton, tokens_on_pages
+from tarnline.llm.confusables import NEAR, PLAIN, changed_records, consistent, consistent_text, lookalikes, members, prototypes, same_looking, skeleton, tokens_on_pages
 
 CASES = [
     ("ｒｉｎｇ １２", "ring 12"), ("thе pump", "the pump"), ("zero​width", "zerowidth"), ("so­ft", "soft"), ("a b", "a b"), ("ﬂange", "flange"),
@@ -33,7 +33,8 @@ def test_prefilter_covers_the_tables():
     import re
 
     plain = re.compile(f"[{PLAIN}]")
-    assert not [c for c in {*prototypes(), *lookalikes()} | {chr(x) for x in range(0x300, 0x370)} if plain.match(c)]
+    near = {c for c in NEAR[0] if c > "\u024f"}
+    assert not [c for c in {*prototypes(), *lookalikes(), *near} | {chr(x) for x in range(0x300, 0x370)} if plain.match(c)]
 
 
 def test_records(spark):
@@ -69,8 +70,20 @@ def test_signs_and_layout_stay(text):
 
 
 def test_same_looking(spark):
-    rows = [(1, "The pump"), (2, "the  puｍp"), (3, "The pump"), (4, "valve"), (5, None), (6, ""), (7, "the p\x00ump")]
-    df = spark.createDataFrame(rows, "ingest_id long, text string")
+    rows = [(1, "The pump"), (2, "The puｍp"), (3, "The pump"), (4, "valve"), (5, None), (6, ""), (7, "The p\x00ump")]
+    df = spark.createDataFrame(rows, "ingest_id long, text string").selectExpr("*", "'x' AS field", "0 AS skeleton")
     got = sorted((r["first"], r["n"], r["forms"]) for r in same_looking(df, "ingest_id", "text").collect())
     assert got == [(1, 4, 3), (4, 1, 1), (6, 1, 1)]
+    by = {r.row_id: r.skeleton for r in members(df, "ingest_id", "text").collect()}
+    assert by[1] == by[2] == by[3] == by[7] != by[4] and 5 not in by
     assert {r.row_id for r in changed_records(df, "ingest_id", "text").collect()} == {2, 7}
+
+
+@pytest.mark.parametrize("text, form", [("Ꭺpple", "Apple"), ("ꓲtem", "Item"), ("Ⲟil", "Oil"), ("1․2 a∶b", "1.2 a:b"), ("pαssword", "password"), ("ɡoogle", "google"), ("ɑpple", "apple"), ("νoltage", "voltage")])
+def test_other_scripts_and_signs(text, form):
+    assert consistent(text) == form and consistent(form) == form
+
+
+@pytest.mark.parametrize("text", ["5 − 3", "3 × 4", "ᏣᎳᎩ", "ⲘⲚⲦⲢⲘⲚⲔⲎⲘⲈ"])
+def test_own_signs_and_scripts_stay(text):
+    assert consistent(text) == text
