@@ -2,18 +2,63 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_WORD = re.compile(r"[a-z0-9]+|\n")
+
+
+@functools.lru_cache(200_000)
+def _feature(word: str, size: int) -> tuple[int, int]:
+    """Bucket and sign of a word, from its digest."""
+    digest = hashlib.md5(word.encode()).hexdigest()
+    return int(digest[:6], 16) % size, 1 - 2 * (int(digest[6], 16) % 2)
+
+
+def _weights(texts: list[str | None], size: int) -> np.ndarray:
+    """One row of signed bucket sums a text."""
+    rows, buckets, signs = [], [], []
+    for i, text in enumerate(texts):
+        for word in _WORD.findall(text or ""):
+            if word != "\n":
+                bucket, sign = _feature(word, size)
+                rows.append(i)
+                buckets.append(bucket)
+                signs.append(sign)
+    at = np.asarray(rows, dtype=np.int64) * size + np.asarray(buckets, dtype=np.int64)
+    return np.bincount(at, weights=signs, minlength=len(texts) * size).astype(np.int64).reshape(len(texts), size)
+
 
 def hashed_features(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """``key, bucket, weight``: words hashed into signed buckets; null texts and texts without words give no rows.
 
-    Words of a row are counted before they are hashed, so repeated words travel once.
+    One pass over Arrow batches where the rows lie: a row's words never leave it, so nothing is shuffled.
     """
-    found = F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"), lambda w: w != "")
-    counted = df.select(key, F.explode(found).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.md5("word")
-    bucket = F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % size
-    sign = F.when(F.conv(F.substring(digest, 7, 1), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
-    return counted.groupBy(key, bucket.alias("bucket")).agg(F.sum(sign * F.col("n")).alias("weight")).where("weight <> 0")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weights = _weights(batch.column("text").to_pylist(), size)
+            row, bucket = np.nonzero(weights)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(bucket), pa.array(weights[row, bucket])], names=["key", "bucket", "weight"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).where(F.col("text").isNotNull())
+    return rows.mapInArrow(count, f"key {kind}, bucket long, weight long").withColumnRenamed("key", key)
+
+
+def embedded(df: DataFrame, text: str, into: str, size: int) -> DataFrame:
+    """``df`` with ``into``: the hashed features of each text as a dense vector; one vector a row, so none can be lost."""
+
+    @F.pandas_udf("array<float>")
+    def vector(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(_weights(texts.tolist(), size).astype(np.float32)))
+
+    return df.withColumn(into, vector(F.lower(F.col(text))))

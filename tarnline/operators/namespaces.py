@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 
 def upserted(held: DataFrame, incoming: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows after an id-keyed overwrite: of each key the row that is last by ``order``.
+    """Rows after an id-keyed overwrite: of each key the row that is last by ``order``, the incoming one of equals.
 
-    The winner is an aggregate, so each side is reduced before the shuffle and a key with many rows is no hot group.
+    Only keys and orders are aggregated, in a hash table and partly before the shuffle, so a key with many rows is no
+    hot group; the winning rows then move once. A side that repeats a row under one key and order keeps one of them,
+    by its digest and, if that is equal too, by ``dropDuplicates``.
     """
-    rows = held.unionByName(incoming)
-    rest = [c for c in rows.columns if c not in keys]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
-
-
-def write_namespaces(df: DataFrame, path: str, replace: bool = True) -> None:
-    """Writes the table partitioned by namespace; only the namespaces in ``df`` are replaced, or none may exist."""
-    writer = df.write.partitionBy("namespace")
+    sides = held.withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
+    rows = sides.withColumn("_rank", F.struct(F.col(order).alias("o"), "_side", F.xxhash64(*held.columns).alias("h"))).drop("_side")
+    best = rows.groupBy(*keys).agg(F.max("_rank").alias("_best"))
+    same = [rows[k].eqNullSafe(best[k]) for k in keys]
+    won = rows.join(best, [*same, rows["_rank"] == best["_best"]], "left_semi").drop("_rank")
+    return won.dropDuplicates([*keys])
+
+
+def write_namespaces(df: DataFrame, path: str, replace: bool = True, by: tuple[str, ...] = ("namespace",)) -> None:
+    """Writes the table partitioned by namespace, or by the columns ``by``; only the partitions in ``df`` are replaced,
+    or none may exist."""
+    writer = df.write.partitionBy(*by)
     if replace:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:

@@ -15,13 +15,21 @@ QUESTION_BLOCK, VECTOR_BLOCK = 1024, 8192
 BLOCK_NUMBERS = 2_000_000
 
 
-def _blocks(df: DataFrame, key: str, vector: str, scope: str | None, names: tuple[str, str, str, str], blocks: int) -> DataFrame:
-    """Rows packed into ``blocks`` groups by a hash of their key; a group becomes one row of arrays."""
-    columns = [F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"), (F.col(scope).cast("string") if scope else F.lit(None).cast("string")).alias("s")]
-    packed = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(*columns).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)))
-    grouped = packed.groupBy("b").agg(F.collect_list(F.struct("k", "v", "s")).alias("rows"))
-    block, ids, vectors, scopes = names
-    return grouped.select(F.col("b").alias(block), F.col("rows.k").alias(ids), F.flatten("rows.v").alias(vectors), F.col("rows.s").alias(scopes))
+def _sized(df: DataFrame, key: str, vector: str, scope: str | None, size: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of a side as ``k, v, s``, and per scope (one for all without ``scope``) its number of blocks."""
+    own = F.col(scope).cast("string") if scope else F.lit("")
+    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"), own.alias("s"))
+    counted = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.max(F.size("v")), F.lit(1)).alias("width"))
+    rows_each = F.least(F.lit(size), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_NUMBERS) / F.col("width"))))
+    return rows, counted.where("s IS NOT NULL").select("s", F.ceil(F.col("n") / rows_each).alias("blocks"))
+
+
+def _blocks(rows: DataFrame, counted: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """Rows of a scope packed into its blocks by a hash of their key; a block becomes one row of arrays."""
+    block, ids, vectors = names
+    packed = rows.join(counted, "s").withColumn("b", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    grouped = packed.groupBy("s", "b").agg(F.collect_list(F.struct("k", "v")).alias("rows"))  # of bounded size
+    return grouped.select("s", F.col("b").alias(block), F.col("rows.k").alias(ids), F.flatten("rows.v").alias(vectors))
 
 
 def _matrix(batch: pa.RecordBatch, i: int, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
@@ -40,18 +48,15 @@ def dense_topk(
 
     Both sides are packed into blocks of bounded size and every block of questions meets every block of vectors,
     as one matrix product in a task; each pair of blocks gives at most ``k`` rows a question, and a last ranking
-    takes the best of those. With ``scope`` only vectors with the question's value in that column count, before
-    the ranking. Vectors that are null or without length, and questions with such, give no rows; all vectors must
-    have one dimension. Ids must be numbers or strings and are ranked as such.
+    takes the best of those. With ``scope`` the blocks are those of one value of that column, so questions meet only
+    vectors with their own value; a null value has none. Vectors that are null or without length, and questions with
+    such, give no rows; all vectors must have one dimension. Ids must be numbers or strings and are ranked as such.
     """
-    n_questions = questions.count()
-    n_vectors, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(embedding)), F.lit(1))).first()
-    most = max(64, BLOCK_NUMBERS // max(1, width))
-    q_blocks, v_blocks = (max(1, -(-n // min(size, most))) for n, size in ((n_questions, QUESTION_BLOCK), (n_vectors, VECTOR_BLOCK)))
-    asked = _blocks(questions, question_id, embedding, scope, ("qb", "q_ids", "q_vecs", "q_scope"), q_blocks)
-    held = _blocks(vectors, vector_id, embedding, scope, ("vb", "v_ids", "v_vecs", "v_scope"), v_blocks)
-    meet = asked.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))))
-    scoped = scope is not None
+    q_rows, q_sized = _sized(questions, question_id, embedding, scope, QUESTION_BLOCK)
+    v_rows, v_sized = _sized(vectors, vector_id, embedding, scope, VECTOR_BLOCK)
+    asked = _blocks(q_rows, q_sized, ("qb", "q_ids", "q_vecs"))
+    held = _blocks(v_rows, v_sized, ("vb", "v_ids", "v_vecs"))
+    meet = asked.join(v_sized, "s").withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
     q_kind, v_kind = questions.schema[question_id].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString()
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,31 +67,34 @@ def dense_topk(
                 order = np.argsort(v_ids, kind="stable")
                 v_ids, v = v_ids[order], v[order]
                 score = q @ v.T
-                if scoped:
-                    mine = np.array(batch.column("q_scope")[i].as_py(), dtype=object)
-                    theirs = np.array(batch.column("v_scope")[i].as_py(), dtype=object)[order]
-                    score = np.where(mine[:, None] == theirs[None, :], score, np.nan)
                 ranked = np.where(np.isnan(score), -np.inf, np.round(score, 12))
-                top = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(q_ids)), top.shape[1])
-                col = top.ravel()
-                keep = ~np.isnan(score[row, col])
-                row, col = row[keep], col[keep]
+                # the k-th best score of each question; those above it, and of equals the first by id
+                least = np.partition(ranked, -k, axis=1)[:, -k] if k < ranked.shape[1] else np.full(len(q_ids), -np.inf)
+                row, col = np.nonzero((ranked >= least[:, None]) & (ranked > -np.inf))
+                best = np.lexsort((col, -ranked[row, col], row))
+                row, col = row[best], col[best]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[place < k], col[place < k]
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(v_ids[col]), pa.array(score[row, col])], names=[question_id, vector_id, "score"])
 
     best = Window.partitionBy(question_id).orderBy(F.round("score", 12).desc(), vector_id)
     return (
-        meet.join(held, "vb").mapInArrow(multiply, f"{question_id} {q_kind}, {vector_id} {v_kind}, score double")
+        meet.join(held, ["s", "vb"]).mapInArrow(multiply, f"{question_id} {q_kind}, {vector_id} {v_kind}, score double")
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         .select(question_id, F.col("rank").cast("long").alias("rank"), vector_id, "score")
     )
 
 
 def scoped_with_fallback(questions: DataFrame, vectors: DataFrame, k: int, scope: str, **names: str) -> DataFrame:
-    """Scoped search, and for questions whose scope holds nothing the open one; ``route`` tells which was taken."""
-    key = names.get("question_id", "query_id")
+    """Scoped search, and for questions whose scope holds nothing the open one; ``route`` tells which was taken.
+
+    Which scopes hold anything is read off the vectors' own column, so each question is searched once.
+    """
+    embedding = names.get("embedding", "embedding")
+    long = F.exists(F.col(embedding), lambda x: x != 0)
+    held = vectors.where(F.col(embedding).isNotNull() & long).select(F.col(scope).alias("_scope")).distinct()
     inside = dense_topk(questions, vectors, k, scope=scope, **names).withColumn("route", F.lit("source_scoped"))
-    rest = questions.join(inside.select(key).distinct(), key, "left_anti")
+    rest = questions.join(held, F.col(scope) == F.col("_scope"), "left_anti")
     return inside.unionByName(dense_topk(rest, vectors, k, **names).withColumn("route", F.lit("direct")))
 
 

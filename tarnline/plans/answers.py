@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import REFUSAL, REFUSAL_ANYWHERE, REFUSAL_WHEN_SHORT, refusal_class, safe_filename, stripped
+from ..functions.text import REFUSAL, REFUSAL_ANYWHERE, REFUSAL_WHEN_SHORT, refusal_class, safe_filename, stripped, words
 from ..functions.text import is_refusal as refused
 from ..operators.answers import cited_once, extracted, titled, tokens_found
 from ..sources.tables import table
@@ -90,16 +90,31 @@ def question_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "dataset", "eval_id", "question").select("eval_id", n.between(3, 1000).alias("ok"))
 
 
-@query(rf"""WITH h AS (SELECT DISTINCT cand_id FROM verify_eval_tokens v JOIN ingest i ON i.source_doc_id = v.source_doc_id AND i.page = v.source_page
+_FOUND = rf"""WITH h AS (SELECT DISTINCT cand_id FROM verify_eval_tokens v JOIN ingest i ON i.source_doc_id = v.source_doc_id AND i.page = v.source_page
         WHERE length(regexp_replace(key_value_token, '{_WS}+', '', 'g')) > 0
-        AND contains(lower(regexp_replace(i.text, '{_WS}+', '', 'g')), lower(regexp_replace(key_value_token, '{_WS}+', '', 'g'))))
-    SELECT v.cand_id, h.cand_id IS NOT NULL AS found FROM verify_eval_tokens v LEFT JOIN h USING (cand_id)""")
+        AND contains(lower(regexp_replace(i.text, '{_WS}+', '', 'g')), lower(regexp_replace(key_value_token, '{_WS}+', '', 'g')))),
+    found AS (SELECT v.cand_id, h.cand_id IS NOT NULL AS found FROM verify_eval_tokens v LEFT JOIN h USING (cand_id))
+"""
+
+
+@query(_FOUND + "SELECT * FROM found")
 def verify_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "verify_eval_tokens", "cand_id", "source_doc_id", "source_page", "key_value_token")
     pages = table(spark, sf_dir, "ingest", "source_doc_id", "page", "text")
     return tokens_found(tokens, pages, "cand_id", "source_doc_id", "source_page", "key_value_token")
 
 
+@query(_FOUND + "SELECT count(*) FILTER (found) AS n_verified, count(*) FILTER (NOT found) AS n_failed FROM found")
+def verify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_tokens(spark, sf_dir).agg(F.count_if("found").alias("n_verified"), F.count_if(~F.col("found")).alias("n_failed"))
+
+
+@query("SELECT response_id, nullif(source_doc_id, '') AS source_doc_id, nullif(routing_reason, '') AS routing_reason FROM askresponse")
+def empty_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "askresponse", "response_id", "source_doc_id", "routing_reason")
+    return rows.select("response_id", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("source_doc_id", "routing_reason")])
+
+
 @query("""WITH c AS (SELECT eval_id, i, source_doc_id[i] AS doc, source_page[i] AS page, source_page_label[i] AS label FROM dataset, unnest(range(1, least(len(source_doc_id), len(source_page)) + 1)) AS t(i))
     SELECT c.eval_id, i - 1 AS pos, doc, c.page AS page, label, p.source_doc_id IS NOT NULL AS held FROM c LEFT JOIN (SELECT DISTINCT source_doc_id, page FROM ingest) p ON p.source_doc_id = c.doc AND p.page = c.page""")
 def scalar_or_list_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,10 +169,37 @@ def ask_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "askresponse", "response_id", "answer", "route", "source_doc_id")
     cited = _cited(spark, sf_dir).groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("place", "document", "page"))).alias("c"))  # an answer's few citations
     listed = F.transform(F.coalesce("c", F.array().cast("array<struct<place:bigint,document:string,page:int>>")), lambda x: F.struct(x["document"].alias("document"), x["page"].alias("page")))
-    body = F.to_json(F.struct(F.coalesce("answer", F.lit("")).alias("answer"), listed.alias("citations"), "route", "source_doc_id"))
+    body = F.to_json(F.struct(F.coalesce("answer", F.lit("")).alias("answer"), listed.alias("citations"), "route", F.nullif(F.col("source_doc_id"), F.lit("")).alias("source_doc_id")))
     return rows.join(cited, "response_id", "left").select("response_id", body.alias("response"))
 
 
+@query()
+def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation loop in one plan: every question is embedded and searched, a sentence of its contexts answers it,
+    and the answer and the contexts are scored against its reference and its cited documents.
+
+    ``eval_id, n_contexts, n_hits, answer, n_shared, n_reference``: contexts and those of a cited document; the answer
+    with the distinct words it shares with the reference, of so many.
+    """
+    from ..operators.embedding import embedded
+    from ..operators.retrieval import dense_topk
+
+    asked = table(spark, sf_dir, "dataset", "eval_id", "question", "reference", "source_doc_id")
+    pages = table(spark, sf_dir, "ingest", "ingest_id", "source_doc_id", "text").where("text IS NOT NULL")
+    ranked = dense_topk(
+        embedded(asked.select("eval_id", "question"), "question", "embedding", 64), embedded(pages.select("ingest_id", "text"), "text", "embedding", 64), 10, "eval_id", "ingest_id"
+    )
+    contexts = ranked.join(pages, "ingest_id").select("eval_id", "rank", "source_doc_id", "text")  # ten a question
+    answers = extracted(asked.select("eval_id", "question"), contexts, "eval_id", "question", "text")
+    cited = asked.select("eval_id", F.col("source_doc_id").alias("cited"))
+    hit = F.coalesce(F.array_contains("cited", F.col("source_doc_id")), F.lit(False))
+    found = contexts.join(cited, "eval_id").groupBy("eval_id").agg(F.count(F.lit(1)).alias("n_contexts"), F.count_if(hit).alias("n_hits"))
+    own, said = F.array_distinct(words(F.coalesce("reference", F.lit("")))), words(F.coalesce("sentence", F.lit("")))
+    scored = asked.join(answers, "eval_id").select("eval_id", F.col("sentence").alias("answer"), F.size(F.array_intersect(own, said)).cast("long").alias("n_shared"), F.size(own).cast("long").alias("n_reference"))
+    zero = F.lit(0).cast("long")
+    return scored.join(found, "eval_id", "left").select("eval_id", F.coalesce("n_contexts", zero).alias("n_contexts"), F.coalesce("n_hits", zero).alias("n_hits"), "answer", "n_shared", "n_reference")
+
+
 @query()
 def verify_tokens_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``verify_tokens``, with tokens and pages in compatibility form and without soft hyphens."""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entry_name as name_of
 from ..functions.text import is_blank, sentences, squeezed, stripped
-from ..operators.chunking import capped, page_spans as spans_of, records, sections, sentence_windows as windows_of, split_rows, start_offsets
-from ..operators.runs import previous
-from ..sources.tables import table
+from ..operators.chunking import capped, entries, headed, page_spans as spans_of, records, sections, semantic_build as built, sentence_windows as windows_of, split_rows, start_offsets, start_pages
+from ..operators.runs import previous, running_sum
+from ..sources.tables import latest_chunks, table
 from .registry import query
 
 #: Characters from which a chunk counts as oversized.
@@ -51,7 +51,7 @@ def multi_record_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT ingest_id, CAST(record_no AS BIGINT) AS record_no, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM n GROUP BY 1, 2""")
 def structure_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts cut into records at numbered lines."""
-    cut = records(_texts(spark, sf_dir), "ingest_id", "text", F.col("line").rlike(r"^\d+\. "))
+    cut = records(_texts(spark, sf_dir), "ingest_id", "text", r"\d+\. ")
     return cut.select("ingest_id", "record_no", F.md5("record").alias("digest"))
 
 
@@ -109,6 +109,76 @@ def page_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("source_doc_id", (F.col("step") * _STEP).alias("at_char"), "page")
 
 
+_PIECES = _PAGES + rf""", pieces AS (SELECT source_doc_id, page AS own, ingest_id, CAST(length(regexp_replace(coalesce(text, ''), '{_WS}+', '', 'g')) AS BIGINT) AS n
+        FROM ingest WHERE source_doc_id IS NOT NULL AND page IS NOT NULL),
+    placed AS (SELECT source_doc_id, own, ingest_id, row_number() OVER w - 1 AS chunk_index, CAST(sum(n) OVER w - n AS BIGINT) AS at_char FROM pieces WINDOW w AS (PARTITION BY source_doc_id ORDER BY own, ingest_id))
+"""
+
+
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each document in the order of their pages, with their number and start among its characters."""
+    rows = table(spark, sf_dir, "ingest", "source_doc_id", "page", "ingest_id", "text").where("source_doc_id IS NOT NULL AND page IS NOT NULL")
+    sized = rows.select("source_doc_id", F.col("page").alias("own"), "ingest_id", F.length(squeezed(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
+    totals = sized.groupBy("source_doc_id", "own").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    upto = running_sum(running_sum(totals, "source_doc_id", "own", "n", "upto_n"), "source_doc_id", "own", "k", "upto_k")
+    base = upto.select("source_doc_id", "own", (F.col("upto_n") - F.col("n")).alias("base_n"), (F.col("upto_k") - F.col("k")).alias("base_k"))
+    page = Window.partitionBy("source_doc_id", "own").orderBy("ingest_id")
+    before = F.coalesce(F.sum("n").over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    inside = sized.withColumns({"place": F.row_number().over(page).cast("long") - 1, "before": before})
+    return inside.join(base, ["source_doc_id", "own"]).select("source_doc_id", "own", "ingest_id", (F.col("base_k") + F.col("place")).alias("chunk_index"), (F.col("base_n") + F.col("before")).alias("at_char"))
+
+
+@query(_PIECES + "SELECT source_doc_id, ingest_id, chunk_index FROM placed")
+def chunk_index_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contiguous index of each row in its document."""
+    return _placed(spark, sf_dir).select("source_doc_id", "ingest_id", "chunk_index")
+
+
+@query(_PIECES + """SELECT p.source_doc_id, ingest_id, at_char, coalesce(min(s.page), any_value(l.page)) AS page FROM placed p
+    LEFT JOIN spans s ON s.source_doc_id = p.source_doc_id AND at_char >= start_at AND at_char < end_at
+    JOIN (SELECT source_doc_id, max(page) AS page FROM spans GROUP BY 1) l ON l.source_doc_id = p.source_doc_id GROUP BY 1, 2, 3""")
+def chunk_start_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page on which each row begins by its offset; beyond the last character it is the document's last page."""
+    return start_pages(_placed(spark, sf_dir).drop("own"), _spans(spark, sf_dir), "source_doc_id", "at_char").select("source_doc_id", "ingest_id", "at_char", "page")
+
+
+@query(_PIECES + """, paged AS (SELECT p.source_doc_id, ingest_id, coalesce(min(s.page), any_value(l.page)) AS page, any_value(l.page) AS last FROM placed p
+        LEFT JOIN spans s ON s.source_doc_id = p.source_doc_id AND at_char >= start_at AND at_char < end_at
+        JOIN (SELECT source_doc_id, max(page) AS page FROM spans GROUP BY 1) l ON l.source_doc_id = p.source_doc_id GROUP BY 1, 2, at_char)
+    SELECT source_doc_id, count(*) AS n_chunks, count(*) FILTER (page BETWEEN 1 AND last) = count(*) AS in_range FROM paged GROUP BY 1""")
+def start_pages_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every chunk of a document begins on one of its pages."""
+    spans = _spans(spark, sf_dir)
+    last = spans.groupBy("source_doc_id").agg(F.max("page").alias("last"))
+    paged = start_pages(_placed(spark, sf_dir).drop("own"), spans, "source_doc_id", "at_char").join(last, "source_doc_id")
+    return paged.groupBy("source_doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.bool_and(F.col("page").between(1, F.col("last"))).alias("in_range"))
+
+
+@query()
+def semantic_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of ingest from its pages to chunks with ids, by the sense of its sentences.
+
+    A page is made of the rows last ingested under its ids, in their order.
+    """
+    rows = latest_chunks(spark, sf_dir, "namespace", "id", "source_doc_id", "page", "chunk_index", "text").where("source_doc_id IS NOT NULL AND page IS NOT NULL")
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "id", F.coalesce("text", F.lit("")).alias("text"))))  # the rows of one page
+    pages = rows.groupBy("namespace", "source_doc_id", "page").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+    named = pages.select(F.concat_ws("/", "namespace", "source_doc_id").alias("source_doc_id"), "page", "text")
+    return built(named)
+
+
+@query()
+def entry_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut into entries at the line that holds the marker, or the line before where the marker opens it."""
+    return entries(_texts(spark, sf_dir), "ingest_id", "text", "Disclaimer:")
+
+
+@query()
+def headed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut into sections at their heads in any case; those without a head go through the splitter for prose."""
+    return headed(_texts(spark, sf_dir), "ingest_id", "text", r"chapter\s+\d+")
+
+
 @query("""WITH p AS (SELECT source_doc_id, ingest_id, page, lag(page) OVER (PARTITION BY source_doc_id ORDER BY chunk_index, ingest_id) AS before
     FROM ingest WHERE source_doc_id IS NOT NULL AND page IS NOT NULL)
     SELECT source_doc_id, bool_and(page >= 1) AS in_range, count(*) FILTER (page < before) AS n_backward FROM p GROUP BY 1""")
@@ -123,8 +193,8 @@ def page_monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, line_no, CAST(coalesce(sum(length(regexp_replace(line, '{_WS}+', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM l""")
 def chunk_start_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each line of a document starts, counted without white space."""
-    lines = table(spark, sf_dir, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return start_offsets(lines, "doc_id", ["line_no"], "line").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "offset")
+    lines = start_offsets(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", F.split("text", "\n"))
+    return lines.select("doc_id", F.col("piece_no").alias("line_no"), "offset")
 
 
 @query("""WITH s AS (SELECT source_doc_id, length(text) AS n, row_number() OVER (PARTITION BY source_doc_id ORDER BY length(text)) - 1 AS rn, count(*) OVER (PARTITION BY source_doc_id) AS total
@@ -177,6 +247,14 @@ def chunks_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "manifest", "doc_id").join(counted, "doc_id", "left").select("doc_id", F.coalesce("n_chunks", zero).alias("n_chunks"), F.coalesce("n_chars", zero).alias("n_chars"))
 
 
+@query(r"""SELECT m.doc_id FROM manifest m LEFT JOIN ingest i ON i.source_doc_id = m.doc_id
+    GROUP BY 1 HAVING count(*) FILTER (i.text IS NOT NULL AND regexp_matches(i.text, '[^\s\p{Z}\x{85}]')) = 0""")
+def zero_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed documents of which no page holds any text."""
+    said = table(spark, sf_dir, "ingest", "source_doc_id", "text").where(~is_blank(F.col("text"))).select(F.col("source_doc_id").alias("doc_id")).distinct()
+    return table(spark, sf_dir, "manifest", "doc_id").join(said, "doc_id", "left_anti")
+
+
 @query(r"SELECT ingest_id FROM ingest WHERE text IS NULL OR NOT regexp_matches(text, '[^\s\p{Z}\x{85}]')")
 def zero_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ingest", "ingest_id", "text").where(is_blank(F.col("text"))).select("ingest_id")

@@ -34,6 +34,13 @@ def doc_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.format_string("  %s: %s", "doc_id", "title").alias("line"))
 
 
+@query("SELECT doc_id, coalesce(nullif(title, ''), nullif(source, ''), '?') AS name FROM documents")
+def first_truthy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first field that is neither null nor empty."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    return table(spark, sf_dir, "documents", "doc_id", "title", "source").select("doc_id", F.coalesce(blank("title"), blank("source"), F.lit("?")).alias("name"))
+
+
 @query("""SELECT source_doc_id, page, count(*) AS n_chunks, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM ingest
     WHERE source_doc_id IS NOT NULL AND page IS NOT NULL GROUP BY 1, 2""")
 def pages_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +112,21 @@ def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(pages, "file", "text", LINK)
 
 
-@query()
+_LINKED = """WITH found AS (SELECT 'notes/' || doc_id || '.md' AS file, CASE WHEN ingest IS TRUE THEN '../' || path || '#top' ELSE '../gone/' || filename END AS target FROM manifest)
+"""
+
+
+@query(_LINKED + "SELECT file, target FROM found WHERE replace(split_part(target, '#', 1), '../', '') NOT IN (SELECT path FROM manifest)")
+def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes on each document link to its file, seen from their own folder; those of documents that were not ingested lead nowhere."""
+    from ..operators.lint import dead_links as dead
+
+    docs = table(spark, sf_dir, "manifest", "doc_id", "path", "filename", "ingest")
+    target = F.when(F.col("ingest").eqNullSafe(True), F.concat(F.lit("../"), "path", F.lit("#top"))).otherwise(F.concat(F.lit("../gone/"), "filename"))
+    return dead(docs.select(F.concat(F.lit("notes/"), "doc_id", F.lit(".md")).alias("file"), target.alias("target")), docs, "path")
+
+
+@query("SELECT ingest_id, unnest(list_distinct([substr(md5(text), 1, 12), md5(lower(text))])) AS hash FROM ingest WHERE text IS NOT NULL")
 def hash_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commit-like tokens of texts that cite their own digests."""
     rows = table(spark, sf_dir, "ingest", "ingest_id", "text").where("text IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evaluation import first_match, gains_and_losses, health, numeric, paired, rollup_means
+from ..operators.runs import percentiles
 from ..sources.tables import table
 from .registry import query
 
@@ -89,6 +90,17 @@ def backend_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count_distinct(F.col("user_id") % 3).alias("n_fingerprints")).withColumn("drifted", F.col("n_fingerprints") > 1)
 
 
+@query("""WITH f AS (SELECT event_type AS category, user_id, max(event_id) FILTER (ts < TIMESTAMP '2024-01-16') % 3 AS was, max(event_id) FILTER (ts >= TIMESTAMP '2024-01-16') % 3 AS is_now FROM events GROUP BY 1, 2)
+    SELECT category, count(*) AS n, count(*) FILTER (was = is_now) AS n_shared FROM f WHERE was IS NOT NULL AND is_now IS NOT NULL GROUP BY 1""")
+def shared_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the questions that both arms scored, those whose last row bears the same fingerprint in both."""
+    rows = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    last = rows.groupBy(F.col("event_type").alias("category"), "user_id").agg((F.max(F.when(early, F.col("event_id"))) % 3).alias("was"), (F.max(F.when(~early, F.col("event_id"))) % 3).alias("is_now"))
+    both = last.where("was IS NOT NULL AND is_now IS NOT NULL")
+    return both.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("was") == F.col("is_now")).alias("n_shared"))
+
+
 @query("""WITH rules AS (SELECT doc_id, split_part(title, ' ', 1) AS word FROM manifest)
     SELECT doc_id, min(eval_id) AS eval_id FROM rules LEFT JOIN dataset ON regexp_matches(lower(question), '(^|[^\\p{L}\\p{N}])' || lower(word) || '($|[^\\p{L}\\p{N}])') GROUP BY 1""".replace("\\\\", "\\"))
 def prediction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +111,11 @@ def prediction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, min(value) AS least, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1""")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles over values counted first, so equal values travel once."""
-    counted = table(spark, sf_dir, "events", "event_type", "value").where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("k"))
-    return counted.groupBy("event_type").agg(
-        F.round(F.percentile("value", F.lit(0.5), F.col("k")), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95), F.col("k")), 6).alias("p95"),
-        F.min("value").alias("least"), F.round(F.sum(F.col("value") * F.col("k")) / F.sum("k"), 6).alias("mean"), F.max("value").alias("most"),
-    )
+    """Exact percentiles without ranking a type whole, beside its mean and extremes."""
+    rows = table(spark, sf_dir, "events", "event_type", "value").where("value IS NOT NULL")
+    simple = rows.groupBy("event_type").agg(F.min("value").alias("least"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    ranked = percentiles(rows, "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return simple.join(ranked, "event_type").select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "least", "mean", "most")
 
 
 @query()

@@ -30,7 +30,7 @@ def namespace_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_LATEST + "SELECT namespace, id, ingest_id, md5(text) AS digest FROM latest")
 def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows ingested before a day of the table overwritten by those after it."""
+    """Rows under even ids and those under odd ones, merged: of each key the one ingested last."""
     rows = table(spark, sf_dir, "ingest", "namespace", "id", "ingest_id", "text")
     half = F.col("ingest_id") % 2 == 0
     merged = upserted(rows.where(half), rows.where(~half), ["namespace", "id"], "ingest_id")
@@ -159,3 +159,44 @@ def chunk_index_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("source_doc_id", "page").orderBy("chunk_index", "ingest_id")
     rows = table(spark, sf_dir, "ingest", "source_doc_id", "page", "chunk_index", "ingest_id").where("source_doc_id IS NOT NULL AND page IS NOT NULL")
     return rows.withColumn("place", F.row_number().over(order).cast("long") - 1)
+
+
+@query("""SELECT i.ingest_id, i.id FROM ingest i WHERE i.id IN (SELECT source_doc_id || '-p' || CAST(source_page AS BIGINT) || '-0' FROM verify_eval_tokens)""")
+def vector_fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows under the ids of the first chunks of cited pages; ids are distinct before they meet the table."""
+    cited = table(spark, sf_dir, "verify_eval_tokens", "source_doc_id", "source_page").where("source_doc_id IS NOT NULL AND source_page IS NOT NULL")
+    ids = cited.select(chunk_id(F.col("source_doc_id"), F.col("source_page"), F.lit(0)).alias("id")).distinct()
+    return table(spark, sf_dir, "ingest", "ingest_id", "id").join(ids, "id", "left_semi").select("ingest_id", "id")
+
+
+@query("SELECT namespace, count(*) AS n_chunks, count(*) AS n_vectors, true AS ok FROM ingest WHERE text IS NOT NULL GROUP BY 1")
+def vectors_match_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and their vectors: a vector is a column of its chunk's row, so none can be lost or change places."""
+    from ..operators.embedding import embedded
+
+    rows = embedded(table(spark, sf_dir, "ingest", "namespace", "text").where("text IS NOT NULL"), "text", "vector", 64)
+    counted = rows.groupBy("namespace").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.size("vector") == 64).alias("n_vectors"))
+    return counted.withColumn("ok", F.col("n_chunks") == F.col("n_vectors"))
+
+
+_CONTENT = """WITH k AS (SELECT DISTINCT namespace, source_doc_id, page, sha1(text) AS h FROM ingest WHERE source_doc_id IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL),
+    a AS (SELECT * FROM k WHERE namespace = 'semantic'), b AS (SELECT * FROM k WHERE namespace = 'semantic_v2')
+"""
+
+
+@query(_CONTENT + """SELECT coalesce(a.source_doc_id, b.source_doc_id) AS source_doc_id, count(*) FILTER (a.h IS NOT NULL AND b.h IS NOT NULL) AS n_same,
+    count(*) FILTER (b.h IS NULL) AS n_lost, count(*) FILTER (a.h IS NULL) AS n_new FROM a FULL JOIN b ON a.source_doc_id = b.source_doc_id AND a.page = b.page AND a.h = b.h GROUP BY 1""")
+def content_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the contents, by page and digest, that two namespaces share or that only one holds; one pass."""
+    rows = table(spark, sf_dir, "ingest", "namespace", "source_doc_id", "page", "text").where("source_doc_id IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL AND namespace IN ('semantic', 'semantic_v2')")
+    sides = rows.groupBy("source_doc_id", "page", F.sha1("text").alias("h")).agg(F.bool_or(F.col("namespace") == "semantic").alias("was"), F.bool_or(F.col("namespace") == "semantic_v2").alias("now"))
+    return sides.groupBy("source_doc_id").agg(
+        F.count_if(F.col("was") & F.col("now")).alias("n_same"), F.count_if(~F.col("now")).alias("n_lost"), F.count_if(~F.col("was")).alias("n_new")
+    )
+
+
+@query(r"""SELECT count(*) AS n, count(*) FILTER (nullif(trim(key_value_token), '') IS NOT NULL) AS n_tokens, count(DISTINCT source_doc_id || '/' || source_page) AS n_pages FROM verify_eval_tokens""")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "verify_eval_tokens", "key_value_token", "source_doc_id", "source_page")
+    kept = rows.withColumn("key", F.concat("source_doc_id", F.lit("/"), F.col("source_page").cast("string")))
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.count(F.nullif(F.trim("key_value_token"), F.lit(""))).alias("n_tokens"), F.count_distinct("key").alias("n_pages"))

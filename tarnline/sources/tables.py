@@ -14,14 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def latest_chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """One row per chunk id and namespace: of rows ingested again the last stands.
 
-    Written as an aggregate so that partial results meet before the shuffle; the largest id wins, as ingest ids rise.
+    The largest id wins, as ingest ids rise and never repeat. Only ids are aggregated, in a hash table and partly before
+    the shuffle; the texts of the winners then move once.
     """
     rows = table(spark, sf_dir, "ingest")
-    wanted = columns or tuple(c for c in rows.columns)
-    kept = [c for c in wanted if c not in ("namespace", "id")]
-    best = rows.groupBy("namespace", "id").agg(F.max_by(F.struct(*kept), F.col("ingest_id")).alias("_row")) if kept else rows.select("namespace", "id").distinct()
-    picked = [F.col(c) if c in ("namespace", "id") else F.col(f"_row.{c}").alias(c) for c in wanted]
-    return best.select(*picked)
+    wanted = list(columns or rows.columns)
+    last = table(spark, sf_dir, "ingest", "namespace", "id", "ingest_id").groupBy("namespace", "id").agg(F.max("ingest_id").alias("ingest_id"))
+    if set(wanted) <= {"namespace", "id", "ingest_id"}:
+        return last.select(*wanted)
+    picked = rows.select(*{*wanted, "ingest_id"}).join(last.select("ingest_id"), "ingest_id", "left_semi")
+    return picked.select(*wanted)
 
 
 def read_manifest_json(spark: SparkSession, path: str) -> DataFrame:

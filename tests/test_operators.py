@@ -106,15 +106,18 @@ def test_sections_and_records(spark):
     df = spark.createDataFrame([(1, "front\nSECTION 1: a\nb\nSECTION 2: c"), (2, ""), (3, None)], "k long, t string")
     got = [(r.k, r.section_no, r.section) for r in chunking.sections(df, "k", "t", r"SECTION\s+\d+\s*:").orderBy("k", "section_no").collect()]
     assert got == [(1, 0, "front\n"), (1, 1, "SECTION 1: a\nb\n"), (1, 2, "SECTION 2: c")]
-    cut = chunking.records(df, "k", "t", F.col("line").startswith("SECTION")).where("k = 1").orderBy("record_no").collect()
-    assert [r.record for r in cut] == ["front", "SECTION 1: a\nb", "SECTION 2: c"]
+    cut = chunking.records(df, "k", "t", "SECTION").where("k = 1").orderBy("record_no").collect()
+    assert [(r.record_no, r.record) for r in cut] == [(0, "front"), (1, "SECTION 1: a\nb"), (2, "SECTION 2: c")]
+    assert [(r.record_no, r.record) for r in chunking.records(spark.createDataFrame([(1, "SECTION 9"), (1, "SECTION 9")], "k long, t string"), "k", "t", "SECTION").collect()] == [(1, "SECTION 9")] * 2
 
 
 def test_start_offsets_equal_a_cursor(spark):
     text = "Aa bb. Cc  dd ee.\nFf gg hh."
     pieces = chunking.split_text(text, 9, 0)
-    df = spark.createDataFrame([("d", i, p) for i, p in enumerate(pieces)], "doc string, n long, piece string")
-    got = [r.offset for r in chunking.start_offsets(df, "doc", ["n"], "piece").orderBy("n").collect()]
+    df = spark.createDataFrame([("d", pieces), ("e", []), ("f", None), ("g", ["a b", "c"])], "doc string, pieces array<string>")
+    rows = chunking.start_offsets(df, "doc", F.col("pieces")).orderBy("doc", "piece_no").collect()
+    assert [(r.piece_no, r.offset) for r in rows if r.doc == "g"] == [(0, 0), (1, 2)] and {r.doc for r in rows} == {"d", "g"}
+    got = [r.offset for r in rows if r.doc == "d"]
     squeezed, at, expected = "".join(text.split()), 0, []
     for p in pieces:
         at = squeezed.find("".join(p.split()), at)
@@ -144,6 +147,14 @@ def test_links_outside_fences(spark):
     assert [r.target for r in dead.collect()] == ["z.png"]
 
 
+def test_dead_links_are_seen_from_their_file(spark):
+    known = spark.createDataFrame([("eval/M.md",), ("blog/doc.md",), ("a b.md",), ("conf/render.yaml",)], "path string")
+    alive = ["../eval/M.md", "doc.md", "doc.md#part", "./doc.md", "../a%20b.md", "/eval/M.md", "../eval", "../conf/../eval/M.md", "#here", "https://x.org/gone", "mailto:a@b.org", "../conf/render.yaml"]
+    dead = ["eval/M.md", "gone.md#part", "../doc.md", "../../eval/M.md", "src/config.py"]
+    found = spark.createDataFrame([("blog/post.md", i, t) for i, t in enumerate(alive + dead)], "file string, line long, target string")
+    assert {r.target for r in lint.dead_links(found, known, "path").collect()} == set(dead)
+
+
 def test_tokens_found(spark):
     from tarnline.functions.unicode import nfkc
 
@@ -163,3 +174,67 @@ def test_following_keeps_groups_in_blocks(spark):
     df = spark.range(0, 400, 3).select("id", F.when(F.col("id") % 2 == 0, "a").alias("g"), F.col("id").alias("v"))
     got = {r.id: r.next for r in following(df, "g", ["id"], "v", "next", width=50).collect()}
     assert got == {i: i + 6 if i + 6 < 400 else None for i in range(0, 400, 3)}
+
+
+def test_percentiles_equal_numpy_also_where_only_a_bracket_is_ranked(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = {"even": rng.random(30_000), "skewed": rng.exponential(size=30_000) ** 6, "ties": rng.integers(0, 3, 30_000).astype(float), "few": rng.random(7), "one": np.array([5.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("few", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.a, r.b) for r in runs.percentiles(df, "g", "v", {"a": 0.5, "b": 0.95}).collect()}
+    for g, vs in values.items():
+        assert np.allclose(got[g], np.percentile(vs, [50, 95])), g
+    assert got[None] == (1.0, 1.0)
+
+
+def test_entries_and_headed_sections(spark):
+    front, body = "front matter here", "word " * 30
+    text = f"{front}\nAcetone Formula: C3H6O\nx\nBenzene\n  Formula: C6H6\ny\nToluene Formula: C7H8 {body}"
+    df = spark.createDataFrame([(1, text), (2, "no marker at all"), (3, ""), (4, None)], "k long, t string")
+    got = [(r.k, r.piece_no, r.piece) for r in chunking.entries(df, "k", "t", "Formula:", limit=100, fallback=80).orderBy("k", "piece_no").collect()]
+    assert got[:3] == [(1, 0, front), (1, 1, "Acetone Formula: C3H6O\nx\n"), (1, 2, "Benzene\n  Formula: C6H6\ny\n")]
+    assert len(got) > 5 and all(len(p) <= 80 for k, n, p in got if k == 1 and n > 2) and got[-1] == (2, 0, "no marker at all")
+    cut = chunking.headed(spark.createDataFrame([(1, "a\nSection 1: b\nSECTION  2 : c"), (2, body)], "k long, t string"), "k", "t", r"section\s+\d+\s*:", fallback=60).orderBy("k", "piece_no").collect()
+    assert [r.piece for r in cut if r.k == 1] == ["a\n", "Section 1: b\n", "SECTION  2 : c"] and sum(r.k == 2 for r in cut) == 3
+
+
+def test_semantic_build_equals_a_plain_one(spark):
+    """Against one document after another in memory: sentences over pages, windows, percentile, cap, pages, ids."""
+    import re
+
+    from tarnline.operators.embedding import _weights
+
+    rng = np.random.default_rng(8)
+    say = lambda: " ".join(rng.choice(["pump", "valve", "seal", "crane", "gas", "fire", "report", "crew"], rng.integers(2, 6)))
+    docs = {d: [(p, " ".join(say() + rng.choice([".", "?", "!"]) for _ in range(rng.integers(0, 9))) + (" " + say() if p % 2 else "")) for p in range(1, 7)] for d in ("a", "b", "c")}
+    docs["long"] = [(1, "x" * 50 + " " + "y" * 90 + ". End.")]
+    docs["none"] = [(1, ""), (2, None)]
+    expected = set()
+    for d, pages in docs.items():
+        pages = [(p, t or "") for p, t in pages]
+        full = "\n".join(t for _, t in pages if t.strip())
+        sents = [x for x in re.split(r"(?<=[.?!])\s+", full) if x.strip()]
+        vecs = _weights([" ".join(sents[max(0, i - 1) : i + 2]).lower() for i in range(len(sents))], 64).astype(float)
+        dist = [1 - a @ b / np.sqrt((a @ a) * (b @ b)) for a, b in zip(vecs, vecs[1:])]
+        limit = np.percentile(dist, 95) if dist else 0
+        groups, held = [], []
+        for i, x in enumerate(sents):
+            held.append(x)
+            if i == len(sents) - 1 or round(dist[i], 9) > round(limit, 9):
+                groups.append(" ".join(held))
+                held = []
+        pieces = [p for g in groups for p in ([g] if len(g) <= 100 else chunking.split_text(g, 100, 0))]
+        squeeze = lambda t: "".join(t.split())
+        at = 0
+        for n, piece in enumerate(pieces):
+            upto, page = 0, pages[-1][0]
+            for p, t in pages:
+                if upto <= at < upto + len(squeeze(t)):
+                    page = p
+                    break
+                upto += len(squeeze(t))
+            expected.add((d, n, f"{d}-p{page}-{n}", page, piece))
+            at += len(squeeze(piece))
+    df = spark.createDataFrame([(d, p, t) for d, pages in docs.items() for p, t in pages], "source_doc_id string, page int, text string")
+    got = {(r.source_doc_id, r.chunk_index, r.id, r.page, r.text) for r in chunking.semantic_build(df, limit=100).collect()}
+    assert got == expected and len(got) > 8
