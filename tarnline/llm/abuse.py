@@ -9,8 +9,6 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
-from operator import or_
-from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +20,8 @@ from .rolling import LETTER, Stream, kinds_and_lower
 
 #: Score of a window from which its document is a case.
 THRESHOLD = 1.0
+#: Letters from which a word of a phrase may be a slip, and slips of a phrase at most.
+SLIP_LETTERS, MOST_EDITS = 6, 2
 #: A word in at least MIN_COUNT distinct texts, in so many to all words, and in at least this share of all sources (and
 #: in MIN_SOURCES) is ordinary and no misspelling of another. A text counts once, for one source.
 ORDINARY_RATE, MIN_COUNT, SPREAD, MIN_SOURCES = 1e-5, 8, 0.25, 3
@@ -55,34 +55,51 @@ HARMLESS: dict[str, str] = {
 }
 # Words by which a window speaks to or of a person.
 PERSON = r"\b(?:you|your|yours|yourself|u|he|she|her|his|him|they|their|them|who ?ever|people|folks?|kids|crews?|women|men|migrants|foreigners|everybody|nobody|those|our|du|dich|dir|dein\w*|ihr|euch|sie|leute|fremden?|diese|frauen|so ein|tu|te|toi|t[’']|ton|ta|tes|vous|ils|elles|ces|gens|étrangers|espèce de|quel|eres|tú|ti|te|tu|usted\w*|ellos|esos|extranjeros|gente|pedazo de|qué|nadie|is a|is an)\b"
-# Harm wished, threatened or urged, a group degraded, sexual demands; no lexicon word is needed.
-HARM = [
-    # threats
-    r"\b(?:i|we) ?(?:will|shall|[’']ll|am going to|gonna|are going to|would)?\b.{0,60}\b(?:cut|kill|stab|shoot|hurt|beat|strangle|burn|break|hunt|bury|drown|choke|smash|end|slit|crush) (?:you|your|him|her|them|it down)\b",
-    r"\bknow where you live\b|\bfind out where you live\b|\bbefore someone hurts you\b|\bwatch your back\b|\b(?:break|smash|knock|bash|slit) your (?:fingers|neck|legs|arms|face|bones|head|teeth|throat|skull)\b|\bwait for you behind\b|\byou are dead\b|\byou[’']re dead\b|\bdead meat\b|\bbullet in (?:you|your|his|her)\b",
-    r"\b(?:ought to|should|must|deserves? to|needs? to|want to see) (?:all )?(?:be |get |have been )?(?:fed to|beaten|buried|dragged|locked|shot|hanged|hung|drowned|gassed|burned|burnt|killed|put down|shipped out|thrown|driven off|die|suffer|hang|deported|wiped out|exterminated|castrated|sterilised|sterilized)\b(?! (?:off|out of) the (?:line|belt))",
-    r"\bsomeone should (?:lock|push|throw|shove|drop|feed|beat|kill|shut|strangle) (?:you|him|her|them)\b|\bsend them all to\b|\btakes? your (?:hand|head|arm|face|fingers?|eyes?)s? off\b",
-    r"\b(?:hope|wish|pray)\b.{0,60}\b(?:takes?|crush\w*|kills?|burns?|eats?|tears?|rips?|breaks?|swallows?|buries) (?:you|your)\b|\b(?:hope|wish|pray)\b.{0,12}\b(?:you|they|he|she) (?:all )?(?:die|rot|choke|drown|burn|suffer|bleed|get cancer|were dead)\b",
-    # urged self-harm
-    r"\b(?:hang|kill|shoot|drown|hurt|cut|off) yoursel(?:f|ves)\b|\bwhy don.{0,2}t you (?:jump|die|drink|hang|stay dead|never|go|just|kill|end)\b|\bfavou?r and (?:jump|die|drink|hang|stay dead|never wake|kill|end|disappear|vanish)|\bdo us (?:all )?a favou?r\b",
-    r"\bnever wake up\b|\bstay dead\b|\bgo (?:rot|die|to hell|hang)\b|\bdrop dead\b|\bcrawl back\b|\bnobody (?:here )?(?:wants|likes|loves|needs|would miss) you\b|\bshut (?:your|the) (?:\w+ )?(?:mouth|face|trap|gob)\b|\bget lost before\b|\bburn in hell\b",
-    # contempt
-    r"\bshit work by\b|\b(?:the|that|this|you|our|your|he|she) ?[\w ]{0,30}\b(?:is|are) (?:a|an|such a|nothing but a) (?:parasite|clown|pig|rat|loser|waste of|disgrace|joke|coward|liar|freak)\b|\bwaste of (?:air|skin|oxygen)\b|\bpiece of (?:filth|trash|garbage|dirt)\b",
-    r"\b(?:no right to exist|not deserve to (?:breathe|live|exist|draw breath)|no loss to anyone|want to vomit|disgust the whole|you disgust|everyone .{0,30} has had her|better (?:off )?(?:when your kind|without (?:you|your|them))|your (?:sort|kind|whole family) (?:make|is|are|should|ought|would|do|have))\b",
-    # groups
-    r"\b(?:breed like|are (?:all )?(?:animals|vermin|rats|filth|scum|subhuman|savages|cockroaches|parasites|criminals|thieves|apes|monkeys|inferior)|animals, not people|not (?:even )?human|too stupid to be|steal everything|should all be shipped|driven off the site|never come back|inferior race|master race|wipe them out|exterminate)\b",
-    r"\b(?:never hire|keep) (?:the |those |these )?[\w ]{2,40}?(?:they (?:are|do|breed|should)|away from the canteen)|\bback to (?:where you came from|your (?:own )?country)\b|\b(?:women|girls|wives) (?:belong|should stay) (?:in|at)\b",
-    # sexual demands and harassment
-    r"\bget you naked\b|\byou naked\b|\bnaked (?:webcam|girls?|women|pictures|photos|pics)\b|\b(?:her|your) (?:tits|ass|breasts|boobs|pussy|thighs)\b|\bon her knees\b|\bmoans? louder\b|\bsend (?:me )?(?:nudes?|naked)\b|\bsex (?:videos?|chat|tonight|with (?:you|me|her))\b|\bgrabbed her\b|\b(?:nude|naked) (?:pictures?|photos?|pics)\b",
-    r"\bsit on my (?:lap|face)\b|\bsleep with me\b|\bsuck my\b|\bbend over\b.{0,20}\b(?:baby|for me|sweet\w*|honey)|\btake off your (?:clothes|shirt|dress|bra|top|overalls?)\b|\bspread your legs\b|\bshow me your (?:tits|body|breasts|boobs|ass)\b|\bwant (?:your|her) body\b|\bin my bed\b",
-    # German
-    r"\b(?:verreck\w*|krepier\w*|stirb|erschieß\w*|häng dich auf|bring(?:e)? (?:ich )?dich um|mach(?:e)? dich fertig|zerquetscht dich|hoffentlich .{0,60} dich|leute wie (?:du|ihr|die)|gar nicht leben dürfen|gehören? (?:alle )?(?:weggejagt|vergast|erschossen|abgeschoben|eingesperrt|aufgehängt)|stehlen wie|sind (?:alle )?(?:ungeziefer|abschaum|ratten|tiere|dreck|parasiten|verbrecher)|fick dich|leck mich|halt (?:endlich )?(?:die|deine|dein) (?:fresse|klappe|maul|schnauze)|nackte (?:frauen|mädchen)|schick mir nackt\w+|zieh dich aus|zeig mir deine|niemand (?:will|braucht|mag) dich|fahr zur hölle|geh sterben|weiß,? wo du wohnst|schlag\w* (?:ich )?dir|polier\w* dir|stech\w* dich|an den herd|minderwertig\w*|ausrotten|raus mit (?:den|diesen|euch))\b",
-    # French
-    r"(?:\bqu[’']ils crèvent|\bque tu crèves|\bcrève\b|\bva (?:te (?:faire|pendre|jeter)|crever|mourir)|\bte (?:broiera|broiera|tuer|casser|crever|buter|défoncer|faire foutre)|\bpersonne ne (?:veut de toi|t[’']aime)|\bdans ton trou|\bferme ta|\bdégage\b|\b(?:sont|c[’']est) (?:tous )?(?:de la|des|du) (?:vermine|parasites|rats|ordures?|animaux|racaille|voleurs|sous-hommes)|\bdes gens comme (?:toi|vous|eux)|\bte voir nue|\bfilles nues|\bsais où tu habites|\bsale(?:s)? (?:race|étrangers?|arabes?|juifs?|noirs?)|\brentre[zs]? chez (?:toi|vous|eux)|\bmontre(?:-moi)? tes (?:seins|fesses)|\bcouche avec moi|\bécarte les|\bà poil\b|\btu vas (?:crever|mourir|le regretter))",
-    # Spanish
-    r"(?:\bmuérete\b|\bmátate\b|\bcuélgate\b|\bque se mueran\b|\bojalá (?:te|os|se)\b|\bnadie te (?:quiere|soporta|aguanta)\b|\bgente como (?:tú|vosotros|ustedes)\b|\bno mereces? (?:respirar|vivir|existir)|\bhay que (?:echarlos|matarlos|quemarlos|expulsarlos)\b|\bson (?:todos |unos |unas )?(?:basura|plaga|ratas|animales|escoria|parásitos|ladrones)|\bfotos desnuda|\bchicas desnudas|\bvete a (?:la mierda|tu país|tomar)|\bcállate\b|\blárgate\b|\bte voy a (?:matar|cortar|romper|encontrar|rajar|partir|quemar)|\bhijos? de puta|\bsé dónde vives|\bque te (?:jodan|follen|den por)|\bchúpa(?:la|me)|\bdesnúdate|\bacuéstate conmigo|\benséñame (?:las|tus) (?:tetas|fotos)|\bcierra (?:la boca|el pico)|\bvas a morir)",
-]
-FILTH = r"\bpiece of s\S{1,4}t\b"
+# Kinds of words that the phrases below are made of.
+KINDS = {
+    "KILL": "cut kill stab shoot hurt beat strangle burn break hunt bury drown choke smash end slit crush", "THEM": "you your him her them",
+    "FATE": "beaten buried dragged locked shot hanged hung drowned gassed burned burnt killed thrown die suffer hang deported exterminated castrated sterilised sterilized",
+    "LIMB": "fingers neck legs arms face bones head teeth throat skull", "OFF": "hand hands head heads arm arms face faces finger fingers eye eyes", "HURTS": "takes take kills kill burns burn eats eat tears tear rips rip breaks break swallows swallow buries crush~",
+    "PERISH": "die rot choke drown burn suffer bleed", "JUMP": "jump die drink hang kill end", "LOW": "parasite clown pig rat loser disgrace joke coward liar freak", "SUBJECT": "the that this you our your he she",
+    "VERMIN": "animals vermin rats filth scum subhuman savages cockroaches parasites criminals thieves apes monkeys inferior", "DOES": "make is are should ought would do have",
+    "CHEST": "tits ass breasts boobs pussy thighs", "CLOTHES": "clothes shirt dress bra top overall overalls", "PICTURE": "picture pictures photo photos pic pics", "WEG": "weggejagt vergast erschossen abgeschoben eingesperrt aufgehängt", "DRECK": "ungeziefer abschaum ratten tiere dreck parasiten verbrecher",
+    "ORDURE": "vermine parasites rats ordure ordures animaux racaille voleurs", "TUER": "broiera tuer casser crever buter défoncer", "BASURA": "basura plaga ratas animales escoria parásitos ladrones", "MATAR": "matar cortar romper encontrar rajar partir quemar", "RACE": "race étranger étrangers arabe arabes juif juifs noir noirs",
+}
+# The phrases of the lexicon, in which harm is wished, threatened or urged, a person or group degraded or sex
+# demanded without any term; by weight. A word stands for itself, w~ for all that begin so, a/b for either, CAPITALS for a
+# kind of words, (a) may be left out, ..n are up to n words or signs, and __n up to n words.
+PHRASES: dict[str, tuple[float, list[str]]] = {
+    "threat": (1.0, [
+        "i/we ..11 KILL THEM", "i/we ..11 KILL it down", "know where you live", "find out where you live", "before someone hurts you", "watch your back", "break/smash/knock/bash/slit your LIMB", "wait for you behind", "you are/re dead", "dead meat", "bullet in you/your/his/her",
+        "should/must (all) (be/get) FATE", "should/must (all) have been FATE", "ought/deserve/deserves/need/needs to (all) (be/get) FATE", "ought/deserve/deserves/need/needs to have been FATE", "want to see (all) (be/get) FATE", "should/must (all) (be/get) fed to", "ought/deserve/deserves/need/needs to (all) (be/get) fed to",
+        "should/must (all) (be/get) put down", "ought/deserve/deserves/need/needs to (all) (be/get) put down", "should/must (all) (be/get) shipped/wiped out", "ought/deserve/deserves/need/needs to (all) (be/get) shipped/wiped out", "should/must (all) (be/get) driven off", "ought/deserve/deserves/need/needs to (all) (be/get) driven off",
+        "someone should lock/push/throw/shove/drop/feed/beat/kill/shut/strangle THEM", "send them all to", "take/takes your OFF off", "hope/wish/pray ..11 HURTS you/your", "hope/wish/pray ..3 you/they/he/she (all) PERISH", "hope/wish/pray ..3 you/they/he/she (all) get cancer", "hope/wish/pray ..3 you/they/he/she (all) were dead",
+        "stirb", "erschieß~", "verreck~", "krepier~", "bring/bringe (ich) dich um", "mach/mache dich fertig", "zerquetscht dich", "hoffentlich ..11 dich", "gar nicht leben dürfen", "gehöre/gehören/gehört (alle) WEG", "fahr zur hölle", "weiß (,) wo du wohnst", "schlag~ (ich) dir", "polier~ dir", "stech~ dich", "ausrotten",
+        "qu ils crèvent", "que tu crèves", "crève", "te TUER", "sais où tu habites", "tu vas crever/mourir", "tu vas le regretter", "que se mueran", "ojalá te/os/se", "no merece/mereces respirar/vivir/existir", "hay que echarlos/matarlos/quemarlos/expulsarlos", "te voy a MATAR", "sé dónde vives", "vas a morir",
+    ]),
+    "urge": (1.0, [
+        "hang/kill/shoot/drown/hurt/cut/off yourself/yourselves", "why don t you JUMP/never/go/just", "why dont you JUMP/never/go/just", "why don t you stay dead", "why dont you stay dead", "favour/favor and JUMP/disappear/vanish", "favour/favor and stay dead", "favour/favor and never wake", "do us (all) a favour/favor",
+        "never wake up", "stay dead", "go rot/die/hang", "go to hell", "drop dead", "crawl back", "nobody (here) wants/likes/loves/needs you", "nobody (here) would miss you", "shut your/the __1 mouth/face/trap/gob", "get lost before", "burn in hell",
+        "häng dich auf", "niemand will/braucht/mag dich", "geh sterben", "halt (endlich) die/deine/dein fresse/klappe/maul/schnauze", "fick dich", "leck mich", "va te faire/pendre/jeter", "va crever/mourir", "te faire foutre", "personne ne veut de toi", "personne ne t aime", "dans ton trou", "ferme ta", "dégage",
+        "muérete", "mátate", "cuélgate", "nadie te quiere/soporta/aguanta", "vete a la mierda", "vete a tu país", "vete a tomar", "cállate", "lárgate", "que te jodan/follen", "que te den por", "cierra la boca", "cierra el pico",
+    ]),
+    "contempt": (1.0, [
+        "shit work by", "SUBJECT __6 is/are a/an LOW", "SUBJECT __6 is/are such a LOW", "SUBJECT __6 is/are nothing but a LOW", "SUBJECT __6 is/are a/an waste of", "waste of air/skin/oxygen", "piece of filth/trash/garbage/dirt", "no right to exist", "not deserve to breathe/live/exist", "not deserve to draw breath", "no loss to anyone",
+        "want to vomit", "disgust the whole", "you disgust", "everyone ..6 has had her", "better (off) when your kind", "better (off) without you/your/them", "your sort/kind DOES", "your whole family DOES", "leute wie du/ihr/die", "des gens comme toi/vous/eux", "gente como tú/vosotros/ustedes", "hijo/hijos de puta",
+    ]),
+    "group": (1.0, [
+        "breed like", "are (all) VERMIN", "animals , not people", "not (even) human", "too stupid to be", "steal everything", "should all be shipped", "driven off the site", "never come back", "inferior/master race", "wipe them out", "exterminate", "never hire __8 they are/do/breed/should", "keep __8 they are/do/breed/should", "keep __8 away from the canteen",
+        "back to where you came from", "back to your (own) country", "women/girls/wives belong in/at", "women/girls/wives should stay in/at", "stehlen wie", "sind (alle) DRECK", "an den herd", "minderwertig~", "raus mit den/diesen/euch", "sont (tous) de la ORDURE", "sont (tous) des/du ORDURE", "sont (tous) des/du sous - hommes",
+        "c est (tous) de la ORDURE", "c est (tous) des/du ORDURE", "sale/sales RACE", "rentre/rentres/rentrez chez toi/vous/eux", "son (todos/unos/unas) BASURA",
+    ]),
+    "sexual": (1.0, [
+        "you naked", "naked webcam/girls/girl/women/PICTURE", "nude PICTURE", "her/your CHEST", "on her knees", "moan/moans louder", "send (me) nude/nudes/naked", "sex video/videos/chat/tonight", "sex with you/me/her", "grabbed her", "sit on my lap/face", "sleep with me", "suck my", "bend over ..4 baby/sweet~/honey", "bend over ..4 for me", "take off your CLOTHES",
+        "spread your legs", "show me your CHEST/body", "want your/her body", "in my bed", "nackte frauen/mädchen", "schick mir nackt~", "zieh dich aus", "zeig mir deine", "te voir nue", "filles nues", "montre tes seins/fesses", "montre - moi tes seins/fesses", "couche avec moi", "écarte les", "à poil",
+        "fotos desnuda", "chicas desnudas", "chúpala", "chúpame", "desnúdate", "acuéstate conmigo", "enséñame las/tus tetas/fotos",
+    ]),
+    "filth": (0.7, ["piece of shit"]),
+    "machine": (-1.0, ["be/get thrown/dragged off the line/belt", "be/get thrown/dragged out of the line/belt"]),
+}
 # Words of their own within the reach of a term of the lexicon, ordinary in a corpus of any size.
 ORDINARY = frozenset(
     ("where whole whose wholes batch batches birch butch botch price regard regards idiom idioms shank skunk spank stank swank walker wander wider wiper wiser crown sticking stinging sinking fifth filch laser lasers lower lowers looser loses salvages spine shine swing creed creek crepe "
@@ -99,7 +116,8 @@ _WORD = re.compile(r"(?:[^\W_]|[$@€](?=\w))(?:[\w*@$€!|+#.'’-]*[\w*@$€])
 _SPACED = re.compile(r"(?<![^\s(\"“«,;:])(?:[^\W\d_] ){3,}[^\W\d_](?![^\s.,;:!?)\"”»])")
 _WINDOW = re.compile(r"(?<=[.!?…])\s+|\n+")
 _LONG = re.compile(r"(\w)\1{2,}")
-_RUN = re.compile(r"\w+")
+_RUN = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"[^\W_]+|[^\w\s']")
 
 
 @functools.cache
@@ -107,10 +125,64 @@ def terms() -> dict[str, tuple[float, str]]:
     return {w: (weight, kind) for kind, (weight, listed) in LEXICON.items() for w in listed.split()}
 
 
+def phrase_forms(phrase: str) -> list[list[str]]:
+    """The forms of a phrase, with and without what may be left out; each a list of elements."""
+    forms: list[list[str]] = [[]]
+    for part in phrase.split():
+        kept = [f + [part.strip("()")] for f in forms]
+        forms = kept + forms if part[0] == "(" else kept
+    return forms
+
+
+@functools.cache
+def words_of_element(element: str) -> tuple[str, ...]:
+    """The words of an element; one that ends in ~ stands for all that begin so."""
+    return tuple(w for part in element.split("/") for w in (KINDS[part].split() if part in KINDS else (part,)))
+
+
+class Node:
+    """A node of the trie of phrases, whose edges are elements; ``gaps`` lead over words that may be anything."""
+
+    def __init__(self) -> None:
+        self.edges: dict[str, Node] = {}
+        self.gaps: dict[tuple[int, bool], Node] = {}
+        self.entry: tuple[str, str, float] | None = None
+
+
+@functools.cache
+def phrases() -> tuple[Node, dict[str, tuple[str, ...]], tuple[tuple[str, str], ...], frozenset[str], tuple[str, ...]]:
+    """The trie of all phrases; the elements of each word and of each beginning; and the words, and beginnings, of
+    the rarest element of each phrase, without one of which no phrase can stand."""
+    root, of_word, of_start = Node(), {}, {}
+    keys, starts = set(), set()
+
+    def commonness(element: str) -> float:
+        return sum(1 if w in _FREQUENT else 20.0 ** -len(w) for w in words_of_element(element))
+
+    for kind, (weight, listed) in PHRASES.items():
+        for phrase in listed:
+            for form in phrase_forms(phrase):
+                node = root
+                for element in form:
+                    if element[:2] in ("..", "__"):
+                        node = node.gaps.setdefault((int(element[2:]), element[0] == "_"), Node())
+                        continue
+                    node = node.edges.setdefault(element, Node())
+                    for w in words_of_element(element):
+                        held = of_start.setdefault(w[:-1], set()) if w[-1] == "~" else of_word.setdefault(w, set())
+                        held.add(element)
+                node.entry = (phrase, kind, weight)
+                rarest = min((e for e in form if e[:2] not in ("..", "__")), key=commonness)
+                for w in words_of_element(rarest):
+                    (starts if w[-1] == "~" else keys).add(w.rstrip("~"))
+    return root, {w: tuple(e) for w, e in of_word.items()}, tuple((w, e) for w, es in of_start.items() for e in es), frozenset(keys), tuple(starts)
+
+
 @functools.cache
 def trie() -> dict:
+    """The letters of all words of the lexicon: its terms, and the words of its phrases that are long enough for a slip."""
     root: dict = {}
-    for term in terms():
+    for term in {*terms(), *(w for w in phrases()[1] if len(w) >= SLIP_LETTERS)}:
         node = root
         for ch in term:
             node = node.setdefault(ch, {})
@@ -119,7 +191,7 @@ def trie() -> dict:
 
 
 def near_terms(word: str, most: int, first: str = "") -> list[tuple[int, str]]:
-    """Lexicon terms within ``most`` edits of ``word``: the Levenshtein automaton of the word walks the trie.
+    """Words of the lexicon within ``most`` edits of ``word``: the Levenshtein automaton of the word walks the trie.
 
     With ``first``, only terms that begin with that letter are walked.
 
@@ -151,13 +223,63 @@ def near_terms(word: str, most: int, first: str = "") -> list[tuple[int, str]]:
 
 
 @functools.lru_cache(300_000)
+def near_words(word: str) -> tuple[tuple[int, str], ...]:
+    """Words of the lexicon that a word of letters may be a slip of: one edit from 5 letters, two from 9."""
+    most = 0 if len(word) < 5 else 1 if len(word) < 9 else 2
+    return tuple((d, t) for d, t in near_terms(word, most, word[0]) if len(t) >= 5 and abs(len(t) - len(word)) <= 1) if most else ()
+
+
 def slip_of(word: str) -> str | None:
     """The lexicon term that a word of letters may be a slip of."""
-    most = 0 if len(word) < 5 else 1 if len(word) < 9 else 2
-    if not most:
-        return None
-    hits = [t for _, t in near_terms(word, most, word[0]) if len(t) >= 5 and abs(len(t) - len(word)) <= 1]
-    return hits[0] if hits else None
+    return next((t for _, t in near_words(word) if t in terms()), None)
+
+
+@functools.lru_cache(300_000)
+def elements_of(word: str) -> tuple[tuple[str, int], ...]:
+    """The elements of phrases that a word stands for, with the edits that this takes; a long word may be a slip."""
+    _, of_word, of_start, _, _ = phrases()
+    exact = of_word.get(word, ()) + tuple(e for start, e in of_start if word.startswith(start))
+    if exact or len(word) < SLIP_LETTERS or word in terms() or word in ORDINARY:
+        return tuple((e, 0) for e in exact)
+    return tuple((e, d) for d, w in near_words(word) if d == 1 and len(w) >= SLIP_LETTERS for e in of_word.get(w, ()))
+
+
+@functools.lru_cache(300_000)
+def is_key(word: str) -> bool:
+    """Whether a phrase may stand around ``word``: windows without such a word are not walked."""
+    _, _, _, keys, starts = phrases()
+    if word in keys or word.startswith(starts):
+        return True
+    return len(word) >= SLIP_LETTERS and word not in terms() and word not in ORDINARY and word not in phrases()[1] and any(d == 1 and w in keys and len(w) >= SLIP_LETTERS for d, w in near_words(word))
+
+
+def phrases_in(window: str) -> list[tuple[str, str, float, int]]:
+    """The phrases of a window (``phrase, kind, weight, edits``), found by walking the trie of phrases from every word."""
+    words = _TOKEN.findall(window)
+    if not any(map(is_key, words)):
+        return []
+    elements = [elements_of(w) for w in words]
+    n = len(words)
+    found: dict[str, tuple[str, str, float, int]] = {}
+
+    def walk(node: Node, i: int, edits: int) -> None:
+        if node.entry is not None and (node.entry[0] not in found or found[node.entry[0]][3] > edits):
+            found[node.entry[0]] = (*node.entry, edits)
+        if i < n:
+            for element, d in elements[i]:
+                child = node.edges.get(element)
+                if child is not None and edits + d <= MOST_EDITS:
+                    walk(child, i + 1, edits + d)
+        for (most, words_only), child in node.gaps.items():
+            for j in range(i, min(n, i + most + 1)):
+                if words_only and j > i and not words[j - 1][0].isalnum():
+                    break
+                walk(child, j, edits)
+
+    root = phrases()[0]
+    for i in range(n):
+        walk(root, i, 0)
+    return list(found.values())
 
 
 def swap_of(word: str) -> str | None:
@@ -177,14 +299,21 @@ def term_of(word: str, ordinary: frozenset[str] | set[str]) -> tuple[str, bool |
     listed = terms()
     if word in listed:
         return word, False
+    word = word.removesuffix("'s").replace("#", "*")
+    if len(word) > 4 and not word[1].isalnum() and word[1] != "*" and all(len(p) == 1 for p in word.split(word[1])):
+        word = word.replace(word[1], "")  # letters set apart by signs
+        if word in listed:
+            return word, True
+    elif word in listed:
+        return word, False
     letters = sum(c.isalpha() for c in word)
     if letters < 1 or len(word) < 3 or len(word) > 24 and len(_LONG.sub(r"\1", word)) > 24:
         return None
     if "*" in word:
         if word.count("*") + letters != len(word) or len(word) < 3:
             return None
-        hits = near_terms(word, 0)
-        return (hits[0][1], True) if hits else None
+        hits = [t for _, t in near_terms(word, 0) if t in listed]
+        return (hits[0], True) if hits else None
     plain = word
     if not word.isalpha():
         if any(c in "-'’#" for c in word) or letters < 1:
@@ -215,84 +344,13 @@ def term_of(word: str, ordinary: frozenset[str] | set[str]) -> tuple[str, bool |
 
 @functools.cache
 def _compiled():
-    return (
-        re.compile(PERSON), [re.compile(h) for h in HARM], re.compile(ABOUT), {k: re.compile(v) for k, v in HARMLESS.items()},
-        re.compile(FILTH),
-    )
+    return re.compile(PERSON), re.compile(ABOUT), {k: re.compile(v) for k, v in HARMLESS.items()}
 
 
 # Words too frequent to search a window for; they decide which words of a phrase are looked for, not what is found.
 _FREQUENT = frozenset("i we he she you your her him them that this the with are is and before after behind should must will would where why what when take right better keep want end all anyone everyone que dans comme son sind die is a an to be in on at".split())
 
 
-def _needed(items, left: bool, right: bool) -> set[tuple[str, bool]] | None:
-    """Runs of letters of which every match of a parsed pattern holds at least one; None if there is no such set.
-
-    Each comes with whether it is a whole word. ``left`` and ``right`` say whether a word ends before and after
-    the pattern. Of several such sets the one with the rarest runs is taken, by their lengths.
-    """
-    items = list(items)
-
-    def ends(op, value) -> bool:
-        return op is _parser.AT and value is _parser.AT_BOUNDARY or op is _parser.LITERAL and not (chr(value).isalnum() or value == 95)
-
-    choices: list[set[tuple[str, bool]]] = []
-    at = 0
-    while at < len(items):
-        op, value = items[at]
-        stop = at + 1
-        before = ends(*items[at - 1]) if at else left
-        if op is _parser.LITERAL and chr(value).isalpha():
-            while stop < len(items) and items[stop][0] is _parser.LITERAL and chr(items[stop][1]).isalpha():
-                stop += 1
-        after = ends(*items[stop]) if stop < len(items) else right
-        found: set[tuple[str, bool]] | None = None
-        if op is _parser.LITERAL and chr(value).isalpha():
-            found = {("".join(chr(v) for _, v in items[at:stop]), before and after)}
-        elif op is _parser.SUBPATTERN:
-            found = _needed(value[3], before, after)
-        elif op is _parser.BRANCH:
-            parts = [_needed(part, before, after) for part in value[1]]
-            found = None if None in parts else set().union(*parts)
-        elif op is _parser.MAX_REPEAT and value[0] >= 1:
-            found = _needed(value[2], before and value[1] == 1, after and value[1] == 1)
-        if found:
-            choices.append(found)
-        at = stop
-    return min(choices, key=lambda c: sum(1 if run in _FREQUENT else 20.0 ** -len(run) / (1 + 19 * whole) for run, whole in c)) if choices else None
-
-
-@functools.cache
-def triggers() -> tuple[dict[str, int], list[tuple[str, int]]]:
-    """Words, and parts of words, without one of which a phrase of harm cannot stand, each with the bits of its phrases.
-
-    They are derived from the phrases themselves, of which FILTH is the last.
-    """
-    words: dict[str, int] = {}
-    parts: dict[str, int] = {}
-    for k, phrase in enumerate((*HARM, FILTH)):
-        needed = _needed(_parser.parse(phrase), False, False)
-        if needed is None:
-            raise ValueError(f"a phrase that any text may hold: {phrase}")
-        for run, whole in needed:
-            into = words if whole else parts
-            into[run] = into.get(run, 0) | 1 << k
-    return words, list(parts.items())
-
-
-@functools.lru_cache(300_000)
-def may_harm(word: str) -> int:
-    """The phrases of harm, as bits, that may stand around ``word``; a window is searched for those of its words only."""
-    words, parts = triggers()
-    bits = 0
-    for run in _RUN.findall(word):
-        bits |= words.get(run, 0)
-    for part, of in parts:
-        if part in word:
-            bits |= of
-    return bits
-
-
 def _joined(spaced: re.Match) -> str:
     """Letters set apart, as one word; a word of one letter before or after them stays apart."""
     word = spaced[0].replace(" ", "")
@@ -305,56 +363,56 @@ def _joined(spaced: re.Match) -> str:
     return word
 
 
-def score_windows(text: str, lookup) -> tuple[float, str | None]:
-    """The highest window score of a text and the kind behind it."""
-    person, harm, about, harmless, shit = _compiled()
-    best, best_kind = 0.0, None
+def edits(a: str, b: str) -> int:
+    """Edit distance of two words; a letter more of a stretched one counts too."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def score_windows(text: str, lookup) -> tuple[float, str | None, str | None, int | None]:
+    """The highest window score of a text, the kind behind it, and the first entry of the lexicon met there with the
+    edits between it and the text."""
+    person, about, harmless = _compiled()
+    best: tuple[float, str | None, str | None, int | None] = (0.0, None, None, None)
     low = text.lower().replace("’", "'")
     low = _SPACED.sub(_joined, low)
     seen = set(_WORD.findall(low))
-    if not any(map(may_harm, seen)) and not any(map(lookup, seen)):
-        return 0.0, None
+    if not any(is_key(run) for word in seen for run in _RUN.findall(word)) and not any(map(lookup, seen)):
+        return best
     for window in _WINDOW.split(low):
-        hits: list[tuple[float, str, str]] = []
-        swaps: list[tuple[str, str]] = []
-        found = _WORD.findall(window)
-        met = [(raw, *hit) for raw in found if (hit := lookup(raw)) is not None]
+        met = [(raw, *hit) for raw in _WORD.findall(window) if (hit := lookup(raw)) is not None]
         if any(hidden is None for _, _, hidden in met) and all(hidden is None for _, _, hidden in met) and not person.search(window):
             met = []
         for raw, term, hidden in met:
-            hidden = hidden is not False
+            if hidden is not False:
+                window = window.replace(raw, term)
+        score, kind_found, entry, distance = 0.0, None, None, None
+        for raw, term, hidden in met:
             weight, kind = terms()[term]
-            if hidden:
-                swaps.append((raw, term))
-            hits.append((weight + 0.25 * hidden, kind, term))
-        bits = functools.reduce(or_, map(may_harm, found), 0)
-        if not hits and not bits:
-            continue
-        for raw, term in swaps:
-            window = window.replace(raw, term)
-            bits = -1
-        score, kind_found = 0.0, None
-        for weight, kind, term in hits:
+            weight += 0.25 * (hidden is not False)
             rule = harmless.get(term)
             if rule is not None and rule.search(window):
                 continue
-            if kind == "slight" and not person.search(window):
-                weight *= 0.6
-            elif kind == "slight":
-                weight *= 1.4
+            if kind == "slight":
+                weight *= 1.4 if person.search(window) else 0.6
             score += weight
-            kind_found = kind_found or ("sexual" if kind == "sexual" else "insult")
-        flat = window.replace("'", "’") if "'" in window else window
-        if any(bits >> k & 1 and (phrase.search(window) or phrase.search(flat)) for k, phrase in enumerate(harm)):
-            score += 1.0
-            kind_found = kind_found or "harm"
-        if shit.search(window):
-            score += 0.7
-        if score and about.search(window):
+            if entry is None:
+                kind_found, entry, distance = "sexual" if kind == "sexual" else "insult", term, edits(raw.strip(".'-!|+"), term)
+        of_kind: dict[str, float] = {}
+        for phrase, kind, weight, d in phrases_in(window):
+            of_kind["harm" if weight == 1.0 else kind] = weight  # phrases of harm count once a window
+            if entry is None and weight > 0:
+                kind_found, entry, distance = "sexual" if kind == "sexual" else "harm", phrase, d
+        score += sum(of_kind.values())
+        if score > 0 and about.search(window):
             score -= 1.5
-        if score > best:
-            best, best_kind = score, kind_found
-    return round(best, 4), best_kind
+        if score > best[0]:
+            best = (score, kind_found, entry, distance)
+    return round(best[0], 4), *best[1:]
 
 
 @functools.lru_cache(300_000)
@@ -407,13 +465,17 @@ def ordinary_words(texts: DataFrame, rate: float = ORDINARY_RATE, least: int = M
 
 
 def abuse_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, source_col: str = "source") -> DataFrame:
-    """``id_col, score, kind, abusive`` of every row; null and empty texts score 0.
+    """``id_col, source, score, kind, entry, edits, abusive`` of every row; null and empty texts score 0.
+
+    ``entry`` is the term or phrase of the lexicon met first in the window that scores highest, and ``edits`` how far
+    the text is from it; every abusive row has both.
 
     Two passes: counts of words give the ordinary vocabulary (bounded by its rate, broadcast); then every whole
     text is scored where it lies. Rows under a repeated id each give a row. Without ``source_col`` no word can be
     seen to spread over sources, and only the fixed ORDINARY words are exempt.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = F.col(source_col).cast("string") if source_col in df.columns else F.lit(None).cast("string")
+    rows = df.select(F.col(id_col).alias("id"), source.alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     usual: frozenset[str] = frozenset()
     if source_col in df.columns:
         usual = ordinary_words(df.select(F.col(text_col).alias("text"), F.col(source_col).alias("source")).where("text <> ''"))
@@ -436,20 +498,19 @@ def abuse_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             scored = [score_windows(t, lookup) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([s for s, _ in scored], pa.float64()), pa.array([k for _, k in scored], pa.string())],
-                names=["id", "score", "kind"],
+                [batch.column("id"), batch.column("source")] + [pa.array([x[k] for x in scored], t) for k, t in enumerate((pa.float64(), pa.string(), pa.string(), pa.int32()))],
+                names=["id", "source", "score", "kind", "entry", "edits"],
             )
 
     return (
-        rows.mapInArrow(score, f"id {kind_of_id}, score double, kind string").withColumnRenamed("id", id_col)
+        rows.mapInArrow(score, f"id {kind_of_id}, source string, score double, kind string, entry string, edits int").withColumnRenamed("id", id_col)
         .withColumn("abusive", F.col("score") >= threshold)
     )
 
 
-def abuse_rates(df: DataFrame, scores: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``source, docs, abusive_docs, rate`` per source; a null source is a group of its own."""
+def abuse_rates(scores: DataFrame) -> DataFrame:
+    """``source, docs, abusive_docs, rate`` per source of scored rows; a null source is a group of its own."""
     return (
-        df.select(id_col, source_col).join(scores, id_col).groupBy(F.col(source_col).alias("source"))
-        .agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("abusive").cast("long")).alias("abusive_docs"))
+        scores.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("abusive").cast("long")).alias("abusive_docs"))
         .withColumn("rate", F.round(F.col("abusive_docs") / F.col("docs"), 6))
     )

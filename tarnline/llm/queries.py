@@ -129,8 +129,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .abuse import abuse_rates, abuse_scores
 
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    return abuse_rates(docs, abuse_scores(docs))
+    return abuse_rates(abuse_scores(read_table(spark, sf_dir, "documents", "doc_id", "source", "text")))
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,8 @@ def test_automaton_equals_edit_distance(word, most):
                     d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
         return d[len(a), len(b)]
 
-    expected = sorted((distance(word, t), t) for t in A.terms() if distance(word, t) <= most)
+    listed = {*A.terms(), *(w for w in A.phrases()[1] if len(w) >= A.SLIP_LETTERS)}
+    expected = sorted((distance(word, t), t) for t in listed if distance(word, t) <= most)
     assert A.near_terms(word, most) == expected
 
 
@@ -49,10 +50,11 @@ def test_rows(spark):
     rows = [(1, "a", "You idiot."), (2, "a", "Fine."), (3, None, None), (4, "b", ""), (1, "a", "You idiot."), (5, "b", "Fine words. " * 20_000 + "You bastard.")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "'x' AS score", "1 AS id")
     scores = A.abuse_scores(df)
+    assert all((r.entry is not None and r.edits is not None) == (r.score > 0) for r in scores.collect())
     assert sorted((r.doc_id, r.abusive) for r in scores.collect()) == [(1, True), (1, True), (2, False), (3, False), (4, False), (5, True)]
     assert A.abuse_scores(df.where("false")).count() == 0
     once = df.dropDuplicates(["doc_id"])
-    rates = {r.source: (r.docs, r.abusive_docs, r.rate) for r in A.abuse_rates(once, A.abuse_scores(once)).collect()}
+    rates = {r.source: (r.docs, r.abusive_docs, r.rate) for r in A.abuse_rates(A.abuse_scores(once)).collect()}
     assert rates == {"a": (2, 1, 0.5), "b": (2, 1, 0.5), None: (1, 0, 0.0)}
 
 
@@ -64,10 +66,14 @@ def test_held_out_labels(spark):
     if not os.path.isdir(folder):
         pytest.skip("no test tables here")
     labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL")
-    docs = spark.read.parquet(f"{folder}/documents.parquet").join(labels, "doc_id")
-    joined = A.abuse_scores(docs).join(labels, "doc_id").toPandas()
-    hit = joined[joined.abusive]
+    joined = A.abuse_scores(spark.read.parquet(f"{folder}/documents.parquet")).join(labels, "doc_id").toPandas()
+    hit, miss = joined[joined.abusive], joined[~joined.abusive]
     assert (hit.toxic == 1).mean() > 0.95 and len(hit) > 50
+    # Of the documents found some bear the label 0: that is the rate of wrong labels, which also turns as large a share of
+    # the sound documents into toxic ones. What goes beyond that among those not found would be missed.
+    wrong = max((hit.toxic == 0).mean(), 0.02)
+    missed = max(0.0, (miss.toxic == 1).sum() - wrong * len(miss) - 2 * (wrong * len(miss)) ** 0.5)
+    assert len(hit) / (len(hit) + missed) >= 0.9
 
 
 @pytest.mark.parametrize(
@@ -78,40 +84,42 @@ def test_harm_without_a_listed_word(text):
     assert score(text) >= A.THRESHOLD and score("The valve is closed. " * 50 + text) >= A.THRESHOLD
 
 
-def sample(items, draw):
-    """A text that a parsed pattern matches, up to boundaries and lookarounds."""
-    out = ""
-    for op, value in items:
-        name = str(op)
-        if name == "LITERAL":
-            out += chr(value)
-        elif name == "ANY":
-            out += " "
-        elif name == "IN":
-            out += draw.choice([chr(v) if str(o) == "LITERAL" else "o" for o, v in value if str(o) != "NEGATE"])
-        elif name == "SUBPATTERN":
-            out += sample(value[3], draw)
-        elif name == "BRANCH":
-            out += sample(draw.choice(value[1]), draw)
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
-            out += "".join(sample(value[2], draw) for _ in range(draw.choice([value[0], min(value[1], value[0] + 3)])))
-        elif name not in ("AT", "ASSERT", "ASSERT_NOT"):
-            raise ValueError(name)
-    return out
-
-
-@pytest.mark.parametrize("k", range(len(A.HARM) + 1))
-def test_every_phrase_passes_its_words(k):
+def said(phrase, draw):
+    """A sentence that a phrase of the lexicon stands for."""
+    out = []
+    for element in draw.choice(A.phrase_forms(phrase)):
+        if element[:2] in ("..", "__"):
+            out += ["zulu"] * draw.randint(0, int(element[2:]))
+        else:
+            out.append(draw.choice(A.words_of_element(element)).replace("~", "en"))
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("kind", sorted(A.PHRASES))
+def test_every_phrase_is_found_whatever_its_words(kind):
     import random
-    import re
-
-    draw, phrase, met = random.Random(k), (*A.HARM, A.FILTH)[k], 0
-    for _ in range(1500):
-        text = sample(re._parser.parse(phrase), draw)
-        if re.search(phrase, text):
-            met += 1
-            assert any(A.may_harm(w) >> k & 1 for w in A._WORD.findall(text)), text
-    assert met > 100
+
+    draw = random.Random(kind)
+    for phrase in A.PHRASES[kind][1]:
+        for _ in range(12):
+            text = said(phrase, draw)
+            assert phrase in {p for p, *_ in A.phrases_in(text)}, (phrase, text)
+            assert kind in ("filth", "machine") or score("The valve is closed. " * 9 + text) >= A.THRESHOLD or A._compiled()[1].search(text)
+
+
+@pytest.mark.parametrize("text, edits", [("The foreman ought to be strangeld or hangedd, he should be burried.", 1), ("Nobody here wants you.", 0), ("They shuold all be shipped out, they shoud be exterminatd.", 1)])
+def test_slips_inside_phrases(text, edits):
+    assert min(d for *_, d in A.phrases_in(text.lower())) == edits
+
+
+@pytest.mark.parametrize("text", ["You f.u.c.k!", "You f-u-c-k.", "The cunt's here, you cnut.", "You f#ck.", "You shti head, you phuck."])
+def test_letters_apart_and_endings(text):
+    assert score(text) >= A.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["The bag must be thrown off the belt.", "Keep valves closed; they are hot.", "We cut the pipe and you hold it."])
+def test_machines_are_no_persons(text):
+    assert score(text) < A.THRESHOLD
 
 
 def test_frequency_alone_excuses_no_word(spark):
