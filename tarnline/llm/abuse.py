@@ -381,10 +381,15 @@ def score_windows(text: str, lookup) -> tuple[float, str | None, str | None, int
     low = text.lower().replace("’", "'")
     low = _SPACED.sub(_joined, low)
     seen = set(_WORD.findall(low))
-    if not any(is_key(run) for word in seen for run in _RUN.findall(word)) and not any(map(lookup, seen)):
+    terms_here = [w for w in seen if lookup(w) is not None]
+    keys_here = {run for word in seen for run in ((word,) if word.isalpha() else _RUN.findall(word)) if is_key(run)}
+    if not terms_here and not keys_here:
         return best
     for window in _WINDOW.split(low):
-        met = [(raw, *hit) for raw in _WORD.findall(window) if (hit := lookup(raw)) is not None]
+        named = any(w in window for w in terms_here)
+        if not named and not any(k in window for k in keys_here):
+            continue
+        met = [(raw, *hit) for raw in _WORD.findall(window) if (hit := lookup(raw)) is not None] if named else []
         if any(hidden is None for _, _, hidden in met) and all(hidden is None for _, _, hidden in met) and not person.search(window):
             met = []
         for raw, term, hidden in met:
