@@ -23,7 +23,7 @@ ROUNDS = 1
 
 # The observation of a line is a mixed-radix number of these categories.
 CATEGORIES = (
-    ("marker", 2), ("leader", 2), ("columns", 3), ("figures", 4), ("end", 4), ("start", 3), ("length", 5), ("common", 3), ("odd", 4), ("follows", 2),
+    ("marker", 2), ("leader", 2), ("columns", 3), ("figures", 4), ("end", 4), ("start", 3), ("length", 5), ("common", 3), ("odd", 4), ("follows", 2), ("strung", 2),
 )
 RADIX = tuple(n for _, n in CATEGORIES)
 CODES = int(np.prod(RADIX))
@@ -42,6 +42,8 @@ _DEBRIS = (0xC3, 0xC2, 0xE2, 0xEF, 0xBF, 0xBD, 0xFFFD, 0x20AC, 0x2122, 0x153, 0x
 SOLID, DIGIT, SYMBOL, DEBRIS = 1, 2, 4, 8
 #: Characters that count as a word where a line has fewer words than that: junk and figures come without spaces.
 CHARS_PER_WORD = 7
+#: A line of so many words, of which less than this share are common, and without an end, strings key words together.
+STRUNG_WORDS, STRUNG_SHARE = 20, 0.4
 _TAIL = "\"'”»’)]"
 
 
@@ -203,6 +205,7 @@ def line_statistics(texts: list[str], known: np.ndarray, common: np.ndarray) ->
     observed = (
         marker, leader, np.minimum(gaps, 2), np.digitize(figure_share, (1e-9, 0.3, 0.5)), end, start,
         np.digitize(words, (1, 4, 8, 13)), np.digitize(share, (1e-9, 0.25)), odd, joined_on,
+        (words >= STRUNG_WORDS) & (share < STRUNG_SHARE) & ~final & (gaps < 2) & (figure_share < 0.3),
     )
     code = np.zeros(n, dtype=np.int64)
     for values, size in zip(observed, RADIX):
@@ -234,6 +237,7 @@ def seed_labels(codes: np.ndarray) -> np.ndarray:
     out[o["leader"] == 1] = 1
     columns = (o["columns"] == 2) & ((o["figures"] >= 2) | (o["common"] == 0))
     out[(o["leader"] == 0) & (o["marker"] == 0) & (o["end"] != 0) & ((o["figures"] == 3) | columns) & (o["length"] <= 3)] = 2
+    out[o["strung"] == 1] = 3
     out[(o["odd"] == 3) | (o["odd"] == 2) & (o["common"] == 0) & (o["leader"] == 0) & (o["columns"] < 2)] = 3
     return out
 

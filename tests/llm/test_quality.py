@@ -12,6 +12,18 @@ TABLE = "Tag\tLimit\tUnit\nGP-207\t12\t4.5\nHE-101\t99\t7.2\nflow meter\t21\t8.8
 JUNK = "]?</\\<{+<|@~>=$>]^$}#}!<@@&\\<>>>\\?^/|>\n][+&/=]}^{$$>[~{}<>|\\~^%%#*^?%}]<*%~#"
 
 
+KEYWORDS = " ".join(["gate valve", "boiler drum", "flow meter", "heat exchanger", "screw auger", "belt conveyor", "spray dryer", "quench tank", "rotary feeder"] * 5)
+
+
+def test_strung_key_words_are_junk():
+    """A long line of words that no common word joins is junk; the same length of running words is not."""
+    _, codes, kind, low = Q._decoded([PROSE])
+    common = np.unique(Q._words_of(codes, kind, low)[2].view(np.int64))
+    running = PROSE.replace(".", "").lower()
+    s = Q.line_statistics([KEYWORDS, running, KEYWORDS + ".", "gate valve boiler drum"], common, common)
+    assert Q.unpacked(s["code"])["strung"].tolist() == [1, 0, 0, 0] and Q.seed_labels(s["code"])[0] == Q.LABELS.index("junk")
+
+
 def frame(spark, n=40):
     rows = []
     for i in range(n):
