@@ -6,6 +6,7 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,28 +14,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"[a-z0-9]+|\n")
+_WORD = re.compile(r"[a-z0-9]+")
 
 
-@functools.lru_cache(200_000)
-def _feature(word: str, size: int) -> tuple[int, int]:
-    """Bucket and sign of a word, from its digest."""
-    digest = hashlib.md5(word.encode()).hexdigest()
-    return int(digest[:6], 16) % size, 1 - 2 * (int(digest[6], 16) % 2)
+class _Features(dict):
+    """Word -> bucket and sign from its digest, as one number; emptied when it has grown large."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        digest = hashlib.md5(word.encode()).hexdigest()
+        self[word] = code = 2 * (int(digest[:6], 16) % self.size) + int(digest[6], 16) % 2
+        return code
+
+
+@functools.cache
+def _features(size: int) -> _Features:
+    return _Features(size)
 
 
 def _weights(texts: list[str | None], size: int) -> np.ndarray:
     """One row of signed bucket sums a text."""
-    rows, buckets, signs = [], [], []
-    for i, text in enumerate(texts):
-        for word in _WORD.findall(text or ""):
-            if word != "\n":
-                bucket, sign = _feature(word, size)
-                rows.append(i)
-                buckets.append(bucket)
-                signs.append(sign)
-    at = np.asarray(rows, dtype=np.int64) * size + np.asarray(buckets, dtype=np.int64)
-    return np.bincount(at, weights=signs, minlength=len(texts) * size).astype(np.int64).reshape(len(texts), size)
+    found = [_WORD.findall(text) if text else [] for text in texts]
+    n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    code = np.fromiter(map(_features(size).__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(n.sum()))
+    at = np.repeat(np.arange(len(texts)), n) * size + (code >> 1)
+    return np.bincount(at, weights=1 - 2 * (code & 1), minlength=len(texts) * size).astype(np.int64).reshape(len(texts), size)
 
 
 def hashed_features(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
