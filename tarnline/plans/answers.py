@@ -153,7 +153,17 @@ def pipeline_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("eval_id", F.coalesce("n_answers", zero).alias("n_answers"), F.coalesce("n_different", zero).alias("n_different"), "last_id", F.coalesce("n_refused", zero).alias("n_refused"))
 
 
-@query()
+_SAID = r"list_filter(string_split(regexp_replace(text, '([.?!])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: regexp_matches(x, '\S'))"
+_SPOKEN = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT eval_id, source_doc_id[i] AS doc, source_page[i] AS page FROM dataset, unnest(range(1, least(len(source_doc_id), len(source_page)) + 1)) AS t(i)),
+    said AS (SELECT ingest_id, doc, page, i AS pos, parts[i] AS sentence, {_SPOKEN.format('parts[i]')} AS w
+             FROM (SELECT ingest_id, source_doc_id AS doc, page, {_SAID} AS parts FROM ingest WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS t(i)),
+    asked AS (SELECT eval_id, {_SPOKEN.format('question')} AS q FROM dataset),
+    scored AS (SELECT c.eval_id, ingest_id, pos, sentence, len(list_intersect(q, w)) AS n FROM c JOIN said USING (doc, page) JOIN asked ON asked.eval_id = c.eval_id),
+    best AS (SELECT *, row_number() OVER (PARTITION BY eval_id ORDER BY n DESC, ingest_id, pos) AS nth FROM scored)
+    SELECT d.eval_id, CASE WHEN n > 0 THEN sentence END AS sentence, coalesce(n, 0) AS overlap FROM dataset d LEFT JOIN best ON best.eval_id = d.eval_id AND nth = 1""")
 def answer_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best sentence for each question from the rows of its cited pages."""
     questions = table(spark, sf_dir, "dataset", "eval_id", "question", "source_doc_id", "source_page")
