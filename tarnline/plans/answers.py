@@ -173,7 +173,9 @@ def answer_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(questions, near, "eval_id", "question", "text")
 
 
-@query()
+@query(_CITED + """, listed AS (SELECT response_id, string_agg('{"document":' || CAST(to_json(document) AS VARCHAR) || ',"page":' || page || '}', ',' ORDER BY place) AS c FROM cited GROUP BY 1)
+    SELECT a.response_id, '{"answer":' || CAST(to_json(coalesce(answer, '')) AS VARCHAR) || ',"citations":[' || coalesce(c, '') || ']' || CASE WHEN route IS NULL THEN '' ELSE ',"route":' || CAST(to_json(route) AS VARCHAR) END
+        || CASE WHEN nullif(source_doc_id, '') IS NULL THEN '' ELSE ',"source_doc_id":' || CAST(to_json(source_doc_id) AS VARCHAR) END || '}' AS response FROM askresponse a LEFT JOIN listed USING (response_id)""")
 def ask_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each answer as the JSON of a response: its text, its citations once each and in order, its route."""
     rows = table(spark, sf_dir, "askresponse", "response_id", "answer", "route", "source_doc_id")
