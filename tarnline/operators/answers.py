@@ -46,14 +46,19 @@ def tokens_found(tokens: DataFrame, pages: DataFrame, key: str, doc: str, page:
     return tokens.select(key).join(found, key, "left").select(key, F.coalesce("found", F.lit(False)).alias("found"))
 
 
+def best_sentence(asked: Column, text: Column, rank: Column) -> Column:
+    """``n, r, p, s``: the sentence of a text that shares most words with ``asked``, the first of equals; the largest of several contexts is the best, by rank of equals."""
+    scored = lambda s, i: F.struct(F.size(F.array_intersect(asked, words(s))).alias("n"), (-rank).alias("r"), (-i).alias("p"), s.alias("s"))
+    return F.array_max(F.transform(sentences(text), scored))
+
+
 def extracted(questions: DataFrame, contexts: DataFrame, key: str, question: str, text: str) -> DataFrame:
     """``key, sentence, overlap``: the sentence that shares most distinct words with the question, the earliest of equals.
 
     ``contexts`` has ``key, rank`` and the text; questions without a shared word give a null sentence.
     """
     asked = questions.select(key, F.array_distinct(words(F.col(question))).alias("_asked"))
-    offered = contexts.select(key, "rank", F.posexplode(sentences(F.col(text))).alias("_pos", "_sentence"))
-    scored = offered.join(asked, key).withColumn("_n", F.size(F.array_intersect("_asked", words(F.col("_sentence")))))
-    best = scored.groupBy(key).agg(F.max(F.struct(F.col("_n").alias("n"), (-F.col("rank")).alias("r"), (-F.col("_pos")).alias("p"), F.col("_sentence").alias("s"))).alias("_best"))
+    scored = contexts.join(asked, key).select(key, best_sentence(F.col("_asked"), F.col(text), F.col("rank")).alias("_best"))
+    best = scored.groupBy(key).agg(F.max("_best").alias("_best"))
     picked = best.select(key, F.when(F.col("_best.n") > 0, F.col("_best.s")).alias("sentence"), F.col("_best.n").cast("long").alias("overlap"))
     return questions.select(key).join(picked, key, "left").select(key, "sentence", F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"))

@@ -63,10 +63,13 @@ def hashed_features(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def embedded(df: DataFrame, text: str, into: str, size: int) -> DataFrame:
-    """``df`` with ``into``: the hashed features of each text as a dense vector; one vector a row, so none can be lost."""
+    """``df`` with ``into``: the hashed features of each text as a dense vector; one vector a row, so none can be lost.
+
+    The function counts as nondeterministic, as a filter on the vector would else be pushed below it and compute it again.
+    """
 
     @F.pandas_udf("array<float>")
     def vector(texts: pd.Series) -> pd.Series:
         return pd.Series(list(_weights(texts.tolist(), size).astype(np.float32)))
 
-    return df.withColumn(into, vector(F.lower(F.col(text))))
+    return df.withColumn(into, vector.asNondeterministic()(F.lower(F.col(text))))

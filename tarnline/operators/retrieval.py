@@ -1,4 +1,4 @@
-"""Exact similarity search of a question set against all vectors, in blocks, and what follows a ranking."""
+"""Exact similarity search of a question set against all vectors, in groups, and what follows a ranking."""
 
 from __future__ import annotations
 
@@ -6,39 +6,130 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of questions and of a block of vectors; a task holds one of each and their products.
-QUESTION_BLOCK, VECTOR_BLOCK = 1024, 8192
-#: Numbers in a block at most, so that long vectors come in smaller blocks.
-BLOCK_NUMBERS = 2_000_000
+#: Rows of a group of questions, which a task holds, and of a group of vectors, which flow past it.
+QUESTION_BLOCK, VECTOR_BLOCK = 65_536, 131_072
+#: Numbers in a group of questions at most, so that long vectors come in smaller groups.
+BLOCK_NUMBERS = 4_000_000
+#: Vectors are spread over so many groups at least, unless those would have fewer rows than this.
+SPREAD, SPREAD_ROWS = 16, 8192
+#: Products held at once, and pairs scored again at once.
+TILE, PAIRS = 2**21, 2**16
 
 
-def _sized(df: DataFrame, key: str, vector: str, scope: str | None, size: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of a side as ``k, v, s``, and per scope (one for all without ``scope``) its number of blocks."""
+def _rows(df: DataFrame, key: str, vector: str, scope: str | None) -> DataFrame:
+    """The rows of a side as ``k, v, s``."""
     own = F.col(scope).cast("string") if scope else F.lit("")
-    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"), own.alias("s"))
-    counted = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.max(F.size("v")), F.lit(1)).alias("width"))
-    rows_each = F.least(F.lit(size), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_NUMBERS) / F.col("width"))))
-    return rows, counted.where("s IS NOT NULL").select("s", F.ceil(F.col("n") / rows_each).alias("blocks"))
+    return df.select(F.col(key).alias("k"), F.col(vector).cast("array<float>").alias("v"), own.alias("s")).where("k IS NOT NULL AND s IS NOT NULL")
 
 
-def _blocks(rows: DataFrame, counted: DataFrame, names: tuple[str, str, str]) -> DataFrame:
-    """Rows of a scope packed into its blocks by a hash of their key; a block becomes one row of arrays."""
-    block, ids, vectors = names
-    packed = rows.join(counted, "s").withColumn("b", F.pmod(F.xxhash64("k"), F.col("blocks")))
-    grouped = packed.groupBy("s", "b").agg(F.collect_list(F.struct("k", "v")).alias("rows"))  # of bounded size
-    return grouped.select("s", F.col("b").alias(block), F.col("rows.k").alias(ids), F.flatten("rows.v").alias(vectors))
+def _groups(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """``s, qn, vn``: the groups of questions and of vectors of each scope. Of the vectors only keys are counted, so those computed on the way are computed once."""
+    sized = asked.where("v IS NOT NULL").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.max(F.size("v")), F.lit(1)).alias("width"))
+    each = F.least(F.lit(QUESTION_BLOCK), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_NUMBERS) / F.col("width"))))
+    counted = held.groupBy("s").agg(F.count(F.lit(1)).alias("m"))
+    spread = F.least(F.lit(SPREAD), F.ceil(F.col("m") / F.lit(SPREAD_ROWS)))
+    return sized.join(counted, "s").select("s", F.ceil(F.col("n") / each).alias("qn"), F.greatest(F.ceil(F.col("m") / F.lit(VECTOR_BLOCK)), spread).alias("vn"))
 
 
-def _matrix(batch: pa.RecordBatch, i: int, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
-    keys = batch.column(ids)[i].values.to_numpy(zero_copy_only=False)
-    flat = batch.column(vectors)[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
-    m = flat.reshape(len(keys), -1)
-    norm = np.sqrt((m * m).sum(axis=1))
-    norm[norm == 0] = np.nan
-    return keys, m / norm[:, None]
+def _numbers(lists: pa.Array) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(lists), -1)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows with rows, in double precision; a row with itself sums up in the same order as with its equals."""
+    parts = [slice(i, i + PAIRS) for i in range(0, max(len(a), 1), PAIRS)]
+    return np.concatenate([np.einsum("ij,ij->i", a[p].astype(np.float64), b[p].astype(np.float64)) for p in parts])
+
+
+def _long(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a length, and the squared lengths of those."""
+    squared = _dots(m, m)
+    good = np.isfinite(squared) & (squared > 0)
+    return good, squared[good]
+
+
+class _Best:
+    """The ``k`` best vectors so far of each question of a group.
+
+    A product in single precision leaves out the pairs that cannot reach a question's k-th best score, by a bound on its
+    error; the others are scored in double precision, so the ranking is that of double precision.
+    """
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int, v_kind: np.dtype):
+        good, self.squared = _long(q)
+        self.q_ids, self.q, self.k, self.seen = q_ids[good], q[good], k, 0
+        self.unit = (self.q / np.sqrt(self.squared)[:, None]).astype(np.float32)
+        self.slack = (q.shape[1] + 16) * 2.0**-23
+        self.score = np.full((len(self.q), k), -np.inf)
+        self.ids = np.full((len(self.q), k), "" if v_kind == object else 0, dtype=v_kind)
+
+    def take(self, v_ids: np.ndarray, v: np.ndarray) -> None:
+        good, squared = _long(v)
+        v_ids, v = v_ids[good], v[good]
+        while len(v_ids) and len(self.q):
+            size = max(1024, self.seen)  # the bounds grow with what was seen
+            self._slice(v_ids[:size], v[:size], squared[:size])
+            self.seen += min(size, len(v_ids))
+            v_ids, v, squared = v_ids[size:], v[size:], squared[size:]
+
+    def _slice(self, v_ids: np.ndarray, v: np.ndarray, squared: np.ndarray) -> None:
+        single = np.ascontiguousarray((v / np.sqrt(squared)[:, None]).astype(np.float32).T)
+        rows = max(16, TILE // len(v_ids))
+        for a in range(0, len(self.q), rows):
+            product = self.unit[a : a + rows] @ single
+            least = np.round(self.score[a : a + rows, -1], 12)
+            if not self.seen and self.k < len(v_ids):
+                least = np.partition(product, -self.k, axis=1)[:, -self.k].astype(np.float64) - self.slack
+            row, col = np.divmod(np.flatnonzero(product >= (least - self.slack).astype(np.float32)[:, None]), len(v_ids))
+            if len(row) > 32 * self.k * len(product):  # of equal vectors only the first k by id can be among the best
+                kept = self._few(v_ids, v)[col]
+                row, col = row[kept], col[kept]
+            if len(row):
+                parts = [(row[i : i + PAIRS], col[i : i + PAIRS]) for i in range(0, len(row), PAIRS)]
+                dots = np.concatenate([_dots(self.q[a + r], v[c]) for r, c in parts])
+                self._merge(a, row, np.clip(dots / np.sqrt(self.squared[a + row] * squared[col]), -1, 1), v_ids[col])
+
+    def _few(self, v_ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+        _, same = np.unique(v, axis=0, return_inverse=True)
+        same, order = same.ravel(), np.argsort(v_ids, kind="stable")
+        order = order[np.argsort(same[order], kind="stable")]
+        place = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+        few = np.zeros(len(order), dtype=bool)
+        few[order] = place < self.k
+        return few
+
+    def _merge(self, a: int, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """The best of the questions ``a + row``, of those they have and the new ones."""
+        met = np.unique(row)
+        row = np.concatenate([np.repeat(met, self.k), row])
+        score, ids = np.concatenate([self.score[a + met].ravel(), score]), np.concatenate([self.ids[a + met].ravel(), ids])
+        by_id = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
+        order = np.lexsort((by_id, -np.round(score, 12), row))
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
+        self.score[a + met], self.ids[a + met] = score[order].reshape(-1, self.k), ids[order].reshape(-1, self.k)
+
+    def batch(self, names: list[str]) -> pa.RecordBatch:
+        row, place = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.q_ids[row]), pa.array(self.ids[row, place]), pa.array(self.score[row, place])], names=names)
+
+
+def _spans(batch: pa.RecordBatch) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """The parts of a batch of one cell and side: the cell, whether they are vectors, the part."""
+    n = batch.num_rows
+    cut = np.zeros(max(n - 1, 0), dtype=bool)
+    for name in ("s", "qg", "vg", "held"):
+        c = batch.column(name)
+        cut |= pc.not_equal(c.slice(1), c.slice(0, max(n - 1, 0))).to_numpy(zero_copy_only=False).astype(bool)
+    edges = [0, *(np.flatnonzero(cut) + 1).tolist(), n]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            cell = tuple(batch.column(name)[a].as_py() for name in ("s", "qg", "vg"))
+            yield cell, batch.column("held")[a].as_py(), batch.slice(a, b - a)
 
 
 def dense_topk(
@@ -46,40 +137,47 @@ def dense_topk(
 ) -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` nearest vectors of each question by cosine, ties by id.
 
-    Both sides are packed into blocks of bounded size and every block of questions meets every block of vectors,
-    as one matrix product in a task; each pair of blocks gives at most ``k`` rows a question, and a last ranking
-    takes the best of those. With ``scope`` the blocks are those of one value of that column, so questions meet only
-    vectors with their own value; a null value has none. Vectors that are null or without length, and questions with
-    such, give no rows; all vectors must have one dimension. Ids must be numbers or strings and are ranked as such.
+    Both sides are cut into groups of bounded size and every group of questions meets every group of vectors in a cell:
+    a task holds the questions of a cell with their ``k`` best so far while its vectors flow past in batches, and a last
+    ranking takes the best of all cells. With ``scope`` the groups are those of one value of that column, so questions
+    meet only vectors with their own value; a null value has none. Vectors that are null or without length, and questions
+    with such, give no rows; all vectors must have one dimension. Ids must be numbers or strings and are ranked as such.
     """
-    q_rows, q_sized = _sized(questions, question_id, embedding, scope, QUESTION_BLOCK)
-    v_rows, v_sized = _sized(vectors, vector_id, embedding, scope, VECTOR_BLOCK)
-    asked = _blocks(q_rows, q_sized, ("qb", "q_ids", "q_vecs"))
-    held = _blocks(v_rows, v_sized, ("vb", "v_ids", "v_vecs"))
-    meet = asked.join(v_sized, "s").withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    asked, held = _rows(questions, question_id, embedding, scope), _rows(vectors, vector_id, embedding, scope)
+    groups = _groups(asked, held)
+    meet = (lambda rows: rows.join(groups, "s")) if scope else (lambda rows: rows.crossJoin(F.broadcast(groups.drop("s"))))  # of one row
+    group = lambda n: F.pmod(F.xxhash64("k"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     q_kind, v_kind = questions.schema[question_id].dataType.simpleString(), vectors.schema[vector_id].dataType.simpleString()
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    left = meet(asked.where("v IS NOT NULL")).select("s", group("qn").alias("qg"), every("vn").alias("vg"), F.lit(False).alias("held"), F.col("k").alias("q_id"), F.lit(None).cast(v_kind).alias("v_id"), "v", "vn")
+    right = meet(held.where("v IS NOT NULL")).select("s", every("qn").alias("qg"), group("vn").alias("vg"), F.lit(True).alias("held"), F.lit(None).cast(q_kind).alias("q_id"), F.col("k").alias("v_id"), "v", "vn")
+    cells, tasks = left.unionByName(right), int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the cells of one scope are of about one size, so they are dealt out in turn
+    dealt = cells.repartition("s", "qg", "vg") if scope else cells.repartitionById(tasks, F.pmod(F.col("qg") * F.col("vn") + F.col("vg"), F.lit(tasks)).cast("int"))
+    names = [question_id, vector_id, "score"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, best = None, [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, q = _matrix(batch, i, "q_ids", "q_vecs")
-                v_ids, v = _matrix(batch, i, "v_ids", "v_vecs")
-                order = np.argsort(v_ids, kind="stable")
-                v_ids, v = v_ids[order], v[order]
-                score = q @ v.T
-                ranked = np.where(np.isnan(score), -np.inf, np.round(score, 12))
-                # the k-th best score of each question; those above it, and of equals the first by id
-                least = np.partition(ranked, -k, axis=1)[:, -k] if k < ranked.shape[1] else np.full(len(q_ids), -np.inf)
-                row, col = np.nonzero((ranked >= least[:, None]) & (ranked > -np.inf))
-                best = np.lexsort((col, -ranked[row, col], row))
-                row, col = row[best], col[best]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                row, col = row[place < k], col[place < k]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(v_ids[col]), pa.array(score[row, col])], names=[question_id, vector_id, "score"])
+            for at, is_held, part in _spans(batch):
+                if at != cell:
+                    if best is not None:
+                        yield best.batch(names)
+                    cell, waiting, best = at, [], None
+                ids = part.column("v_id" if is_held else "q_id").to_numpy(zero_copy_only=False)
+                if not is_held:
+                    waiting.append((ids, _numbers(part.column("v"))))
+                elif best is not None or waiting:
+                    if best is None:
+                        best = _Best(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), k, ids.dtype)
+                        waiting = []
+                    best.take(ids, _numbers(part.column("v")))
+        if best is not None:
+            yield best.batch(names)
 
     best = Window.partitionBy(question_id).orderBy(F.round("score", 12).desc(), vector_id)
     return (
-        meet.join(held, ["s", "vb"]).mapInArrow(multiply, f"{question_id} {q_kind}, {vector_id} {v_kind}, score double")
+        dealt.drop("vn").sortWithinPartitions("vg", "qg", "s", "held").mapInArrow(search, f"{question_id} {q_kind}, {vector_id} {v_kind}, score double")
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         .select(question_id, F.col("rank").cast("long").alias("rank"), vector_id, "score")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import REFUSAL, REFUSAL_ANYWHERE, REFUSAL_WHEN_SHORT, refusal_class, safe_filename, stripped, words
 from ..functions.text import is_refusal as refused
-from ..operators.answers import cited_once, extracted, titled, tokens_found
+from ..operators.answers import best_sentence, cited_once, extracted, titled, tokens_found
 from ..sources.tables import table
 from .registry import query
 
@@ -196,20 +196,24 @@ def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.embedding import embedded
     from ..operators.retrieval import dense_topk
 
-    asked = table(spark, sf_dir, "dataset", "eval_id", "question", "reference", "source_doc_id")
+    asked = table(spark, sf_dir, "dataset", "eval_id", "question", "reference", "source_doc_id").where("eval_id IS NOT NULL")
     pages = table(spark, sf_dir, "ingest", "ingest_id", "source_doc_id", "text").where("text IS NOT NULL")
+    # a question that recurs is searched and answered once, under its smallest id
+    once = asked.groupBy("question").agg(F.min("eval_id").alias("first_id"))
     ranked = dense_topk(
-        embedded(asked.select("eval_id", "question"), "question", "embedding", 64), embedded(pages.select("ingest_id", "text"), "text", "embedding", 64), 10, "eval_id", "ingest_id"
+        embedded(once, "question", "embedding", 64), embedded(pages.select("ingest_id", "text"), "text", "embedding", 64), 10, "first_id", "ingest_id"
+    )
+    # words of the questions join before the texts, so that texts move once
+    contexts = ranked.join(once.select("first_id", F.array_distinct(words(F.col("question"))).alias("asked")), "first_id").join(pages, "ingest_id")
+    offered = contexts.select("first_id", F.col("source_doc_id").alias("doc"), best_sentence(F.col("asked"), F.col("text"), F.col("rank")).alias("best"))
+    found = offered.groupBy("first_id").agg(F.count(F.lit(1)).alias("n_contexts"), F.collect_list("doc").alias("docs"), F.max("best").alias("best"))  # ten a question
+    own, said = F.array_distinct(words(F.coalesce("reference", F.lit("")))), words(F.coalesce("answer", F.lit("")))
+    answered = once.join(found, "first_id", "left").select(F.col("question").alias("_question"), "n_contexts", "docs", F.when(F.col("best.n") > 0, F.col("best.s")).alias("answer"))
+    hits = F.size(F.filter(F.coalesce("docs", F.array().cast("array<string>")), lambda d: F.array_contains("source_doc_id", d)))
+    return asked.join(answered, F.col("question").eqNullSafe(F.col("_question"))).select(
+        "eval_id", F.coalesce("n_contexts", F.lit(0).cast("long")).alias("n_contexts"), hits.cast("long").alias("n_hits"), "answer",
+        F.size(F.array_intersect(own, said)).cast("long").alias("n_shared"), F.size(own).cast("long").alias("n_reference"),
     )
-    contexts = ranked.join(pages, "ingest_id").select("eval_id", "rank", "source_doc_id", "text")  # ten a question
-    answers = extracted(asked.select("eval_id", "question"), contexts, "eval_id", "question", "text")
-    cited = asked.select("eval_id", F.col("source_doc_id").alias("cited"))
-    hit = F.coalesce(F.array_contains("cited", F.col("source_doc_id")), F.lit(False))
-    found = contexts.join(cited, "eval_id").groupBy("eval_id").agg(F.count(F.lit(1)).alias("n_contexts"), F.count_if(hit).alias("n_hits"))
-    own, said = F.array_distinct(words(F.coalesce("reference", F.lit("")))), words(F.coalesce("sentence", F.lit("")))
-    scored = asked.join(answers, "eval_id").select("eval_id", F.col("sentence").alias("answer"), F.size(F.array_intersect(own, said)).cast("long").alias("n_shared"), F.size(own).cast("long").alias("n_reference"))
-    zero = F.lit(0).cast("long")
-    return scored.join(found, "eval_id", "left").select("eval_id", F.coalesce("n_contexts", zero).alias("n_contexts"), F.coalesce("n_hits", zero).alias("n_hits"), "answer", "n_shared", "n_reference")
 
 
 @query()

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tarnline.operators import answers, chunking, evaluation, lint, namespaces, retrieval, runs
+from tarnline.operators import answers, chunking, embedding, evaluation, lint, namespaces, retrieval, runs
 
 
 def vectors(spark, n=300, dim=8, seed=1):
@@ -38,6 +38,53 @@ def test_topk_of_nothing(spark):
     assert retrieval.dense_topk(df.where("id % 20 = 0").withColumnRenamed("id", "query_id"), df.where("false"), 3).count() == 0
 
 
+def test_topk_keeps_ties_by_id_where_most_vectors_are_equal(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 700)
+    rows = [(i, [1.0, 0.0] if i % 3 else [1.0, float(i % 11 == 0)], "") for i in range(3000, 0, -1)] + [(3001, [float("nan"), 1.0], "")]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, doc string")
+    asked = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "query_id long, embedding array<float>")
+    got = {(r.query_id, r["rank"]): r.id for r in retrieval.dense_topk(asked, df, 4).collect()}
+    near = [i for i in range(1, 3001) if i % 3 or i % 11]
+    assert got == {(0, n): i for n, i in enumerate(near[:4], 1)} | {(1, n): 33 * n for n in range(1, 5)}
+
+
+def test_topk_of_words_as_ids(spark):
+    df = spark.createDataFrame([(f"v{i}", [1.0, i / 10]) for i in range(40)] + [("a", [1.0, 2.0])], "id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 2.0])], "query_id string, embedding array<float>")
+    assert [r.id for r in retrieval.dense_topk(asked, df, 3).orderBy("rank").collect()] == ["a", "v20", "v21"]
+
+
+def test_texts_are_embedded_once_for_a_search(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        seen.add(1)
+        return text
+
+    pages = spark.range(500).select("id", F.concat(F.lit("valve number "), "id").alias("text"))
+    pages = pages.select("id", F.udf(told).asNondeterministic()("text").alias("text"))
+    asked = spark.createDataFrame([(1, "which valve"), (2, "valve number 31")], "query_id long, question string")
+    ranked = retrieval.dense_topk(embedding.embedded(asked, "question", "embedding", 64), embedding.embedded(pages, "text", "embedding", 64), 3)
+    assert len(ranked.collect()) == 6
+    assert seen.value == 500
+
+
+def test_evaluation_of_recurring_questions(spark, tmp_path):
+    from tarnline.plans.answers import eval_run
+
+    kinds = "eval_id long, question string, reference string, source_doc_id array<string>"
+    asked = [(7, "Which valve leaks?", "The red valve leaks.", ["a"]), (3, "Which valve leaks?", None, ["b", None]), (5, None, "None.", None), (9, "...", "", ["a"])]
+    spark.createDataFrame(asked, kinds).write.parquet(f"{tmp_path}/dataset.parquet")
+    pages = [(1, "a", "A pump runs. The red valve leaks oil."), (2, "b", "Which valve? It is red."), (3, None, "valve valve valve"), (4, "a", None), (5, "a", "")]
+    spark.createDataFrame(pages, "ingest_id long, source_doc_id string, text string").write.parquet(f"{tmp_path}/ingest.parquet")
+    got = {r.eval_id: tuple(r)[1:] for r in eval_run(spark, str(tmp_path)).collect()}
+    best = got[7][2]
+    assert best in {"The red valve leaks oil.", "Which valve?"}
+    assert got[7] == (3, 1, best, len({"the", "red", "valve", "leaks"} & set(best.lower().strip(".?").split())), 4)
+    assert got[3] == (3, 1, best, 0, 0)
+    assert got[5] == (0, 0, None, 0, 1) and got[9] == (0, 0, None, 0, 0)
+
+
 def test_fallback_clears_the_scope(spark):
     df = vectors(spark)
     asked = df.where("id IN (0, 20)").withColumnRenamed("id", "query_id")
