@@ -17,7 +17,7 @@ BLOCK_NUMBERS = 4_000_000
 #: Vectors are spread over so many groups at least, unless those would have fewer rows than this.
 SPREAD, SPREAD_ROWS = 16, 8192
 #: Products held at once, and pairs scored again at once.
-TILE, PAIRS = 2**21, 2**16
+TILE, PAIRS = 2**20, 2**16
 
 
 def _rows(df: DataFrame, key: str, vector: str, scope: str | None) -> DataFrame:
@@ -56,7 +56,7 @@ class _Best:
     """The ``k`` best vectors so far of each question of a group.
 
     A product in single precision leaves out the pairs that cannot reach a question's k-th best score, by a bound on its
-    error; the others are scored in double precision, so the ranking is that of double precision.
+    error; the others are scored in double precision, so the ranking is that of double precision. Vectors come in the order of their ids.
     """
 
     def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int, v_kind: np.dtype):
@@ -64,7 +64,7 @@ class _Best:
         self.q_ids, self.q, self.k, self.seen = q_ids[good], q[good], k, 0
         self.unit = (self.q / np.sqrt(self.squared)[:, None]).astype(np.float32)
         self.slack = (q.shape[1] + 16) * 2.0**-23
-        self.score = np.full((len(self.q), k), -np.inf)
+        self.score, self.least = np.full((len(self.q), k), -np.inf), np.full(len(self.q), -np.inf)
         self.ids = np.full((len(self.q), k), "" if v_kind == object else 0, dtype=v_kind)
 
     def take(self, v_ids: np.ndarray, v: np.ndarray) -> None:
@@ -77,41 +77,55 @@ class _Best:
             v_ids, v, squared = v_ids[size:], v[size:], squared[size:]
 
     def _slice(self, v_ids: np.ndarray, v: np.ndarray, squared: np.ndarray) -> None:
-        single = np.ascontiguousarray((v / np.sqrt(squared)[:, None]).astype(np.float32).T)
-        rows = max(16, TILE // len(v_ids))
+        single, m = np.ascontiguousarray((v / np.sqrt(squared)[:, None]).astype(np.float32).T), len(v_ids)
+        rows = min(max(16, TILE // m), len(self.q))
+        # filled again and again, as fresh memory costs much of a product's time; eight marks are looked at as one number
+        products, marks = np.empty((rows, m), dtype=np.float32), np.zeros((rows, -(-m // 8) * 8), dtype=bool)
+        found, n = [], 0
         for a in range(0, len(self.q), rows):
-            product = self.unit[a : a + rows] @ single
-            least = np.round(self.score[a : a + rows, -1], 12)
-            if not self.seen and self.k < len(v_ids):
+            product = np.dot(self.unit[a : a + rows], single, out=products[: min(rows, len(self.q) - a)])
+            least = self.least[a : a + rows]
+            if not self.seen and self.k < m:
                 least = np.partition(product, -self.k, axis=1)[:, -self.k].astype(np.float64) - self.slack
-            row, col = np.divmod(np.flatnonzero(product >= (least - self.slack).astype(np.float32)[:, None]), len(v_ids))
+            marked = marks[: len(product)]
+            np.greater_equal(product, (least - self.slack).astype(np.float32)[:, None], out=marked[:, :m])
+            eight = np.flatnonzero(marked.view(np.uint64))
+            at, place = np.nonzero(marked.reshape(-1, 8)[eight])
+            row, col = np.divmod(eight[at] * 8 + place, marks.shape[1])
             if len(row) > 32 * self.k * len(product):  # of equal vectors only the first k by id can be among the best
-                kept = self._few(v_ids, v)[col]
+                kept = self._few(v)[col]
                 row, col = row[kept], col[kept]
-            if len(row):
-                parts = [(row[i : i + PAIRS], col[i : i + PAIRS]) for i in range(0, len(row), PAIRS)]
-                dots = np.concatenate([_dots(self.q[a + r], v[c]) for r, c in parts])
-                self._merge(a, row, np.clip(dots / np.sqrt(self.squared[a + row] * squared[col]), -1, 1), v_ids[col])
-
-    def _few(self, v_ids: np.ndarray, v: np.ndarray) -> np.ndarray:
+            found.append((a + row, col))
+            n += len(row)
+            if n > PAIRS or a + rows >= len(self.q):
+                row, col = (np.concatenate(f) for f in zip(*found))
+                if n:
+                    parts = [(row[i : i + PAIRS], col[i : i + PAIRS]) for i in range(0, n, PAIRS)]
+                    dots = np.concatenate([_dots(self.q[r], v[c]) for r, c in parts])
+                    self._merge(row, np.clip(dots / np.sqrt(self.squared[row] * squared[col]), -1, 1), v_ids[col])
+                found, n = [], 0
+
+    def _few(self, v: np.ndarray) -> np.ndarray:
         _, same = np.unique(v, axis=0, return_inverse=True)
-        same, order = same.ravel(), np.argsort(v_ids, kind="stable")
-        order = order[np.argsort(same[order], kind="stable")]
-        place = np.arange(len(order)) - np.searchsorted(same[order], same[order])
-        few = np.zeros(len(order), dtype=bool)
-        few[order] = place < self.k
+        order = np.argsort(same.ravel(), kind="stable")
+        same = same.ravel()[order]
+        few = np.zeros(len(v), dtype=bool)
+        few[order] = np.arange(len(v)) - np.searchsorted(same, same) < self.k
         return few
 
-    def _merge(self, a: int, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """The best of the questions ``a + row``, of those they have and the new ones."""
+    def _merge(self, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """The best of the questions in ``row``, of those they have and the new ones; these follow by id, so a stable sort keeps ties by id."""
         met = np.unique(row)
-        row = np.concatenate([np.repeat(met, self.k), row])
-        score, ids = np.concatenate([self.score[a + met].ravel(), score]), np.concatenate([self.ids[a + met].ravel(), ids])
-        by_id = np.unique(ids, return_inverse=True)[1] if ids.dtype == object else ids
-        order = np.lexsort((by_id, -np.round(score, 12), row))
-        row = row[order]
-        order = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
-        self.score[a + met], self.ids[a + met] = score[order].reshape(-1, self.k), ids[order].reshape(-1, self.k)
+        # a question's place and its score from above, to 12 digits, as one number
+        new = (np.searchsorted(met, row) << 42) | (10**12 - np.rint(score * 1e12).astype(np.int64))
+        own = self.score[met]
+        old = (np.arange(len(met))[:, None] << 42) | np.where(own > -np.inf, 10**12 - np.rint(np.maximum(own, -1) * 1e12).astype(np.int64), 1 << 41)
+        key, score, ids = np.concatenate([old.ravel(), new]), np.concatenate([own.ravel(), score]), np.concatenate([self.ids[met].ravel(), ids])
+        order = np.argsort(key, kind="stable")
+        place = key[order] >> 42
+        order = order[np.arange(len(order)) - np.searchsorted(place, np.arange(len(met)))[place] < self.k].reshape(-1, self.k)
+        self.score[met], self.ids[met] = score[order], ids[order]
+        self.least[met] = np.round(self.score[met, -1], 12)
 
     def batch(self, names: list[str]) -> pa.RecordBatch:
         row, place = np.nonzero(self.score > -np.inf)
@@ -177,7 +191,7 @@ def dense_topk(
 
     best = Window.partitionBy(question_id).orderBy(F.round("score", 12).desc(), vector_id)
     return (
-        dealt.drop("vn").sortWithinPartitions("vg", "qg", "s", "held").mapInArrow(search, f"{question_id} {q_kind}, {vector_id} {v_kind}, score double")
+        dealt.drop("vn").sortWithinPartitions("vg", "qg", "s", "held", "v_id").mapInArrow(search, f"{question_id} {q_kind}, {vector_id} {v_kind}, score double")
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         .select(question_id, F.col("rank").cast("long").alias("rank"), vector_id, "score")
     )
